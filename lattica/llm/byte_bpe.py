@@ -6,28 +6,27 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import pairs_of, tuned
+from lattica.llm.common import ARROW_ROWS, pairs_of, tuned
 
 #: White space as tiktoken's regex engine has it.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WS = "\\x09-\\x0D \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: Characters of text in one block; a longer text is a block of its own.
-BLOCK_CHARS = 6_000_000
+#: Bytes of split texts in one block, about twice the text; a longer text is a block of its own.
+BLOCK_CHARS = 64_000_000
 
 #: A fold takes n steps over n bytes; longer words are merged with a heap instead, n log n.
 FOLD_BYTES = 96
 
-#: Slots of the literal rank map. One slot has a map of under two entries on average, as a lookup in a map is a scan.
-SLOTS = 65_536
+#: A pair of ids a, b is the number a * PAIR + b; a pair without a rank has _NONE.
+PAIR = 65_536
 _NONE = 2_147_483_647
 
 
@@ -36,42 +35,90 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def word_pattern(pattern: str) -> regex.Pattern:
+def java_pattern(pattern: str) -> str:
     """The pattern with white space spelled out, as engines differ on it."""
-    return regex.compile(pattern.replace("[^\\s", f"[^{_WS}").replace("\\S", f"[^{_WS}]").replace("\\s", f"[{_WS}]"))
+    return pattern.replace("[^\\s", f"[^{_WS}").replace("\\S", f"[^{_WS}]").replace("\\s", f"[{_WS}]")
+
+
+def perfect_hash(table: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """(shifts, keys, values): a key is found at (key + shifts[key % len(shifts)]) % len(keys), if anywhere."""
+    size, n = 8 * len(table) // 5 + 3, len(table) // 3 + 1
+    groups: list[list[int]] = [[] for _ in range(n)]
+    for key in table:
+        groups[key % n].append(key)
+    shifts, keys, values = [0] * n, [-1] * size, [0] * size
+    for group in sorted(groups, key=len, reverse=True):
+        if not group:
+            break
+        shift = next(s for s in range(size) if len({(k + s) % size for k in group}) == len(group) and all(keys[(k + s) % size] < 0 for k in group))
+        shifts[group[0] % n] = shift
+        for k in group:
+            keys[(k + shift) % size], values[(k + shift) % size] = k, table[k]
+    return shifts, keys, values
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of maps from a byte string in hex to its rank, by CRC-32 modulo SLOTS."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    """The ids of the 256 bytes, and a literal map from a pair of ids, a * PAIR + b, to the rank of the joined bytes.
+
+    The map is a perfect hash in three arrays, as a lookup in a map literal is a scan. The rank of a
+    byte string is its id.
+    """
+    pairs: dict[int, int] = {}
     for piece, rank in ranks.items():
-        key = piece.hex()
-        slots[zlib.crc32(key.encode()) % SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                pairs[a * PAIR + b] = rank
+    single = [ranks[bytes([b])] for b in range(256)]
+    tables = dict(zip(("single", "shifts", "keys", "values"), (single, *perfect_hash(pairs)), strict=True))
+    return F.from_json(F.lit(json.dumps(tables, separators=(",", ":"))), "single array<bigint>, shifts array<bigint>, keys array<bigint>, values array<bigint>")
 
 
 def fold_merges(words: str, ranks: Column) -> Column:
-    """Ids of each word of ``words``, an array of byte strings in hex."""
-    rank = lambda x: F.try_element_at(F.get(ranks, (F.crc32(x) % SLOTS).cast("int")), x)
+    """Ids of each word of ``words``, an array of byte arrays.
+
+    The state of a word is its ids and the ranks of its adjacent pairs. A step joins the leftmost
+    pair of the lowest rank and looks up its two new neighbours; the fold has a step for each byte
+    but one, and those after the last merge do nothing.
+    """
+    none = F.lit(_NONE).cast("long")
     let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    # the literal stands once in the plan; all else refers to it by name
+    return let(ranks, lambda tables: F.transform(words, _encoder(tables, none, let)))
+
+
+def _encoder(tables: Column, none: Column, let: Callable[[Column, Callable[[Column], Column]], Column]) -> Callable[[Column], Column]:
+    single, shifts, keys, values = (tables[k] for k in ("single", "shifts", "keys", "values"))
+
+    def rank(a: Column, b: Column) -> Column:
+        key = a * PAIR + b
+        place = ((key + F.get(shifts, (key % F.size(shifts)).cast("int"))) % F.size(keys)).cast("int")
+        return F.when(F.get(keys, place) == key, F.get(values, place)).otherwise(none)
 
     def step(state: Column, _: Column) -> Column:
-        p = state["p"]
-        pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.struct(F.coalesce(rank(F.concat(F.get(p, i), F.get(p, i + 1))), F.lit(_NONE)).alias("r"), i.alias("i")))
-        merged = lambda m: F.struct(
-            F.concat(F.slice(p, F.lit(1), m["i"]), F.array(F.concat(F.get(p, m["i"]), F.get(p, m["i"] + 1))), F.slice(p, m["i"] + 3, F.size(p))).alias("p"),
-            (F.size(p) == 2).alias("over"),
-        )
-        best = let(F.array_min(pairs), lambda m: F.when(m["r"] == _NONE, F.struct(p.alias("p"), F.lit(True).alias("over"))).otherwise(merged(m)))
-        return F.when(state["over"], state).otherwise(best)
+        p, r = state["p"], state["r"]
+
+        def join(at: Column) -> Column:  # at: place of the pair, from 1
+            joined = state["m"]
+            before = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), joined)))).otherwise(F.array().cast("array<bigint>"))
+            after = F.when(at < F.size(r), F.concat(F.array(rank(joined, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(F.array().cast("array<bigint>"))
+            return let(
+                F.concat(before, after),
+                lambda new: F.struct(
+                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p))).alias("p"), new.alias("r"), F.coalesce(F.array_min(new), none).alias("m")
+                ),
+            )
+
+        return F.when(state["m"] == none, state).otherwise(let(F.array_position(r, state["m"]).cast("int"), join))
 
     def encode(word: Column) -> Column:
-        symbols = F.transform(F.sequence(F.lit(1), F.length(word), F.lit(2)), lambda i: F.substr(word, i, F.lit(2)))
-        start = F.struct(symbols.alias("p"), (F.length(word) <= 2).alias("over"))
-        folded = F.aggregate(F.sequence(F.lit(1), (F.length(word) / 2).cast("int")), start, step, lambda s: F.transform(s["p"], rank))
-        return let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+        ids = F.transform(word, lambda b: F.get(single, F.pmod(b.cast("int"), F.lit(256))))
+        paired = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.get(p, i), F.get(p, i + 1)))
+        start = let(ids, lambda p: let(paired(p), lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))))
+        folded = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step, lambda s: s["p"])
+        return F.when(F.size(word) < 2, ids).otherwise(folded)
 
-    return F.transform(words, encode)
+    return encode
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -98,45 +145,54 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p]
 
 
-_BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("long", pa.list_(pa.binary())), ("texts", pa.list_(pa.binary()))])
-
-
 def blocks(texts: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of (ids, words, long, texts): documents of a block as indexes into its distinct words.
 
-    A block is bounded in characters, whatever the table's size, and made where the texts are
-    read: no shuffle, no vocabulary of the whole corpus on any machine.
+    Spark splits the texts; Arrow's dictionary encoding finds the distinct words. A block is bounded
+    in characters, whatever the table's size, and made where the texts are read: no shuffle, no
+    vocabulary of the whole corpus on any machine. Long words are empty in ``words`` and follow in ``long``.
     """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = word_pattern(pattern).findall
-
-        class Index(dict):
-            def __missing__(self, word: str) -> int:
-                n = self[word] = len(self)
-                return n
-
-        def done(ids: list, index: Index, seqs: list) -> pa.RecordBatch:
-            raw = [w.encode("utf-8", "surrogatepass") for w in index]
-            # long words keep their place, as an empty string, and come beside
-            row = {"ids": ids, "words": [w.hex() if len(w) <= FOLD_BYTES else "" for w in raw], "long": [w for w in raw if len(w) > FOLD_BYTES], "texts": seqs}
-            return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([x.column(0) for x in parts])
+        lists = pa.concat_arrays([x.column(1) for x in parts])
+        ends = lists.offsets.to_numpy()
+        coded = lists.values.cast(pa.binary()).dictionary_encode()
+        index, words = coded.indices.to_numpy().astype(np.uint32), coded.dictionary
+        lengths = pc.binary_length(words).to_numpy()
+        over = np.flatnonzero(lengths > FOLD_BYTES)
+        raw = words.to_pylist() if len(over) else []
+        longs = [raw[k] for k in over.tolist()]
+        if longs:
+            for k in over.tolist():
+                raw[k] = b""
+            words = pa.array(raw, pa.binary())
+        data = words.buffers()
+        offsets = np.frombuffer(data[1], np.int32, len(words) + 1, words.offset * 4)
+        flat = np.frombuffer(data[2], np.int8, offsets[-1]) if data[2] is not None else np.empty(0, np.int8)
+        lists_of = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        raw_index = index.tobytes()
+        seqs = pa.array([raw_index[4 * x : 4 * y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [lists_of(ids), lists_of(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))), lists_of(pa.array(longs, pa.binary())), lists_of(seqs)], names=["ids", "words", "long", "texts"]
+        )
 
-        ids, index, seqs, size = [], Index(), [], 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = find(text) if text else []
-                ids.append(i)
-                seqs.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)).tobytes())
-                size += len(text or "")
-                if size >= block_chars:
-                    yield done(ids, index, seqs)
-                    ids, index, seqs, size = [], Index(), [], 0
-        if ids:
-            yield done(ids, index, seqs)
+            if not batch.num_rows:
+                continue
+            parts.append(batch)
+            size += batch.nbytes
+            if size >= block_chars:
+                yield done(parts)
+                parts, size = [], 0
+        if parts:
+            yield done(parts)
 
     tuned(texts.sparkSession)
-    return texts.mapInArrow(split, "ids array<long>, words array<string>, long array<binary>, texts array<binary>")
+    found = F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+    return texts.select("_id", found.alias("_w")).mapInArrow(gather, "ids array<long>, words array<array<tinyint>>, long array<binary>, texts array<binary>")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -152,24 +208,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             for k in range(batch.num_rows):
                 words = batch.column(1)[k].values
                 start = words.offsets.to_numpy().astype(np.int64)
-                flat = words.values.to_numpy(zero_copy_only=False).astype("<u4")
+                flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+                start -= start[0]
                 lengths = np.diff(start)
                 start = start[:-1].copy()
-                longs = [np.array(heap_merges(w, ranks), "<u4") for w in batch.column(2)[k].as_py()]
                 empty = np.flatnonzero(lengths == 0)
+                longs = [np.array(heap_merges(w, ranks), "<u4") for w in batch.column(2)[k].as_py()]
                 at = len(flat)
                 for place, x in zip(empty, longs, strict=True):
                     start[place], lengths[place] = at, len(x)
                     at += len(x)
                 flat = np.concatenate([flat, *longs]) if longs else flat
-                out = []
-                for seq in batch.column(3)[k].values:
-                    index = np.frombuffer(seq.as_buffer(), np.uint32)
-                    n = lengths[index]
-                    total = int(n.sum())
-                    shift = np.repeat(start[index] - np.cumsum(n) + n, n)
-                    out.append(flat[shift + np.arange(total)].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values.cast(pa.int64()), pa.array(out, pa.binary())], names=["_id", "tokens"])
+                ids, texts = batch.column(0)[k].values, batch.column(3)[k].values
+                for part in range(0, len(texts), ARROW_ROWS):
+                    out = []
+                    for seq in texts[part : part + ARROW_ROWS]:
+                        index = np.frombuffer(seq.as_buffer(), np.uint32)
+                        n = lengths[index]
+                        total = int(n.sum())
+                        shift = np.repeat(start[index] - np.cumsum(n) + n, n)
+                        out.append(flat[shift + np.arange(total)].tobytes())
+                    yield pa.RecordBatch.from_arrays([ids[part : part + ARROW_ROWS].cast(pa.int64()), pa.array(out, pa.binary())], names=["_id", "tokens"])
 
     # a row is a whole block: one at a time
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
