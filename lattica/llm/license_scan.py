@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -33,7 +35,7 @@ NOTICES = {
 }
 
 #: One edit for so many bytes of a notice, rounded down, and one at least from SHORT bytes on.
-BYTES_PER_EDIT, SHORT = 12, 16
+BYTES_PER_EDIT, SHORT = 10, 16
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -65,7 +67,7 @@ class Scanner:
         self.patterns = [regex.compile(b"(?e)(?:" + regex.escape(x, literal_spaces=True) + b"){e<=%d}" % k) for x, _, k in self.notices]
 
     def spans(self, norm: bytes) -> list[tuple[int, int, int, int]]:
-        """(start, end, notice, edits) of verified matches in normalised bytes, best edit first kept where they overlap."""
+        """(start, end, notice, edits) of verified matches in normalised bytes; of overlapping ones the closest, then the longest."""
         near: dict[int, list[list[int]]] = {}
         # latin-1 keeps one character a byte, so offsets are byte offsets
         for end, (size, uses) in self.automaton.iter(norm.decode("latin-1")):
@@ -82,7 +84,12 @@ class Scanner:
             for a, b in places:
                 for m in self.patterns[i].finditer(norm[a:b]):
                     found.append((a + m.start(), a + m.end(), i, sum(m.fuzzy_counts)))
-        return sorted(found)
+        kept: list[tuple[int, int, int, int]] = []
+        for x in sorted(found, key=lambda x: (x[3], x[0] - x[1], x)):
+            at = bisect.bisect(kept, x)
+            if (at == 0 or kept[at - 1][1] <= x[0]) and (at == len(kept) or x[1] <= kept[at][0]):
+                kept.insert(at, x)
+        return kept
 
 
 def normalise(text: str | None) -> bytes:

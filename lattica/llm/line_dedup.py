@@ -42,15 +42,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     three lines are left as they are; rows with the same id count as one document, each is
     returned with the lines at the covered positions removed. An empty table gives an empty table.
     """
-    keyed = docs.select("*", F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    # the other columns travel in a struct, so no name can clash
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    keyed = docs.select(rest.alias("_rest"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     marks = repeated_windows(keyed.select("_id", "_text"), window)
     met = keyed.join(marks, "_id", "left").withColumn("_l", F.split("_text", "\n", -1))
     kept = met.withColumn(
         "_keep",
         F.expr(f"CASE WHEN _starts IS NOT NULL THEN array_except(sequence(0, size(_l) - 1), flatten(transform(_starts, p -> sequence(p, p + {window - 1})))) END"),
     )
-    names = [c for c in docs.columns]
     text = F.expr("CASE WHEN _keep IS NULL THEN _text ELSE array_join(transform(_keep, i -> get(_l, i)), '\n') END")
     n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_l")).cast("long")
     n_kept = F.when(F.col("_keep").isNull(), n_lines).otherwise(F.size("_keep")).cast("long")
-    return kept.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], n_lines.alias("_n_lines"), (n_lines - n_kept).alias("_n_removed"))
+    return kept.select(*[text.alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns], n_lines.alias("_n_lines"), (n_lines - n_kept).alias("_n_removed"))
