@@ -7,10 +7,12 @@ import hashlib
 import heapq
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ _WS = "\\x09-\\x0D \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\
 #: Bytes of split texts in one block, about twice the text; a longer text is a block of its own.
 BLOCK_CHARS = 64_000_000
 
+#: Texts and their characters in the sample whose words are folded once, and those words, at most (documented bounds).
+COMMON_ROWS, COMMON_CHARS, COMMON_WORDS = 32_000, 20_000, 1_000_000
+
 #: A fold takes n steps over n bytes; longer words are merged with a heap instead, n log n.
 FOLD_BYTES = 96
 
@@ -57,64 +62,81 @@ def perfect_hash(table: dict[int, int]) -> tuple[list[int], list[int], list[int]
     return shifts, keys, values
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ids of the 256 bytes, and a literal map from a pair of ids, a * PAIR + b, to the rank of the joined bytes.
+@dataclass(frozen=True)
+class RankMap:
+    """The ranks as one literal, and the lengths of its arrays.
 
-    The map is a perfect hash in three arrays, as a lookup in a map literal is a scan. The rank of a
+    ``single``: ids of the 256 bytes. ``double``: ranks of the 65,536 pairs of bytes, at 256 a + b.
+    ``shifts``, ``entries``: a perfect hash from a pair of ids, a * PAIR + b, to that number times
+    PAIR plus the rank of the joined bytes; a lookup in a map literal would be a scan. The rank of a
     byte string is its id.
     """
+
+    literal: Column
+    shifts: int
+    entries: int
+
+
+def rank_map(ranks: dict[bytes, int]) -> RankMap:
     pairs: dict[int, int] = {}
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
                 pairs[a * PAIR + b] = rank
-    single = [ranks[bytes([b])] for b in range(256)]
-    tables = dict(zip(("single", "shifts", "keys", "values"), (single, *perfect_hash(pairs)), strict=True))
-    return F.from_json(F.lit(json.dumps(tables, separators=(",", ":"))), "single array<bigint>, shifts array<bigint>, keys array<bigint>, values array<bigint>")
-
-
-def fold_merges(words: str, ranks: Column) -> Column:
+    shifts, keys, values = perfect_hash(pairs)
+    tables = {
+        "single": [ranks[bytes([b])] for b in range(256)],
+        "double": [ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)],
+        "shifts": shifts,
+        "entries": [k * PAIR + v for k, v in zip(keys, values, strict=True)],
+    }
+    text = F.lit(json.dumps(tables, separators=(",", ":")))
+    return RankMap(F.from_json(text, ", ".join(f"{k} array<bigint>" for k in tables)), len(shifts), len(keys))
+
+
+def fold_merges(words: str, ranks: RankMap) -> Column:
     """Ids of each word of ``words``, an array of byte arrays.
 
     The state of a word is its ids and the ranks of its adjacent pairs. A step joins the leftmost
     pair of the lowest rank and looks up its two new neighbours; the fold has a step for each byte
     but one, and those after the last merge do nothing.
     """
-    none = F.lit(_NONE).cast("long")
-    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     # the literal stands once in the plan; all else refers to it by name
-    return let(ranks, lambda tables: F.transform(words, _encoder(tables, none, let)))
+    return _let(ranks.literal, lambda tables: F.transform(words, _encoder(tables, ranks)))
 
 
-def _encoder(tables: Column, none: Column, let: Callable[[Column, Callable[[Column], Column]], Column]) -> Callable[[Column], Column]:
-    single, shifts, keys, values = (tables[k] for k in ("single", "shifts", "keys", "values"))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _encoder(tables: Column, sizes: RankMap) -> Callable[[Column], Column]:
+    none, empty = F.lit(_NONE).cast("long"), F.array().cast("array<bigint>")
 
     def rank(a: Column, b: Column) -> Column:
-        key = a * PAIR + b
-        place = ((key + F.get(shifts, (key % F.size(shifts)).cast("int"))) % F.size(keys)).cast("int")
-        return F.when(F.get(keys, place) == key, F.get(values, place)).otherwise(none)
+        def found(key: Column) -> Column:
+            entry = F.get(tables["entries"], ((key + F.get(tables["shifts"], (key % sizes.shifts).cast("int"))) % sizes.entries).cast("int"))
+            return _let(entry - key * PAIR, lambda rest: F.when((rest >= 0) & (rest < PAIR), rest).otherwise(none))
+
+        return _let(a * PAIR + b, found)
 
     def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        p, r, joined = state["p"], state["r"], state["m"]
 
         def join(at: Column) -> Column:  # at: place of the pair, from 1
-            joined = state["m"]
-            before = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), joined)))).otherwise(F.array().cast("array<bigint>"))
-            after = F.when(at < F.size(r), F.concat(F.array(rank(joined, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(F.array().cast("array<bigint>"))
-            return let(
-                F.concat(before, after),
-                lambda new: F.struct(
-                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p))).alias("p"), new.alias("r"), F.coalesce(F.array_min(new), none).alias("m")
-                ),
-            )
-
-        return F.when(state["m"] == none, state).otherwise(let(F.array_position(r, state["m"]).cast("int"), join))
+            left = F.when(at > 1, F.array(rank(F.get(p, at - 2), joined))).otherwise(empty)
+            right = F.when(at < F.size(r), F.array(rank(joined, F.get(p, at + 1)))).otherwise(empty)
+            new = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
+            ids = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
+            return _let(new, lambda x: F.struct(ids.alias("p"), x.alias("r"), F.coalesce(F.array_min(x), none).alias("m")))
+
+        return F.when(joined == none, state).otherwise(_let(F.array_position(r, joined).cast("int"), join))
 
     def encode(word: Column) -> Column:
-        ids = F.transform(word, lambda b: F.get(single, F.pmod(b.cast("int"), F.lit(256))))
-        paired = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.get(p, i), F.get(p, i + 1)))
-        start = let(ids, lambda p: let(paired(p), lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))))
+        byte = lambda b: F.pmod(b.cast("int"), F.lit(256))
+        ids = F.transform(word, lambda b: F.get(tables["single"], byte(b)))
+        pairs = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word)), lambda a, b: F.get(tables["double"], byte(a) * 256 + byte(b)))
+        start = _let(pairs, lambda r: F.struct(ids.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
         folded = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step, lambda s: s["p"])
         return F.when(F.size(word) < 2, ids).otherwise(folded)
 
@@ -145,8 +167,58 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p]
 
 
-def blocks(texts: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of (ids, words, long, texts): documents of a block as indexes into its distinct words.
+def _byte_lists(words: pa.Array) -> pa.ListArray:
+    """Binary strings as lists of bytes, without a copy of their data."""
+    data = words.buffers()
+    offsets = np.frombuffer(data[1], np.int32, len(words) + 1, words.offset * 4)
+    flat = np.frombuffer(data[2], np.int8, offsets[-1]) if data[2] is not None else np.empty(0, np.int8)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([x.flatten() for x in column.chunks])
+
+
+@dataclass(frozen=True)
+class Common:
+    """Words of a bounded sample, with their ids: what a block needn't fold again. Results don't depend on it."""
+
+    words: pa.Array
+    starts: np.ndarray
+    lengths: np.ndarray
+    ids: np.ndarray
+
+
+def common_words(texts: DataFrame, pattern: str, ranks: RankMap, rows: int = COMMON_ROWS, most: int = COMMON_WORDS) -> Common:
+    """Distinct words of ``rows`` texts on average, ``most`` at most, folded once."""
+    n = texts.count()
+    part = texts.filter(F.length("_text") <= COMMON_CHARS).sample(min(1.0, rows / n) if n else 1.0, seed=3)
+    words = part.select(F.explode(F.regexp_extract_all("_text", F.lit(java_pattern(pattern)), F.lit(0))).alias("w")).distinct().filter(F.octet_length("w") <= FOLD_BYTES).limit(most)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_one_list(_byte_lists(batch.column(0).cast(pa.binary())))], names=["words"])
+
+    spark = tuned(texts.sparkSession)
+    dealt = words.repartition(2 * spark.sparkContext.defaultParallelism, "w").mapInArrow(lists, "words array<array<tinyint>>")
+    found = dealt.select("words", fold_merges("words", ranks).alias("ids")).toArrow()
+    raw = [_flat(found[c]) if found.num_rows else None for c in ("words", "ids")]
+    if raw[0] is None:
+        return Common(pa.array([], pa.binary()), *(np.empty(0, np.int64) for _ in range(2)), np.empty(0, "<u4"))
+    lists_of, ids = raw
+    offsets = lists_of.offsets.to_numpy()
+    data = lists_of.values.to_numpy()[offsets[0] : offsets[-1]].tobytes()
+    packed = pa.Array.from_buffers(pa.binary(), len(lists_of), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(data)])
+    at = ids.offsets.to_numpy().astype(np.int64)
+    return Common(packed, at[:-1] - at[0], np.diff(at), ids.flatten().to_numpy().astype("<u4"))
+
+
+def blocks(texts: DataFrame, pattern: str, common: Broadcast, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of (ids, words, long, texts): documents of a block as indexes into common and own distinct words.
 
     Spark splits the texts; Arrow's dictionary encoding finds the distinct words. A block is bounded
     in characters, whatever the table's size, and made where the texts are read: no shuffle, no
@@ -158,24 +230,22 @@ def blocks(texts: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Da
         lists = pa.concat_arrays([x.column(1) for x in parts])
         ends = lists.offsets.to_numpy()
         coded = lists.values.cast(pa.binary()).dictionary_encode()
-        index, words = coded.indices.to_numpy().astype(np.uint32), coded.dictionary
-        lengths = pc.binary_length(words).to_numpy()
-        over = np.flatnonzero(lengths > FOLD_BYTES)
-        raw = words.to_pylist() if len(over) else []
-        longs = [raw[k] for k in over.tolist()]
-        if longs:
+        known = pc.index_in(coded.dictionary, value_set=common.value.words)
+        own = np.flatnonzero(known.is_null().to_numpy(zero_copy_only=False))
+        place = known.fill_null(0).to_numpy().astype(np.uint32)
+        place[own] = len(common.value.words) + np.arange(len(own))
+        index = place[coded.indices.to_numpy()] if len(place) else np.empty(0, np.uint32)
+        words = coded.dictionary.take(pa.array(own))
+        over = np.flatnonzero(pc.binary_length(words).to_numpy() > FOLD_BYTES)
+        longs = words.take(pa.array(over))
+        if len(over):
+            raw = words.to_pylist()
             for k in over.tolist():
                 raw[k] = b""
             words = pa.array(raw, pa.binary())
-        data = words.buffers()
-        offsets = np.frombuffer(data[1], np.int32, len(words) + 1, words.offset * 4)
-        flat = np.frombuffer(data[2], np.int8, offsets[-1]) if data[2] is not None else np.empty(0, np.int8)
-        lists_of = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         raw_index = index.tobytes()
         seqs = pa.array([raw_index[4 * x : 4 * y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [lists_of(ids), lists_of(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))), lists_of(pa.array(longs, pa.binary())), lists_of(seqs)], names=["ids", "words", "long", "texts"]
-        )
+        return pa.RecordBatch.from_arrays([_one_list(ids), _one_list(_byte_lists(words)), _one_list(longs), _one_list(seqs)], names=["ids", "words", "long", "texts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -190,48 +260,47 @@ def blocks(texts: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> Da
         if parts:
             yield done(parts)
 
-    tuned(texts.sparkSession)
     found = F.regexp_extract_all(F.coalesce("_text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     return texts.select("_id", found.alias("_w")).mapInArrow(gather, "ids array<long>, words array<array<tinyint>>, long array<binary>, texts array<binary>")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(_id, tokens binary): ids of each whole text as little-endian unsigned 32-bit integers. No shuffle.
+    """(_id, tokens binary): ids of each whole text as little-endian unsigned 32-bit integers. No shuffle of texts.
 
     A null or empty text has no tokens. Rows repeat as they come, null ids stay null, other
     columns are ignored; an empty table gives an empty table.
     """
-    folded = blocks(pairs_of(docs, id_col, text_col), pattern, block_chars).withColumn("words", fold_merges("words", rank_map(ranks)))
+    spark, texts, table = tuned(docs.sparkSession), pairs_of(docs, id_col, text_col), rank_map(ranks)
+    common = spark.sparkContext.broadcast(common_words(texts, pattern, table))
+    folded = blocks(texts, pattern, common, block_chars).withColumn("words", fold_merges("words", table))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
         for batch in batches:
             for k in range(batch.num_rows):
                 words = batch.column(1)[k].values
-                start = words.offsets.to_numpy().astype(np.int64)
-                flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                start -= start[0]
-                lengths = np.diff(start)
-                start = start[:-1].copy()
-                empty = np.flatnonzero(lengths == 0)
+                at = words.offsets.to_numpy().astype(np.int64)
+                lengths = np.concatenate([known.lengths, np.diff(at)])
                 longs = [np.array(heap_merges(w, ranks), "<u4") for w in batch.column(2)[k].as_py()]
-                at = len(flat)
-                for place, x in zip(empty, longs, strict=True):
-                    start[place], lengths[place] = at, len(x)
-                    at += len(x)
+                starts = np.concatenate([known.starts, at[:-1] - at[0] + len(known.ids)])
+                flat = np.concatenate([known.ids, words.flatten().to_numpy(zero_copy_only=False).astype("<u4")])
+                end = len(flat)
+                for place, x in zip(np.flatnonzero(lengths == 0), longs, strict=True):
+                    starts[place], lengths[place] = end, len(x)
+                    end += len(x)
                 flat = np.concatenate([flat, *longs]) if longs else flat
-                ids, texts = batch.column(0)[k].values, batch.column(3)[k].values
-                for part in range(0, len(texts), ARROW_ROWS):
+                ids, rows = batch.column(0)[k].values, batch.column(3)[k].values
+                for part in range(0, len(rows), ARROW_ROWS):
                     out = []
-                    for seq in texts[part : part + ARROW_ROWS]:
+                    for seq in rows[part : part + ARROW_ROWS]:
                         index = np.frombuffer(seq.as_buffer(), np.uint32)
                         n = lengths[index]
-                        total = int(n.sum())
-                        shift = np.repeat(start[index] - np.cumsum(n) + n, n)
-                        out.append(flat[shift + np.arange(total)].tobytes())
+                        shift = np.repeat(starts[index] - np.cumsum(n) + n, n)
+                        out.append(flat[shift + np.arange(len(shift))].tobytes())
                     yield pa.RecordBatch.from_arrays([ids[part : part + ARROW_ROWS].cast(pa.int64()), pa.array(out, pa.binary())], names=["_id", "tokens"])
 
     # a row is a whole block: one at a time
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return folded.mapInArrow(join, "_id long, tokens binary")
 
 
