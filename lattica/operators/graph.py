@@ -46,7 +46,7 @@ def block_paths(blocks: DataFrame, levels: int = 32) -> DataFrame:
     while step < levels:
         above = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
         at = at.join(above, "up", "left").select(
-            "id", F.col("up2").alias("up"), F.concat(F.coalesce("ids2", F.array().cast("array<bigint>")), "ids").alias("ids"), F.concat(F.coalesce("names2", F.array().cast("array<string>")), "names").alias("names")
+            "id", F.col("up2").alias("up"), F.when(F.col("ids2").isNull(), F.col("ids")).otherwise(F.concat("ids2", "ids")).alias("ids"), F.when(F.col("names2").isNull(), F.col("names")).otherwise(F.concat("names2", "names")).alias("names")
         )
         step *= 2
     return at.select("id", "ids", F.array_join(F.slice("names", F.lit(1), F.size("names") - 1), " > ").alias("path"))

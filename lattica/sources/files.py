@@ -22,7 +22,7 @@ def scan(spark: SparkSession, path: str, hashes_only: bool = False) -> DataFrame
     """(file_path, id, language, content, content_hash, size) of the text files below a directory.
 
     One scan serves index and change detection. Ignored files and directories are left out before
-    contents are looked at; binary files by their first bytes.
+    contents are looked at; binary files by their first bytes. Spark's file source lists no empty files.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     at = F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", "")
