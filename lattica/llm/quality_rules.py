@@ -31,7 +31,7 @@ RULES = (
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 15 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("few_letters", "2 * length(regexp_replace(_text, '[^\\\\p{L}]', '')) < word_chars"),
     Rule("shouting", "10 * length(regexp_replace(_text, '[^\\\\p{Lu}]', '')) > 7 * word_chars"),
 )
