@@ -51,9 +51,10 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = TOP, rows: int
                 v, own = np.stack(batch["embedding"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy(np.int64)
                 for a in range(0, len(ids), rows):
                     q = matrix[a : a + rows]
-                    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0)).round(6)
+                    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0))
                     best = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids[a : a + rows], best.shape[1]), "vec_id": own[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+                    exact = np.sqrt(((q[:, None, :] - v[best]) ** 2).sum(2))
+                    yield pd.DataFrame({"query_id": np.repeat(ids[a : a + rows], best.shape[1]), "vec_id": own[best].ravel(), "distance": exact.ravel()})
 
         found = vectors.select("vec_id", "embedding").mapInPandas(scan, "query_id long, vec_id long, distance double")
         out = found if out is None else out.unionAll(found)
