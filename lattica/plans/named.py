@@ -91,9 +91,12 @@ NAMED: dict[str, str] = {
         SELECT n.node_id, n.kind, coalesce(f.file_path, bf.file_path) AS file_path, b.name AS block_name
         FROM n LEFT JOIN {files} f ON n.kind = 'file' AND f.id = n.key LEFT JOIN {code_blocks} b ON n.kind = 'block' AND b.id = n.key LEFT JOIN {files} bf ON bf.id = b.file_id""",
     "j27_match_candidates": """
-        WITH o AS (SELECT id, file_id, coalesce(technology_name, 'Unknown') AS t FROM {outgoing_connections}), i AS (SELECT id, file_id, coalesce(technology_name, 'Unknown') AS t FROM {incoming_connections})
-        SELECT o.file_id AS sender_file, i.file_id AS receiver_file, o.t AS sender_technology, i.t AS receiver_technology, count(*) AS candidates, min(o.id) AS first_sender, min(i.id) AS first_receiver
-        FROM o JOIN i ON o.t = i.t AND o.file_id = i.file_id WHERE o.t <> 'Unknown' GROUP BY o.file_id, i.file_id, o.t, i.t""",
+        WITH o AS (SELECT coalesce(technology_name, 'Unknown') AS t, count(*) AS n, min(id) AS first FROM {outgoing_connections} GROUP BY coalesce(technology_name, 'Unknown')),
+             i AS (SELECT coalesce(technology_name, 'Unknown') AS t, count(*) AS n, min(id) AS first FROM {incoming_connections} GROUP BY coalesce(technology_name, 'Unknown')),
+             k AS (SELECT t FROM o WHERE t <> 'Unknown' UNION SELECT t FROM i WHERE t <> 'Unknown')
+        SELECT k.t AS technology, coalesce(o.n, 0) + coalesce(ou.n, 0) AS outgoing, coalesce(i.n, 0) + coalesce(iu.n, 0) AS incoming, least(o.first, ou.first) AS first_outgoing, least(i.first, iu.first) AS first_incoming
+        FROM k LEFT JOIN o ON o.t = k.t LEFT JOIN i ON i.t = k.t LEFT JOIN o ou ON ou.t = 'Unknown' LEFT JOIN i iu ON iu.t = 'Unknown'
+        WHERE coalesce(o.n, ou.n) IS NOT NULL AND coalesce(i.n, iu.n) IS NOT NULL""",
     "j28_snapshot_compare": """
         WITH a AS (SELECT doc_id, [[sha2(text, 256)|sha256(text)]] AS h FROM {documents} WHERE doc_id % 10 <> 3),
              b AS (SELECT doc_id, [[sha2(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END, 256)|sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END)]] AS h FROM {documents} WHERE doc_id % 10 <> 7)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import paths as P
 from lattica.functions import text as X
-from lattica.operators import changes, delivery, diffs, graph, memory, retrieval, store
+from lattica.operators import changes, delivery, diffs, graph, maintenance, memory, retrieval, store
 from lattica.plans.named import NAMED, run
 from lattica.plans.views import Store, oracle
 from lattica.sources import extract, files
@@ -351,3 +351,46 @@ def z39_distinct_tasks(s: Store) -> DataFrame:
 @query()
 def x15_registry_of_paths(s: Store) -> DataFrame:
     return extract.module_registry(s["files"].select("id", "file_path", F.lit("python").alias("language")))
+
+
+@query(
+    """WITH o AS (SELECT id, technology_name AS t, file_id % 10 AS k FROM {outgoing_connections}), i AS (SELECT id, technology_name AS t, file_id % 10 AS k FROM {incoming_connections})
+    SELECT o.id AS sender_id, i.id AS receiver_id FROM o JOIN i ON o.k = i.k AND ((o.t = i.t) OR o.t IS NULL OR i.t IS NULL) WHERE abs(o.id - i.id) < 400"""
+)
+def j27_connection_matches(s: Store) -> DataFrame:
+    score = F.when(F.abs(F.col("o.id") - F.col("i.id")) < 400, 1.0).otherwise(0.0)
+    return maintenance.connection_matches(s["outgoing_connections"], s["incoming_connections"], score, on=F.col("file_id") % 10).select("sender_id", "receiver_id")
+
+
+@query()
+def s13_workspace_tree(s: Store) -> DataFrame:
+    return maintenance.workspace_tree(s["files"])
+
+
+@query()
+def f17_grouped_chunks(s: Store) -> DataFrame:
+    hits = retrieval.grouped_by_text(retrieval.grep(s["documents"], "doc_id", "text", "license"))
+    return maintenance.grouped_chunks(hits, 40)
+
+
+@query()
+def t10_modified_files(s: Store) -> DataFrame:
+    return maintenance.modified_files(s["incoming_connections"].select("id", "file_id", "start_line", "end_line"), _edited(s))[1]
+
+
+@query()
+def v10_block_vectors(s: Store) -> DataFrame:
+    v = maintenance.embed_blocks(s["code_blocks"], s["files"])
+    return v.select("node_id", "chunk_index", "chunk_start_line", "chunk_end_line", F.size("embedding").alias("size"))
+
+
+@query(
+    "SELECT m.id, sf.file_path || ' -> ' || rf.file_path || ' [' || coalesce(o.technology_name, 'Unknown') || ', ' || CAST(CAST(round(100 * m.match_confidence) AS INTEGER) AS VARCHAR) || '%]' AS line "
+    "FROM {connection_mappings} m JOIN {outgoing_connections} o ON o.id = m.sender_id JOIN {incoming_connections} i ON i.id = m.receiver_id JOIN {files} sf ON sf.id = o.file_id JOIN {files} rf ON rf.id = i.file_id"
+)
+def f38_mapping_lines(s: Store) -> DataFrame:
+    o = s["outgoing_connections"].select(F.col("id").alias("sender_id"), F.col("file_id").alias("a"), "technology_name")
+    i = s["incoming_connections"].select(F.col("id").alias("receiver_id"), F.col("file_id").alias("b"))
+    f = s["files"]
+    met = s["connection_mappings"].join(o, "sender_id").join(i, "receiver_id").join(f.select(F.col("id").alias("a"), F.col("file_path").alias("x")), "a").join(f.select(F.col("id").alias("b"), F.col("file_path").alias("y")), "b")
+    return met.select("id", maintenance.shown_mapping(F.col("x"), F.col("y"), F.col("technology_name"), F.col("match_confidence")).alias("line"))

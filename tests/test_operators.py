@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.operators import changes, delivery, diffs, graph, memory, retrieval, store
+from lattica.operators import changes, delivery, diffs, graph, maintenance, memory, retrieval, store
 from lattica.sources import extract, files
 from lattica.streaming import changelog
 
@@ -284,3 +284,24 @@ def test_memory(spark):
     assert memory.with_code(snippets, f).filter("id = 's1'").first()["code"] == "   2 | l2\n   3 | l3"
     e = spark.createDataFrame([("r", None, "root", "f"), ("k", "r", "kid", "f")], "element_id string, parent_id string, name string, type string")
     assert [r["line"] for r in memory.rendered(memory.upsert_elements(e, e.limit(1))).orderBy("place").collect()][0] == "root"
+
+
+def test_incremental_index(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "a.py").write_text("import b\nX = 1\n")
+    (root / "b.py").write_text("import c\n")
+    (root / "c.py").write_text("Y = 2\n")
+    first = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in maintenance.index_directory(spark, str(root)).items()}
+    assert first["relationships"].count() == 2
+    (root / "b.py").write_text("import a\n")
+    (root / "c.py").unlink()
+    (root / "d.py").write_text("import a, b\n")
+    now = maintenance.index_directory(spark, str(root))
+    tables, diff = maintenance.incremental_index(first, now["files"])
+    got = lambda t, *c: sorted(tuple(r[x] for x in c) for r in t.collect())
+    assert {r["file_path"].rsplit("/", 1)[-1]: r["change"] for r in diff.collect()} == {"a.py": "unchanged", "b.py": "changed", "c.py": "deleted", "d.py": "new"}
+    for t, c in (("files", ("id", "content_hash")), ("code_blocks", ("file_id", "ordinal", "name")), ("relationships", ("source_id", "target_id"))):
+        assert got(tables[t], *c) == got(now[t], *c)
+    log = {r["file_path"].rsplit("/", 1)[-1]: r["change_type"] for r in maintenance.checkpoint_of(diff, first["files"], now["files"]).collect()}
+    assert log == {"b.py": "modified", "c.py": "deleted", "d.py": "added"}
