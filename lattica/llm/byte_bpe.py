@@ -22,10 +22,10 @@ from lattica.llm.common import ARROW_ROWS, pairs_of, tuned
 _WS = "\\x09-\\x0D \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 #: Bytes of split texts in one block, about twice the text; a longer text is a block of its own.
-BLOCK_CHARS = 64_000_000
+BLOCK_CHARS = 16_000_000
 
 #: Texts and their characters in the sample whose words are folded once, and those words, at most (documented bounds).
-COMMON_ROWS, COMMON_CHARS, COMMON_WORDS = 32_000, 20_000, 1_000_000
+COMMON_ROWS, COMMON_CHARS, COMMON_WORDS = 16_000, 20_000, 500_000
 
 #: A fold takes n steps over n bytes; longer words are merged with a heap instead, n log n.
 FOLD_BYTES = 96
@@ -208,12 +208,12 @@ def common_words(texts: DataFrame, pattern: str, ranks: RankMap, rows: int = COM
     found = dealt.select("words", fold_merges("words", ranks).alias("ids")).toArrow()
     raw = [_flat(found[c]) if found.num_rows else None for c in ("words", "ids")]
     if raw[0] is None:
-        return Common(pa.array([], pa.binary()), *(np.empty(0, np.int64) for _ in range(2)), np.empty(0, "<u4"))
+        return Common(pa.array([], pa.binary()), *(np.empty(0, np.int32) for _ in range(2)), np.empty(0, "<u4"))
     lists_of, ids = raw
     offsets = lists_of.offsets.to_numpy()
     data = lists_of.values.to_numpy()[offsets[0] : offsets[-1]].tobytes()
     packed = pa.Array.from_buffers(pa.binary(), len(lists_of), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(data)])
-    at = ids.offsets.to_numpy().astype(np.int64)
+    at = ids.offsets.to_numpy()
     return Common(packed, at[:-1] - at[0], np.diff(at), ids.flatten().to_numpy().astype("<u4"))
 
 
@@ -279,7 +279,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         for batch in batches:
             for k in range(batch.num_rows):
                 words = batch.column(1)[k].values
-                at = words.offsets.to_numpy().astype(np.int64)
+                at = words.offsets.to_numpy()
                 lengths = np.concatenate([known.lengths, np.diff(at)])
                 longs = [np.array(heap_merges(w, ranks), "<u4") for w in batch.column(2)[k].as_py()]
                 starts = np.concatenate([known.starts, at[:-1] - at[0] + len(known.ids)])
@@ -295,7 +295,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     for seq in rows[part : part + ARROW_ROWS]:
                         index = np.frombuffer(seq.as_buffer(), np.uint32)
                         n = lengths[index]
-                        shift = np.repeat(starts[index] - np.cumsum(n) + n, n)
+                        shift = np.repeat(starts[index] - np.cumsum(n, dtype=np.int64) + n, n)
                         out.append(flat[shift + np.arange(len(shift))].tobytes())
                     yield pa.RecordBatch.from_arrays([ids[part : part + ARROW_ROWS].cast(pa.int64()), pa.array(out, pa.binary())], names=["_id", "tokens"])
 
