@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ARROW_ROWS, pairs_of, tuned
+from lattica.llm.common import pairs_of, tuned
 
 #: White space as tiktoken's regex engine has it.
 _WS = "\\x09-\\x0D \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -32,6 +32,8 @@ FOLD_BYTES = 96
 
 #: A pair of ids a, b is the number a * PAIR + b; a pair without a rank has _NONE.
 PAIR = 65_536
+#: Rows of tokens made at a time.
+ROWS_OUT = 256
 _NONE = 2_147_483_647
 
 
@@ -264,9 +266,15 @@ def blocks(texts: DataFrame, pattern: str, common: Broadcast, block_chars: int =
     return texts.select("_id", found.alias("_w")).mapInArrow(gather, "ids array<long>, words array<array<tinyint>>, long array<binary>, texts array<binary>")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+_TOKENS = "_id long, tokens binary"
+_DIGESTS = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, digests: bool = False) -> DataFrame:
     """(_id, tokens binary): ids of each whole text as little-endian unsigned 32-bit integers. No shuffle of texts.
 
+    digests: the columns of ``token_digests`` instead, made by the same worker, so tokens needn't travel.
+
     A null or empty text has no tokens. Rows repeat as they come, null ids stay null, other
     columns are ignored; an empty table gives an empty table.
     """
@@ -290,33 +298,36 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     end += len(x)
                 flat = np.concatenate([flat, *longs]) if longs else flat
                 ids, rows = batch.column(0)[k].values, batch.column(3)[k].values
-                for part in range(0, len(rows), ARROW_ROWS):
+                for part in range(0, len(rows), ROWS_OUT):
                     out = []
-                    for seq in rows[part : part + ARROW_ROWS]:
+                    for seq in rows[part : part + ROWS_OUT]:
                         index = np.frombuffer(seq.as_buffer(), np.uint32)
                         n = lengths[index]
                         shift = np.repeat(starts[index] - np.cumsum(n, dtype=np.int64) + n, n)
                         out.append(flat[shift + np.arange(len(shift))].tobytes())
-                    yield pa.RecordBatch.from_arrays([ids[part : part + ARROW_ROWS].cast(pa.int64()), pa.array(out, pa.binary())], names=["_id", "tokens"])
+                    yield pa.RecordBatch.from_arrays([ids[part : part + ROWS_OUT].cast(pa.int64()), pa.array(out, pa.binary())], names=["_id", "tokens"])
 
-    # a row is a whole block: one at a time
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return folded.mapInArrow(join, "_id long, tokens binary")
+    digest = _digester(ranks)
+    return folded.mapInArrow(lambda batches: digest(join(batches)), _DIGESTS) if digests else folded.mapInArrow(join, _TOKENS)
 
 
-def token_digests(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(_id, n_tokens, ids_sha256, decoded_sha256): ids are decoded by joining their byte strings."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-
+def _digester(ranks: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
         for batch in batches:
             rows = []
-            for x in batch.column(1).to_pylist():
+            for value in batch.column(1):
+                x = value.as_py()
                 decoded = b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist()))
                 rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return tokens.mapInArrow(digest, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return digest
+
+
+def token_digests(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(_id, n_tokens, ids_sha256, decoded_sha256): ids are decoded by joining their byte strings."""
+    return tokens.mapInArrow(_digester(ranks), _DIGESTS)

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: bounds the Python memory when texts are long.
-ARROW_ROWS = 1024
+#: Rows and bytes of one Arrow batch: they bound the Python memory when texts are long.
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 
 #: Words kept in a worker's memo before it starts anew.
 MEMO_WORDS = 500_000
@@ -30,6 +30,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def tuned(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that go to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

@@ -23,8 +23,7 @@ def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     table = byte_bpe.load_ranks(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = byte_bpe.encode(read(spark, sf_dir, "documents"), table, public_tokenizers.PATTERN)
-    return byte_bpe.token_digests(tokens, table).withColumnRenamed("_id", "doc_id")
+    return byte_bpe.encode(read(spark, sf_dir, "documents"), table, public_tokenizers.PATTERN, digests=True).withColumnRenamed("_id", "doc_id")
 
 
 def op4_license_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:

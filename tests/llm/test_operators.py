@@ -136,6 +136,7 @@ def test_byte_bpe_is_tiktoken(spark, texts):
     tokens = byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, block_chars=5_000)
     got = {r["_id"]: r["tokens"] for r in tokens.collect()}
     digests = {r["_id"]: r for r in byte_bpe.token_digests(tokens, ranks).collect()}
+    assert {r["_id"]: r for r in byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, digests=True).collect()} == digests
     for r in df.collect():
         text = r["text"] or ""
         want = lib.encode_ordinary(text)
