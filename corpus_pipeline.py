@@ -37,7 +37,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the whole texts."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.token_digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).withColumnRenamed("_id", "doc_id")
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, digests=True).withColumnRenamed("_id", "doc_id")
 
 
 STAGES = [
