@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,22 +73,49 @@ def modified_files(annotations: DataFrame, texts: DataFrame) -> tuple[DataFrame,
 def connection_matches(outgoing: DataFrame, incoming: DataFrame, score: Column, least: float = 0.5, on: Column | None = None) -> DataFrame:
     """(sender_id, receiver_id, technology, match_confidence) of connections whose technologies agree, by a pluggable ``score``.
 
-    An unknown technology agrees with every known one: it is dealt out over them, so the join is by equality.
-    ``on``: a column expression over either side (an endpoint, say) that both must share, which keeps large groups
-    from meeting in full. ``score`` is an expression over o.* and i.*.
+    An unknown technology agrees with every other; two unknown ones are placed under the first known technology,
+    and without any there are no groups to match. ``on``: a column expression over either side (an endpoint, say) that
+    both must share, which keeps large groups from meeting in full; of an array they must share an element.
+    ``score`` is an expression over o.* and i.*.
+    """
+    known = outgoing.select("technology_name").unionAll(incoming.select("technology_name")).filter("technology_name <> 'Unknown'")
+    first = known.agg(F.min("technology_name").alias("first")).filter("first IS NOT NULL")
+
+    def keyed(side: DataFrame) -> DataFrame:
+        t = side.withColumn("t", F.nullif("technology_name", F.lit("Unknown")))
+        if on is None:
+            return t
+        listed = side.select(on.alias("k")).schema["k"].dataType.typeName() == "array"
+        return t.withColumn("k", F.explode(F.array_distinct(on)) if listed else on)
+
+    def met(a: DataFrame, b: DataFrame, where: Column) -> DataFrame:
+        pairs = a.alias("o").join(b.alias("i"), where)
+        return pairs.select(F.col("o.id").alias("sender_id"), F.col("i.id").alias("receiver_id"), F.coalesce("o.t", "i.t").alias("technology"), score.cast("double").alias("match_confidence"))
+
+    o, i, same, any_ = keyed(outgoing), keyed(incoming), F.col("o.t") == F.col("i.t"), F.col("o.t").isNull() | F.col("i.t").isNull()
+    if on is not None:
+        parts = [met(o, i, (F.col("o.k") == F.col("i.k")) & (same | any_))]
+    else:
+        parts = [met(o.filter("t IS NOT NULL"), i.filter("t IS NOT NULL"), same), met(o.filter("t IS NULL"), i, F.lit(True)), met(o.filter("t IS NOT NULL"), i.filter("t IS NULL"), F.lit(True))]
+    found = reduce(DataFrame.unionAll, parts).filter(F.col("match_confidence") >= least)
+    best = found.groupBy("sender_id", "receiver_id").agg(F.min("technology").alias("technology"), F.max("match_confidence").alias("match_confidence"))
+    return best.join(F.broadcast(first)).select("sender_id", "receiver_id", F.coalesce("technology", "first").alias("technology"), "match_confidence")
+
+
+def content_matches(outgoing: DataFrame, incoming: DataFrame, least: float = 0.5, text: str = "code_snippet") -> DataFrame:
+    """``connection_matches`` by content: the share of the sender's distinct words (64-bit hashes) that the receiver's text holds.
+
+    Pairs meet on a word. With n words a sender that reaches ``least`` shares one of any n - ceil(least * n) + 1 of
+    them, so its rarest ones lose no pair and the common words meet nothing.
     """
-    known = outgoing.select("technology_name").unionAll(incoming.select("technology_name")).filter("technology_name <> 'Unknown'").distinct().select(F.col("technology_name").alias("t"))
-
-    def dealt(side: DataFrame) -> DataFrame:
-        named = side.filter("technology_name <> 'Unknown'").withColumn("t", F.col("technology_name"))
-        unknown = side.filter("coalesce(technology_name, 'Unknown') = 'Unknown'").join(F.broadcast(known.limit(1_000)))
-        both = named.unionByName(unknown)
-        return both.withColumn("k", on if on is not None else F.lit(0))
-
-    o, i = dealt(outgoing).alias("o"), dealt(incoming).alias("i")
-    met = o.join(i, (F.col("o.t") == F.col("i.t")) & (F.col("o.k") == F.col("i.k")))
-    found = met.select(F.col("o.id").alias("sender_id"), F.col("i.id").alias("receiver_id"), F.col("o.t").alias("technology"), score.cast("double").alias("match_confidence")).filter(F.col("match_confidence") >= least)
-    return found.groupBy("sender_id", "receiver_id").agg(F.min("technology").alias("technology"), F.max("match_confidence").alias("match_confidence"))
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\pL\pN]+"), F.lit(0))), lambda w: F.xxhash64(w))
+    o, i = (side.select("id", "technology_name", words.alias("words")) for side in (outgoing, incoming))
+    counts = i.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    placed = o.select("id", F.explode("words").alias("w")).join(counts, "w", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("ranked"))
+    rare = F.slice(F.col("ranked.w"), F.lit(1), (F.size("ranked") - F.ceil(F.round(least * F.size("ranked"), 6)) + 1).cast("int"))
+    senders = o.join(placed, "id").withColumn("keys", rare).drop("ranked")
+    score = F.size(F.array_intersect("o.words", "i.words")) / F.size("o.words")
+    return connection_matches(senders, i.withColumn("keys", F.col("words")), score, least, on=F.col("keys"))
 
 
 def embed_blocks(blocks: DataFrame, source: DataFrame) -> DataFrame:

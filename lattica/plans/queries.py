@@ -354,12 +354,12 @@ def x15_registry_of_paths(s: Store) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT id, technology_name AS t, file_id % 10 AS k FROM {outgoing_connections}), i AS (SELECT id, technology_name AS t, file_id % 10 AS k FROM {incoming_connections})
-    SELECT o.id AS sender_id, i.id AS receiver_id FROM o JOIN i ON o.k = i.k AND ((o.t = i.t) OR o.t IS NULL OR i.t IS NULL) WHERE abs(o.id - i.id) < 400"""
+    r"""WITH o AS (SELECT id, technology_name AS t, list_distinct(regexp_extract_all(lower(code_snippet), '[\pL\pN]+')) AS w FROM {outgoing_connections}),
+    i AS (SELECT id, technology_name AS t, list_distinct(regexp_extract_all(lower(code_snippet), '[\pL\pN]+')) AS w FROM {incoming_connections})
+    SELECT o.id AS sender_id, i.id AS receiver_id FROM o JOIN i ON ((o.t = i.t) OR o.t IS NULL OR i.t IS NULL) WHERE len(o.w) > 0 AND 2 * len(list_intersect(o.w, i.w)) >= len(o.w)"""
 )
 def j27_connection_matches(s: Store) -> DataFrame:
-    score = F.when(F.abs(F.col("o.id") - F.col("i.id")) < 400, 1.0).otherwise(0.0)
-    return maintenance.connection_matches(s["outgoing_connections"], s["incoming_connections"], score, on=F.col("file_id") % 10).select("sender_id", "receiver_id")
+    return maintenance.content_matches(s["outgoing_connections"], s["incoming_connections"]).select("sender_id", "receiver_id")
 
 
 @query()

@@ -305,3 +305,27 @@ def test_incremental_index(spark, tmp_path):
         assert got(tables[t], *c) == got(now[t], *c)
     log = {r["file_path"].rsplit("/", 1)[-1]: r["change_type"] for r in maintenance.checkpoint_of(diff, first["files"], now["files"]).collect()}
     assert log == {"b.py": "modified", "c.py": "deleted", "d.py": "added"}
+
+
+def test_connection_matches_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    tech = [None, "Unknown", "HTTP/HTTPS", "gRPC"]
+    text = lambda n: " ".join(rng.choice("get post user order item cart list by id api v1 health".split()) for _ in range(n))
+    out = [(k, rng.choice(tech), text(rng.randint(0, 5))) for k in range(40)] + [(2000, "gRPC", "POST /orders")]
+    into = [(1000 + k, rng.choice(tech), text(rng.randint(0, 9))) for k in range(40)] + [(9000, "gRPC", "post, orders!")]
+    df = lambda rows: spark.createDataFrame(rows, "id long, technology_name string, code_snippet string")
+    want, first, real = {}, "HTTP/HTTPS", lambda t: None if t == "Unknown" else t
+    for a, t, x in out:
+        for b, u, y in into:
+            xs, ys = ({w.strip(",!/") for w in z.lower().split()} for z in (x, y))
+            if xs and len(xs & ys) / len(xs) >= 0.5 and (real(t) == real(u) or not real(t) or not real(u)):
+                want[a, b] = (real(t) or real(u) or first, round(len(xs & ys) / len(xs), 6))
+    got = {(r["sender_id"], r["receiver_id"]): (r["technology"], round(r["match_confidence"], 6)) for r in maintenance.content_matches(df(out), df(into)).collect()}
+    assert got == want and (2000, 9000) in got
+    assert maintenance.content_matches(df([(1, None, "a")]), df([(2, "Unknown", "a")])).count() == 0
+
+
+def test_unknown_connections_meet_more_than_a_thousand_technologies(spark):
+    out = spark.createDataFrame([(1, None)], "id long, technology_name string")
+    into = spark.range(1_500).select(F.col("id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("technology_name"))
+    assert maintenance.connection_matches(out, into, F.lit(1.0)).count() == 1_500
