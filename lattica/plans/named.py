@@ -174,7 +174,7 @@ NAMED: dict[str, str] = {
     # --- store maintenance as queries
     "w3_keep_last_file": "SELECT file_id, code FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts DESC, event_id DESC) AS k FROM {changes}) x WHERE k = 1",
     "w5_keep_first_relationship": """
-        SELECT source_id, target_id, type, import_content FROM (SELECT *, row_number() OVER (PARTITION BY source_id % 50, target_id % 50, type ORDER BY source_id, target_id, import_content) AS k FROM {relationships}) x WHERE k = 1""",
+        SELECT source_id, target_id, type, import_content FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY import_content) AS k FROM {relationships}) x WHERE k = 1""",
     "w12_delete_project_cascade": """
         SELECT cb.id FROM {code_blocks} cb WHERE NOT EXISTS (SELECT 1 FROM {files} f JOIN {projects} p ON f.project_id = p.id WHERE f.id = cb.file_id AND p.name = 'ASIA')""",
     "w14_restored_connections": "SELECT c.id FROM {incoming_connections} c WHERE EXISTS (SELECT 1 FROM {files} f WHERE f.id = c.file_id AND f.project_id <> 2)",

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lattica.plans.named import NAMED
+from lattica.plans.views import Store
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,3 +47,10 @@ def test_query(spark, db, name):
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.count() > 0 and "similarity" in out.columns
+
+
+def test_only_equal_edges_are_dropped(spark):
+    rows = [(1, 2, "import", "b"), (1, 2, "import", "a"), (1, 2, "call", "c"), (51, 2, "import", "d"), (1, 52, "import", "e"), (51, 52, "import", "f"), (51, 52, "import", "f")]
+    edges = spark.createDataFrame(rows, "source_id long, target_id long, type string, import_content string")
+    got = [tuple(r) for r in Store(spark, SF).sql(NAMED["w5_keep_first_relationship"], relationships=edges).collect()]
+    assert sorted(got) == [(1, 2, "call", "c"), (1, 2, "import", "a"), (1, 52, "import", "e"), (51, 2, "import", "d"), (51, 52, "import", "f")]
