@@ -31,11 +31,11 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT p_partkey, (p_partkey * 11 + 5) % n, 'from ' || p_name, 'import' FROM {part}, (SELECT count(*) AS n FROM {part}) c WHERE p_size > 25""",
     "outgoing_connections": """
-        SELECT conv_id * 100 + turn AS id, substr(text, 1, 40) AS description, conv_id % 50 AS file_id, turn * 10 + 1 AS start_line, turn * 10 + 8 AS end_line,
+        SELECT conv_id * 100 + turn AS id, text AS description, conv_id % 50 AS file_id, turn * 10 + 1 AS start_line, turn * 10 + 8 AS end_line,
                CASE conv_id % 6 WHEN 0 THEN 'HTTP/HTTPS' WHEN 1 THEN 'WebSockets' WHEN 2 THEN 'gRPC' WHEN 3 THEN 'GraphQL' WHEN 4 THEN 'MessageQueue' END AS technology_name, text AS code_snippet
         FROM {conversations} WHERE role = 'user'""",
     "incoming_connections": """
-        SELECT conv_id * 100 + turn AS id, substr(text, 1, 40) AS description, (conv_id + 7) % 50 AS file_id, turn * 10 + 1 AS start_line, turn * 10 + 8 AS end_line,
+        SELECT conv_id * 100 + turn AS id, text AS description, (conv_id + 7) % 50 AS file_id, turn * 10 + 1 AS start_line, turn * 10 + 8 AS end_line,
                CASE conv_id % 6 WHEN 0 THEN 'HTTP/HTTPS' WHEN 1 THEN 'WebSockets' WHEN 2 THEN 'gRPC' WHEN 3 THEN 'GraphQL' WHEN 4 THEN 'MessageQueue' END AS technology_name, text AS code_snippet
         FROM {conversations} WHERE role = 'assistant'""",
     "connection_mappings": """

@@ -54,3 +54,12 @@ def test_only_equal_edges_are_dropped(spark):
     edges = spark.createDataFrame(rows, "source_id long, target_id long, type string, import_content string")
     got = [tuple(r) for r in Store(spark, SF).sql(NAMED["w5_keep_first_relationship"], relationships=edges).collect()]
     assert sorted(got) == [(1, 2, "call", "c"), (1, 2, "import", "a"), (1, 52, "import", "e"), (51, 2, "import", "d"), (51, 52, "import", "f")]
+
+
+def test_tasks_that_begin_alike_stay_apart(spark, tmp_path):
+    same = "x" * 40
+    rows = [(1, 0, "user", same + " one"), (1, 1, "assistant", same + " two"), (2, 0, "user", same + " three"), (3, 0, "user", same.upper() + "  one")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["id"], r["description"]) for r in entry.queries()["z39_distinct_tasks"](spark, str(tmp_path)).collect()}
+    assert got == {(100, same + " one"), (200, same + " three")}
+    assert Store(spark, str(tmp_path))["incoming_connections"].first()["description"] == same + " two"
