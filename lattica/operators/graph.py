@@ -57,18 +57,34 @@ def blocks_to_embed(blocks: DataFrame) -> DataFrame:
     return blocks.filter(F.trim("content") != "")
 
 
-def search_scope(relationships: DataFrame, files: DataFrame, direction: str = "both", depth: int = 2) -> DataFrame:
-    """(section, anchor_id, file_id, file_path) for imports, importers, chain and impact of every file."""
+def connection_impacts(outgoing: DataFrame, incoming: DataFrame, mappings: DataFrame, files: DataFrame) -> DataFrame:
+    """(anchor_id, file_id, file_path, mapping_id, impact_type, technology, match_confidence) of the mappings above 0.5 at either end of a file.
+
+    ``file_id`` is the other end's file. A mapping within one file counts once, as received.
+    """
+    far = lambda side, key, p: side.select(F.col("id").alias(key), F.col("file_id").alias(f"{p}_file"), F.col("technology_name").alias(f"{p}_technology"))
+    met = mappings.filter("match_confidence > 0.5").join(far(outgoing, "sender_id", "o"), "sender_id", "left").join(far(incoming, "receiver_id", "i"), "receiver_id", "left")
+    technology = F.coalesce("o_technology", "i_technology", F.lit("Unknown")).alias("technology")
+    ends = lambda own, other, kind: (F.col(own).alias("anchor_id"), F.col(other).alias("file_id"), F.col("id").alias("mapping_id"), F.lit(kind).alias("impact_type"), technology, "match_confidence")
+    both = met.select(*ends("i_file", "o_file", "receives_from")).unionAll(met.filter("NOT o_file <=> i_file").select(*ends("o_file", "i_file", "sends_to")))
+    anchored = both.join(files.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
+    return anchored.join(files.select(F.col("id").alias("file_id"), "file_path"), "file_id", "left")
+
+
+def search_scope(relationships: DataFrame, files: DataFrame, outgoing: DataFrame, incoming: DataFrame, mappings: DataFrame, direction: str = "both", depth: int = 2) -> DataFrame:
+    """(section, anchor_id, file_id, file_path, and of a connection mapping_id, impact_type, technology, match_confidence)
+    for imports, importers, chain, whole reversed chain ('impact') and connection impacts of every file."""
     named = files.select(F.col("id").alias("file_id"), "file_path")
-    out = []
+    out = [connection_impacts(outgoing, incoming, mappings, files).withColumn("section", F.lit("connection_impacts"))]
     if direction in ("forward", "both"):
-        out.append(relationships.select(F.lit("imports").alias("section"), F.col("source_id").alias("anchor_id"), F.col("target_id").alias("file_id")).join(named, "file_id"))
-        out.append(dependency_chain(relationships, files, depth).select(F.lit("dependency_chain").alias("section"), "anchor_id", "file_id", "file_path"))
+        out.append(relationships.select(F.lit("imports").alias("section"), F.col("source_id").alias("anchor_id"), F.col("target_id").alias("file_id")).join(named, "file_id").distinct())
+        out.append(dependency_chain(relationships, files, depth).select(F.lit("dependency_chain").alias("section"), "anchor_id", "file_id", "file_path").distinct())
     if direction in ("backward", "both"):
-        out.append(relationships.select(F.lit("importers").alias("section"), F.col("target_id").alias("anchor_id"), F.col("source_id").alias("file_id")).join(named, "file_id"))
+        out.append(relationships.select(F.lit("importers").alias("section"), F.col("target_id").alias("anchor_id"), F.col("source_id").alias("file_id")).join(named, "file_id").distinct())
         back = relationships.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-        out.append(dependency_chain(back, files, depth).select(F.lit("impact").alias("section"), "anchor_id", "file_id", "file_path"))
-    return reduce(DataFrame.unionByName, [x.select("section", "anchor_id", "file_id", "file_path") for x in out]).distinct()
+        out.append(dependency_chain(back, files, depth, limit=None).select(F.lit("impact").alias("section"), "anchor_id", "file_id", "file_path").distinct())
+    scope = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out)
+    return scope.select("section", "anchor_id", "file_id", "file_path", "mapping_id", "impact_type", "technology", "match_confidence")
 
 
 def _brief(prefix: str = "") -> F.Column:

@@ -73,7 +73,7 @@ def r4_blocks_to_embed(s: Store) -> DataFrame:
 
 @query()
 def r5_search_scope(s: Store) -> DataFrame:
-    return graph.search_scope(s["relationships"], s["files"])
+    return graph.search_scope(s["relationships"], s["files"], s["outgoing_connections"], s["incoming_connections"], s["connection_mappings"])
 
 
 @query(

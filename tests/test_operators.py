@@ -329,3 +329,16 @@ def test_unknown_connections_meet_more_than_a_thousand_technologies(spark):
     out = spark.createDataFrame([(1, None)], "id long, technology_name string")
     into = spark.range(1_500).select(F.col("id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("technology_name"))
     assert maintenance.connection_matches(out, into, F.lit(1.0)).count() == 1_500
+
+
+def test_search_scope_has_connections_and_all_importers(spark):
+    f = spark.createDataFrame([(i, f"f{i}") for i in range(45)], "id long, file_path string")
+    e = spark.createDataFrame([(i, 0) for i in range(1, 41)], "source_id long, target_id long")
+    side = "id long, file_id long, technology_name string"
+    out = spark.createDataFrame([(1, 42, "gRPC"), (2, 42, None), (3, 42, None), (4, 99, "gRPC")], side)
+    into = spark.createDataFrame([(11, 43, "gRPC"), (12, 42, "WebSockets"), (13, 44, "gRPC"), (14, 44, "gRPC")], side)
+    m = spark.createDataFrame([(7, 1, 11, 0.9), (8, 2, 12, 0.7), (9, 3, 13, 0.5), (10, 4, 14, 0.6)], "id long, sender_id long, receiver_id long, match_confidence double")
+    got = graph.search_scope(e, f, out, into, m).collect()
+    assert {r["file_id"] for r in got if (r["section"], r["anchor_id"]) == ("impact", 0)} == set(range(1, 41))
+    ends = sorted((r["anchor_id"], r["file_id"], r["mapping_id"], r["impact_type"], r["technology"], r["file_path"]) for r in got if r["section"] == "connection_impacts")
+    assert ends == [(42, 42, 8, "receives_from", "WebSockets", "f42"), (42, 43, 7, "sends_to", "gRPC", "f43"), (43, 42, 7, "receives_from", "gRPC", "f42"), (44, 99, 10, "receives_from", "gRPC", None)]
