@@ -36,19 +36,27 @@ def dependency_chain(relationships: DataFrame, files: DataFrame, depth: int = 5,
     return found.withColumn("k", F.expr("row_number() OVER (PARTITION BY anchor_id ORDER BY depth, file_path, path)")).filter(F.col("k") <= limit).drop("k")
 
 
-def block_paths(blocks: DataFrame, levels: int = 32) -> DataFrame:
+def _saved(df: DataFrame) -> DataFrame:
+    """A table at a checkpoint: lineage ends there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
+def block_paths(blocks: DataFrame) -> DataFrame:
     """(id, ids, path): ids and names from the root down to each block, and the names above it joined by ' > '.
 
-    Pointers double each round, so depth d takes log2(d) joins.
+    Pointers double each round until none is left, so depth d takes log2(d) joins, each at a checkpoint. A way up
+    ends before a block that is on it already, so cycles end too, and at a parent that isn't there.
     """
     at = blocks.select("id", F.col("parent_block_id").alias("up"), F.array("id").alias("ids"), F.array("name").alias("names"))
-    step = 1
-    while step < levels:
+    held = "array_max(transform(ids2, (x, i) -> if(array_contains(ids, x), i + 1, 0)))"
+    while not (going := at.filter("up IS NOT NULL")).isEmpty():
         above = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
-        at = at.join(above, "up", "left").select(
-            "id", F.col("up2").alias("up"), F.when(F.col("ids2").isNull(), F.col("ids")).otherwise(F.concat("ids2", "ids")).alias("ids"), F.when(F.col("names2").isNull(), F.col("names")).otherwise(F.concat("names2", "names")).alias("names")
-        )
-        step *= 2
+        met = going.join(above, "up", "left").withColumn("met", F.expr(f"if(arrays_overlap(ids2, ids), {held}, 0)"))
+        rest = lambda c: F.when(F.col(f"{c}2").isNull(), F.col(c)).otherwise(F.concat(F.slice(f"{c}2", F.col("met") + 1, F.size(f"{c}2")), c)).alias(c)
+        at = _saved(at.filter("up IS NULL").unionAll(met.select("id", F.when(F.col("met") == 0, F.col("up2")).alias("up"), rest("ids"), rest("names"))))
     return at.select("id", "ids", F.array_join(F.slice("names", F.lit(1), F.size("names") - 1), " > ").alias("path"))
 
 

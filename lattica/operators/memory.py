@@ -83,10 +83,10 @@ def upsert_elements(tree: DataFrame, rows: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(by)).filter("_k = 1").drop("_k", "_new")
 
 
-def rendered(elements: DataFrame, levels: int = 16) -> DataFrame:
+def rendered(elements: DataFrame) -> DataFrame:
     """Elements in pre-order with indented names."""
     from lattica.operators.graph import block_paths
 
-    at = block_paths(elements.select(F.col("element_id").alias("id"), F.col("parent_id").alias("parent_block_id"), "name"), levels)
+    at = block_paths(elements.select(F.col("element_id").alias("id"), F.col("parent_id").alias("parent_block_id"), "name"))
     order: Column = F.array_join("ids", "/")
     return elements.join(at.withColumnRenamed("id", "element_id"), "element_id").select(order.alias("place"), F.concat(F.repeat(F.lit("    "), F.size("ids") - 1), "name").alias("line"))

@@ -342,3 +342,12 @@ def test_search_scope_has_connections_and_all_importers(spark):
     assert {r["file_id"] for r in got if (r["section"], r["anchor_id"]) == ("impact", 0)} == set(range(1, 41))
     ends = sorted((r["anchor_id"], r["file_id"], r["mapping_id"], r["impact_type"], r["technology"], r["file_path"]) for r in got if r["section"] == "connection_impacts")
     assert ends == [(42, 42, 8, "receives_from", "WebSockets", "f42"), (42, 43, 7, "sends_to", "gRPC", "f43"), (43, 42, 7, "receives_from", "gRPC", "f42"), (44, 99, 10, "receives_from", "gRPC", None)]
+
+
+def test_block_paths_of_any_depth(spark):
+    rows = [(i, i - 1 if i else None, f"b{i}") for i in range(101)] + [(200, 201, "x"), (201, 202, "y"), (202, 200, "z"), (203, 200, "in"), (300, 300, "self"), (400, 999, "lost")]
+    got = {r["id"]: (r["ids"], r["path"]) for r in graph.block_paths(spark.createDataFrame(rows, "id long, parent_block_id long, name string")).collect()}
+    assert all(got[i] == (list(range(i + 1)), " > ".join(f"b{k}" for k in range(i))) for i in range(101))
+    assert got[200] == ([202, 201, 200], "z > y") and got[203][0] == [202, 201, 200, 203] and got[300] == ([300], "") and got[400] == ([400], "")
+    tree = spark.createDataFrame([(f"{i:03}", f"{i - 1:03}" if i else None, f"e{i}", "f") for i in range(40)], "element_id string, parent_id string, name string, type string")
+    assert [r["line"] for r in memory.rendered(tree).orderBy("place").collect()] == ["    " * i + f"e{i}" for i in range(40)]
