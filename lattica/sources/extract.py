@@ -149,8 +149,49 @@ def pattern_names(pattern: str) -> list[str]:
     return out
 
 
+_PARAMS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_ARROW = re.compile(rf"(?:\b({_ID})\s*(?::[^=;\n]*)?[=:]\s*)?(?:\basync\s*)?(?:{_PARAMS}\s*(?::[^=;{{}}\n]*)?|\b{_ID}\s*)=>\s*")
+_INNER = re.compile(rf"(?:\basync\s+)?\bfunction\b\s*\*?\s*({_ID})?\s*(?:<[^>]*>)?\s*{_PARAMS}[^{{;]*\{{")
+_MEMBER = re.compile(rf"(?:^|[{{}},;])\s*((?:(?:public|private|protected|static|override|async|get|set)\s+)*\*?({_ID})\s*(?:<[^>]*>)?\s*{_PARAMS}\s*(?::[^;{{}}=]*)?\{{)", re.M)
+
+
+def _inner_functions(blank: str, a: int, b: int) -> list[tuple[int, int, int, str]]:
+    """(start, end of the signature, end, name) of declarations, expressions, arrows and methods between two places, in order."""
+    found = {}
+    for m in _ARROW.finditer(blank, a, b):
+        s = m.start() if not m[1] else m.end(1) + re.search(r"[=:]\s*(?=(?:async\b\s*)?(?:\(|[\w$]+\s*=>))", blank[m.end(1) : m.end()]).end()
+        block = blank[m.end() : m.end() + 1] == "{"
+        found[s] = (s, m.end() + block, _close(blank, m.end()) if block else _expression_end(blank, m.end(), b), m[1] or "anonymous")
+    for m in _INNER.finditer(blank, a, b):
+        found[m.start()] = (m.start(), m.end(), _close(blank, m.end() - 1), m[1] or "anonymous")
+    for m in _MEMBER.finditer(blank, a, b):
+        if m[2] not in _WORDS:
+            found.setdefault(m.start(1), (m.start(1), m.end(1), _close(blank, m.end(1) - 1), m[2]))
+    return [found[s] for s in sorted(found)]
+
+
+def _expression_end(blank: str, at: int, last: int) -> int:
+    """End of an arrow's body without braces."""
+    depth = 0
+    for k in range(at, last):
+        c = blank[k]
+        if c in "{([":
+            depth += 1
+        elif c in "})]":
+            depth -= 1
+            if depth < 0:
+                return k
+        elif depth == 0 and (c in ",;" or c == "\n" and blank[at:k].strip() and not re.match(r"\s*[.?:&|+*/-]", blank[k:last])):
+            return k
+    return last
+
+
 def typescript_blocks(text: str) -> list[dict]:
-    """Imports, exports, functions, classes with members, interfaces, types, enums and variables of TS, TSX, JS."""
+    """Imports, exports, functions, classes with members, interfaces, types, enums and variables of TS, TSX, JS.
+
+    Of a large function or method the functions inside become children, and their bodies references in its text;
+    arrows without braces stay in the text.
+    """
     blank = _blanked(text)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     import bisect
@@ -161,6 +202,31 @@ def typescript_blocks(text: str) -> list[dict]:
 
     out: list[dict] = []
     inside: list[tuple[int, int]] = []
+    is_large = lambda a, b: (p := pos(a, b))[1] - p[0] + 1 > LARGE
+
+    def function(name: str, a: int, b: int, after: int, parent: int | None = None) -> None:
+        """A function block whose signature goes on at ``after``."""
+        at = len(out)
+        out.append(_block("function", name, text[a:b], pos(a, b), parent))
+        if not is_large(a, b):
+            return
+        parts, cut, shown = [], a, (0, 0)
+        for s, signed, e, inner in _inner_functions(blank, after, b):
+            out.append(_block("function", inner, text[s:e], pos(s, e), at))
+            reference = f"\n    // [BLOCK_REF:{len(out) - 1}]\n"
+            if s < shown[1]:
+                parts[-1] = parts[-1].removesuffix("}") + reference.removeprefix("\n") + "}"
+            elif blank[signed - 1] == "{":
+                parts += [text[cut:signed], reference + "}"]
+                cut, shown = e, (s, e)
+        out[at]["content"] = "".join([*parts, text[cut:b]])
+
+    arrow_of = lambda a, b: re.match(r"[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]*)?=>", blank[a:b])
+    for m in _TS[5][1].finditer(blank):
+        a = m.start() + len(m[0]) - len(m[0].lstrip())
+        b = _close(blank, a)
+        if blank.count("{", 0, a) == blank.count("}", 0, a) and is_large(a, b) and arrow_of(a, b):
+            inside.append((a, b))
     for kind, rx in _TS:
         for m in rx.finditer(blank):
             a = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -173,11 +239,14 @@ def typescript_blocks(text: str) -> list[dict]:
                 out.append(_block("import", ", ".join(names), text[a:b], pos(a, b)))
             elif kind == "export":
                 names = re.findall(_ID, re.sub(r"\b(?:export|default|const|let|var|function|class|interface|enum|type|async|abstract|declare|from|as)\b|[=(<:].*", " ", blank[a:b], flags=re.S))
-                out.append(_block("export", ", ".join(names[:8]) or "default", text[a:b], pos(a, b)))
+                out.append(_block("export", ", ".join(names) or "default", text[a:b], pos(a, b)))
             elif kind == "variable":
-                arrow = re.match(r"[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]*)?=>", blank[a:b])
+                arrow = arrow_of(a, b)
                 for name in pattern_names(text[m.start(1) : m.end(1)]):
-                    out.append(_block("function" if arrow else "variable", name, text[a:b], pos(a, b)))
+                    if arrow:
+                        function(name, a, b, a + arrow.end())
+                    else:
+                        out.append(_block("variable", name, text[a:b], pos(a, b)))
             elif kind == "class":
                 at = len(out)
                 out.append(_block("class", m[1], "", pos(a, b)))
@@ -188,9 +257,16 @@ def typescript_blocks(text: str) -> list[dict]:
                     if here == 1 and f[1] not in _WORDS:
                         s = f.start() + len(f[0]) - len(f[0].lstrip())
                         e = min(_close(blank, s), b - 1)
-                        out.append(_block("function" if f[2] == "(" else "variable", f[1], text[s:e], pos(s, e), at))
+                        if f[2] == "(":
+                            function(f[1], s, e, f.end(), at)
+                        else:
+                            out.append(_block("variable", f[1], text[s:e], pos(s, e), at))
             elif kind == "function" and any(x < a < y for x, y in inside):
                 continue
+            elif kind == "function":
+                function(m[1], a, b, m.end())
+                if is_large(a, b):
+                    inside.append((a, b))
             else:
                 out.append(_block(kind, m[1], text[a:b], pos(a, b)))
     for m in re.finditer(r"\b(?:require|import)\s*\(\s*(['\"])", blank):

@@ -351,3 +351,23 @@ def test_block_paths_of_any_depth(spark):
     assert got[200] == ([202, 201, 200], "z > y") and got[203][0] == [202, 201, 200, 203] and got[300] == ([300], "") and got[400] == ([400], "")
     tree = spark.createDataFrame([(f"{i:03}", f"{i - 1:03}" if i else None, f"e{i}", "f") for i in range(40)], "element_id string, parent_id string, name string, type string")
     assert [r["line"] for r in memory.rendered(tree).orderBy("place").collect()] == ["    " * i + f"e{i}" for i in range(40)]
+
+
+def test_large_typescript_functions_refer_to_nested_ones():
+    lines = "\n".join(f"    let v{i} = {i};" for i in range(300))
+    inner = "    function small(a) { if (a) { return 'gone1'; } }\n    const arrow = async (x) => {\n      return () => { 'gone2'; };\n    };\n    run({ put(k) { return 'gone3'; } }, y => y + 1);\n    // function no() { }\n"
+    for head, tail in (("function big(n) {", "}"), ("class C {\n  big(n) {", "  }\n}"), ("export const big = (n) => {", "};")):
+        out = extract.typescript_blocks(f"{head}\n{lines}\n{inner}{tail}\nfunction after() {{ }}\n")
+        big = next(i for i, b in enumerate(out) if b["name"] == "big" and b["type"] == "function")
+        kids = {i: b for i, b in enumerate(out) if b["parent_ordinal"] == big}
+        assert sorted(b["name"] for b in kids.values()) == ["anonymous", "anonymous", "arrow", "put", "small"]
+        assert len([b for b in out if b["type"] == "function"]) == 7
+        text = out[big]["content"]
+        assert all((f"[BLOCK_REF:{i}]" in text) == (b["content"] != "y => y + 1") for i, b in kids.items()) and "gone" not in text
+        assert "function small(a) {" in text and "y => y + 1" in text and "v299" in text and "".join(b["content"] for b in kids.values()).count("gone2") == 2
+    assert [b["parent_ordinal"] for b in extract.typescript_blocks("function f() {\n  function g() { }\n}\n") if b["name"] == "g"] == [None]
+
+
+def test_all_names_of_an_export():
+    names = [f"n{i}" for i in range(20)]
+    assert [b["name"] for b in extract.typescript_blocks(f"export {{ {', '.join(names)} }};\n") if b["type"] == "export"] == [", ".join(names)]
