@@ -147,8 +147,10 @@ NAMED: dict[str, str] = {
     # --- sets
     "u2_all_technologies": "SELECT DISTINCT coalesce(technology_name, 'Unknown') AS technology FROM (SELECT technology_name FROM {incoming_connections} UNION ALL SELECT technology_name FROM {outgoing_connections}) u",
     "u3_available_technologies": "SELECT DISTINCT technology_name AS technology FROM (SELECT technology_name FROM {incoming_connections} UNION ALL SELECT technology_name FROM {outgoing_connections}) u WHERE technology_name <> 'Unknown'",
-    "u4_deleted_files": "SELECT doc_id FROM {documents} WHERE doc_id % 10 <> 3 EXCEPT SELECT doc_id FROM {documents} WHERE doc_id % 10 <> 7",
-    "u5_changed_or_new": "SELECT doc_id FROM {documents} WHERE doc_id % 5 = 0 UNION SELECT doc_id FROM {documents} WHERE doc_id % 10 = 3",
+    "u4_deleted_files": "SELECT doc_id FROM {old_documents} EXCEPT SELECT doc_id FROM {new_documents}",
+    "u5_changed_or_new": """
+        WITH a AS (SELECT doc_id, [[sha2(text, 256)|sha256(text)]] AS h FROM {old_documents}), b AS (SELECT doc_id, [[sha2(text, 256)|sha256(text)]] AS h FROM {new_documents})
+        SELECT DISTINCT b.doc_id FROM b LEFT JOIN a ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR a.h IS DISTINCT FROM b.h""",
     # --- windows and order
     "n1_block_ordinals": "SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS ordinal FROM {code_blocks}",
     "n7_pages_of_30": """

@@ -49,6 +49,8 @@ VIEWS: dict[str, str] = {
     "changes": """
         SELECT user_id AS file_id, CASE event_type WHEN 'purchase' THEN 'deleted' WHEN 'signup' THEN 'added' ELSE 'modified' END AS op, ts, event_id, 'v' || CAST(event_id AS [[STRING|VARCHAR]]) AS code
         FROM {events}""",
+    "old_documents": "SELECT doc_id, text FROM {documents} WHERE doc_id % 10 <> 3",
+    "new_documents": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM {documents} WHERE doc_id % 10 <> 7",
 }
 
 

@@ -63,3 +63,10 @@ def test_tasks_that_begin_alike_stay_apart(spark, tmp_path):
     got = {(r["id"], r["description"]) for r in entry.queries()["z39_distinct_tasks"](spark, str(tmp_path)).collect()}
     assert got == {(100, same + " one"), (200, same + " three")}
     assert Store(spark, str(tmp_path))["incoming_connections"].first()["description"] == same + " two"
+
+
+def test_changes_are_told_by_text(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (5, "c"), (6, None), (9, "gone")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "a"), (2, "B"), (5, "c"), (6, "now"), (13, "new")], "doc_id long, text string")
+    got = {n: {r["doc_id"] for r in Store(spark, SF).sql(NAMED[n], old_documents=old, new_documents=new).collect()} for n in ("u4_deleted_files", "u5_changed_or_new")}
+    assert got == {"u4_deleted_files": {9}, "u5_changed_or_new": {2, 6, 13}}
