@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that go to Python workers."""
+    """Bound the Arrow batches that go to Python workers: a default of the session, the same for all operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
@@ -37,12 +40,13 @@ def tuned(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, the folder all executors see.
 
-    The setting is read from the session; only where it is unset (tests) one is chosen.
+    The setting is read from the session. Where it is unset, a local session (tests) gets one; a
+    cluster must name its own, as its machines share no local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -56,9 +60,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL has it, whatever dots and quotes are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def pairs_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names no other column can clash with."""
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return df.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system: after work on the driver that needed much of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -126,20 +144,36 @@ class Rolling:
         return _mix((sums[length:] - sums[: n - length + 1]) * self.down[: n - length + 1])
 
 
+#: Rows from which a key counts as heavy, and heavy keys at most: each has more than 1 / HEAVY_KEYS of all rows.
+HEAVY_ROWS, HEAVY_KEYS = 64, 10_000
+
+
+def heavy_join(rows: DataFrame, small: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small`` (one row a key), whose column ``weight`` counts the key's ``rows`` out of ``total``.
+
+    Keys with more than a ten-thousandth of all rows are fewer than HEAVY_KEYS, whatever the input, so they
+    are broadcast; the rest is shuffled, and none of its keys is large. ``how``: inner or left.
+    """
+    limit = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    heavy = small.filter(F.col(weight) > limit)
+    light = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(small.filter(F.col(weight) <= limit), on, how)
+    return rows.join(F.broadcast(heavy), on).unionByName(light)
+
+
 def connected_components(edges: DataFrame, name: str, rounds: int = 30) -> DataFrame:
-    """(node, root): the smallest node of each component, for edges (a, b) of longs.
+    """(node, root): the smallest node of each component, for edges (a, b) of any type with an order.
 
-    Alternating large-star and small-star steps; each round is a group-by and a join on
-    the node and ends in a written table. Nothing but two counters reaches the driver.
+    Alternating large-star and small-star steps; each step is a group-by and a join on the node
+    (hubs with many edges are broadcast) and ends in a written table. Nothing but counters reaches the driver.
     """
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
+    def star(e: DataFrame, n: int, small: bool) -> DataFrame:
         if small:
             side = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         else:
             side = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = side.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = side.join(least, "u")
+        least = cut(side.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), name)
+        met = heavy_join(side, least, "u", "degree", 2 * n)
         if small:
             out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         else:
@@ -147,13 +181,15 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 30) -> DataF
         return out.filter("a <> b").distinct()
 
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = None
+    size, state = now.count(), None
     for _ in range(rounds):
-        now = cut(star(star(now, small=False), small=True), name)
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(new) == state:
+        if not size:
+            break
+        now = cut(star(cut(star(now, size, small=False), name), size, small=True), name)
+        size, mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (size, mark) == state:
             break
-        state = tuple(new)
+        state = size, mark
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
