@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -13,16 +12,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import pairs_of, tuned
+from lattica.llm.common import cut, give_back, pairs_of, shared_dir, tuned
 
 #: White space as tiktoken's regex engine has it.
 _WS = "\\x09-\\x0D \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 #: Bytes of split texts in one block, about twice the text; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 
 #: Texts and their characters in the sample whose words are folded once, and those words, at most (documented bounds).
 COMMON_ROWS, COMMON_CHARS, COMMON_WORDS = 16_000, 20_000, 500_000
@@ -30,8 +29,9 @@ COMMON_ROWS, COMMON_CHARS, COMMON_WORDS = 16_000, 20_000, 500_000
 #: A fold takes n steps over n bytes; longer words are merged with a heap instead, n log n.
 FOLD_BYTES = 96
 
-#: A pair of ids a, b is the number a * PAIR + b; a pair without a rank has _NONE.
-PAIR = 65_536
+#: Ids are below MOST_IDS, so three of them fit into a long. A pair without a rank has _NONE.
+MOST_IDS = 1 << 21
+
 #: Rows of tokens made at a time.
 ROWS_OUT = 256
 _NONE = 2_147_483_647
@@ -49,19 +49,38 @@ def java_pattern(pattern: str) -> str:
 
 def perfect_hash(table: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
     """(shifts, keys, values): a key is found at (key + shifts[key % len(shifts)]) % len(keys), if anywhere."""
-    size, n = 8 * len(table) // 5 + 3, len(table) // 3 + 1
+    n = len(table) // 3 + 1
     groups: list[list[int]] = [[] for _ in range(n)]
     for key in table:
         groups[key % n].append(key)
-    shifts, keys, values = [0] * n, [-1] * size, [0] * size
-    for group in sorted(groups, key=len, reverse=True):
+    groups.sort(key=len, reverse=True)
+    size, shifts = 8 * len(table) // 5 + 3, None
+    while shifts is None:
+        shifts, size = _placed(groups, n, size), size + 2
+    size -= 2
+    keys, values = [-1] * size, [0] * size
+    for key, value in table.items():
+        at = (key + shifts[key % n]) % size
+        keys[at], values[at] = key, value
+    return shifts, keys, values
+
+
+def _placed(groups: list[list[int]], n: int, size: int) -> list[int] | None:
+    """A shift for each group that sends its keys to free places; None if a group finds none."""
+    shifts, taken = [0] * n, bytearray(size)
+    for group in groups:
         if not group:
             break
-        shift = next(s for s in range(size) if len({(k + s) % size for k in group}) == len(group) and all(keys[(k + s) % size] < 0 for k in group))
+        places = [k % size for k in group]
+        if len(set(places)) < len(places):
+            return None
+        shift = next((s for s in range(size) if not any(taken[(p + s) % size] for p in places)), None)
+        if shift is None:
+            return None
         shifts[group[0] % n] = shift
-        for k in group:
-            keys[(k + shift) % size], values[(k + shift) % size] = k, table[k]
-    return shifts, keys, values
+        for p in places:
+            taken[(p + shift) % size] = 1
+    return shifts
 
 
 @dataclass(frozen=True)
@@ -69,43 +88,55 @@ class RankMap:
     """The ranks as one literal, and the lengths of its arrays.
 
     ``single``: ids of the 256 bytes. ``double``: ranks of the 65,536 pairs of bytes, at 256 a + b.
-    ``shifts``, ``entries``: a perfect hash from a pair of ids, a * PAIR + b, to that number times
-    PAIR plus the rank of the joined bytes; a lookup in a map literal would be a scan. The rank of a
+    ``shifts``, ``entries``: a perfect hash from a pair of ids, a * base + b, to that number times
+    ``base`` plus the rank of the joined bytes; a lookup in a map literal would be a scan. The rank of a
     byte string is its id.
+
+    The literal is a scalar subquery on a table of one row: Spark puts its value into the expression as a
+    literal when the query runs. Written into the query's text, it would stand in every plan's description
+    (3 MB a copy, which the driver keeps for each query).
     """
 
     literal: Column
+    base: int
     shifts: int
     entries: int
 
 
-def rank_map(ranks: dict[bytes, int]) -> RankMap:
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> RankMap:
+    if not 0 <= min(ranks.values()) <= max(ranks.values()) < MOST_IDS:
+        raise ValueError(f"ids must lie in 0 .. {MOST_IDS - 1}")
+    base = (max(ranks.values()) + 1) | 1
     pairs: dict[int, int] = {}
     for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+        for cut_at in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut_at]), ranks.get(piece[cut_at:])
             if a is not None and b is not None:
-                pairs[a * PAIR + b] = rank
+                pairs[a * base + b] = rank
     shifts, keys, values = perfect_hash(pairs)
     tables = {
         "single": [ranks[bytes([b])] for b in range(256)],
         "double": [ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)],
         "shifts": shifts,
-        "entries": [k * PAIR + v for k, v in zip(keys, values, strict=True)],
+        "entries": [k * base + v for k, v in zip(keys, values, strict=True)],
     }
-    text = F.lit(json.dumps(tables, separators=(",", ":")))
-    return RankMap(F.from_json(text, ", ".join(f"{k} array<bigint>" for k in tables)), len(shifts), len(keys))
+    kind = pa.list_(pa.int64())
+    row = pa.struct([(k, kind) for k in tables])
+    path = shared_dir(spark, "ranks")
+    spark.createDataFrame(pa.table({"tables": pa.array([tables], row)})).coalesce(1).write.parquet(path)
+    return RankMap(spark.read.schema("tables struct<" + ", ".join(f"{k}: array<bigint>" for k in tables) + ">").parquet(path).scalar(), base, len(shifts), len(keys))
 
 
-def fold_merges(words: str, ranks: RankMap) -> Column:
-    """Ids of each word of ``words``, an array of byte arrays.
+def fold_merges(df: DataFrame, words: str, ranks: RankMap, ids: str) -> DataFrame:
+    """``df`` with a column ``ids``: the ids of each word of ``words``, an array of byte arrays.
 
     The state of a word is its ids and the ranks of its adjacent pairs. A step joins the leftmost
     pair of the lowest rank and looks up its two new neighbours; the fold has a step for each byte
     but one, and those after the last merge do nothing.
     """
     # the literal stands once in the plan; all else refers to it by name
-    return _let(ranks.literal, lambda tables: F.transform(words, _encoder(tables, ranks)))
+    folded = _let(F.col("_tables"), lambda tables: F.transform(words, _encoder(tables, ranks)))
+    return df.withColumn("_tables", ranks.literal).withColumn(ids, folded).drop("_tables")
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -118,9 +149,9 @@ def _encoder(tables: Column, sizes: RankMap) -> Callable[[Column], Column]:
     def rank(a: Column, b: Column) -> Column:
         def found(key: Column) -> Column:
             entry = F.get(tables["entries"], ((key + F.get(tables["shifts"], (key % sizes.shifts).cast("int"))) % sizes.entries).cast("int"))
-            return _let(entry - key * PAIR, lambda rest: F.when((rest >= 0) & (rest < PAIR), rest).otherwise(none))
+            return _let(entry - key * sizes.base, lambda rest: F.when((rest >= 0) & (rest < sizes.base), rest).otherwise(none))
 
-        return _let(a * PAIR + b, found)
+        return _let(a * sizes.base + b, found)
 
     def step(state: Column, _: Column) -> Column:
         p, r, joined = state["p"], state["r"], state["m"]
@@ -207,7 +238,7 @@ def common_words(texts: DataFrame, pattern: str, ranks: RankMap, rows: int = COM
 
     spark = tuned(texts.sparkSession)
     dealt = words.repartition(2 * spark.sparkContext.defaultParallelism, "w").mapInArrow(lists, "words array<array<tinyint>>")
-    found = dealt.select("words", fold_merges("words", ranks).alias("ids")).toArrow()
+    found = fold_merges(dealt, "words", ranks, "ids").toArrow()
     raw = [_flat(found[c]) if found.num_rows else None for c in ("words", "ids")]
     if raw[0] is None:
         return Common(pa.array([], pa.binary()), *(np.empty(0, np.int32) for _ in range(2)), np.empty(0, "<u4"))
@@ -270,17 +301,21 @@ _TOKENS = "_id long, tokens binary"
 _DIGESTS = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, digests: bool = False, tokens: bool = True) -> DataFrame:
     """(_id, tokens binary): ids of each whole text as little-endian unsigned 32-bit integers. No shuffle of texts.
 
-    digests: the columns of ``token_digests`` instead, made by the same worker, so tokens needn't travel.
+    digests: the columns of ``token_digests`` too, made by the same worker; tokens: whether the ids are returned.
+    Blocks of split texts are written to the shared folder between splitting and folding, so an
+    executor runs one Python worker a task at a time, and a lost one repeats one half.
 
     A null or empty text has no tokens. Rows repeat as they come, null ids stay null, other
-    columns are ignored; an empty table gives an empty table.
+    columns are ignored; very long texts are encoded whole; equal texts have equal ids, as nothing is left to
+    ties (a vocabulary's ranks differ; of equal pairs the leftmost is joined). An empty table gives an empty table.
     """
-    spark, texts, table = tuned(docs.sparkSession), pairs_of(docs, id_col, text_col), rank_map(ranks)
+    spark, texts, table = tuned(docs.sparkSession), pairs_of(docs, id_col, text_col), rank_map(docs.sparkSession, ranks)
     common = spark.sparkContext.broadcast(common_words(texts, pattern, table))
-    folded = blocks(texts, pattern, common, block_chars).withColumn("words", fold_merges("words", table))
+    give_back()
+    folded = fold_merges(cut(blocks(texts, pattern, common, block_chars), "blocks"), "words", table, "words")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
@@ -307,27 +342,50 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                         out.append(flat[shift + np.arange(len(shift))].tobytes())
                     yield pa.RecordBatch.from_arrays([ids[part : part + ROWS_OUT].cast(pa.int64()), pa.array(out, pa.binary())], names=["_id", "tokens"])
 
-    digest = _digester(ranks)
-    return folded.mapInArrow(lambda batches: digest(join(batches)), _DIGESTS) if digests else folded.mapInArrow(join, _TOKENS)
+    if not digests:
+        return folded.mapInArrow(join, _TOKENS)
+    digest = _digester(ranks, tokens)
+    return folded.mapInArrow(lambda batches: digest(join(batches)), _DIGESTS + (", tokens binary" if tokens else ""))
+
+
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return out
 
 
-def _digester(ranks: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _digester(ranks: dict[bytes, int], tokens: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
+        pieces = _pieces(ranks)
         for batch in batches:
             rows = []
             for value in batch.column(1):
                 x = value.as_py()
-                decoded = b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(_decoded(x, pieces)).hexdigest()))
             n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
+            names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * tokens, names=names + ["tokens"] * tokens)
 
     return digest
 
 
+def _decoded(tokens: bytes, pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(tokens, "<u4").tolist()))
+
+
+def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(_id, bytes binary): the byte strings of the ids, joined. Null tokens give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(ranks)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else _decoded(x, pieces) for x in batch.column(1).to_pylist()], pa.binary())], names=["_id", "bytes"])
+
+    return tokens.select("_id", "tokens").mapInArrow(run, "_id long, bytes binary")
+
+
 def token_digests(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(_id, n_tokens, ids_sha256, decoded_sha256): ids are decoded by joining their byte strings."""
     return tokens.mapInArrow(_digester(ranks), _DIGESTS)
