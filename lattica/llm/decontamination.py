@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, heavy_join, pairs_of, quoted
 
 SHINGLE, THRESHOLD = 5, 0.8
 
 #: Sketch values of one item beyond what may be missing at the threshold; as many must be met.
 SPARE = 3
 
-#: Sketch rows that are broadcast at most (about 30 MB); beyond them the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of the sketch, and bytes of the items' shingles, that are broadcast at most; beyond either that join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 
 
 def normal_words(text: str) -> Column:
@@ -21,15 +23,25 @@ def normal_words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+", -1), "")
 
 
-def shingles(words: str, k: int, hashed: bool) -> Column:
-    """Shingles of the array column ``words``, as hashes or strings; fewer than k words are one shingle."""
-    one = f"slice({words}, i, {k})"
-    made = f"xxhash64({one})" if hashed else f"array_join({one}, ' ')"
-    return F.expr(f"CASE WHEN size({words}) > 0 THEN transform(sequence(1, greatest(size({words}) - {k - 1}, 1)), i -> {made}) ELSE array() END")
+def shingles(words: str, sizes: Iterable[int], hashed: bool) -> Column:
+    """Shingles of the array column ``words`` of each of some sizes, as hashes or strings."""
+
+    def of(k: int) -> str:
+        one = f"slice({words}, i, {k})"
+        return f"CASE WHEN size({words}) >= {k} THEN transform(sequence(1, size({words}) - {k - 1}), i -> {f'xxhash64({one})' if hashed else f'array_join({one}, chr(32))'}) ELSE array() END"
+
+    made = [of(k) for k in sorted(sizes)]
+    return F.expr(made[0] if len(made) == 1 else f"concat({', '.join(made)})")
+
+
+def item_shingles(k: int, hashed: bool) -> Column:
+    """Shingles of an item's ``_words``: of k words, or of all its words if they are fewer."""
+    whole = "array(xxhash64(_words))" if hashed else "array(array_join(_words, chr(32)))"
+    return F.when(F.size("_words") >= k, shingles("_words", [k], hashed)).when(F.size("_words") > 0, F.expr(whole)).otherwise(F.array())
 
 
 def sketches(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(item, h, need): for each item the smallest hashes of its shingles (its MinHash values).
+    """(_item, _need, _k): for each item the smallest hashes of its shingles (its MinHash values).
 
     Items are partitioned by size, a class for each power of two. All items of a class take as many
     values as its largest item may miss at the threshold, plus SPARE. Of them a document with
@@ -37,7 +49,7 @@ def sketches(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -
     the search loses nothing. Containment is measured on the small side (Koslicki and Zabeti's
     containment MinHash): sketches of long documents would have to be as long as the documents.
     """
-    sized = items.withColumn("_h", F.sort_array(F.array_distinct(shingles("_words", k, hashed=True)))).filter(F.size("_h") > 0)
+    sized = items.withColumn("_h", F.sort_array(F.array_distinct(item_shingles(k, hashed=True)))).filter(F.size("_h") > 0)
     miss = f"cast(floor(round((1 - {threshold}) * {{0}}, 6)) as int)"
     upper = "(cast(pow(2, floor(log2(size(_h))) + 1) as int) - 1)"
     taken = sized.withColumn("_m", F.expr(f"least(size(_h), {miss.format(upper)} + {SPARE})")).withColumn("_need", F.expr(f"greatest(1, _m - {miss.format('size(_h)')})"))
@@ -49,23 +61,33 @@ def contaminated(
 ) -> DataFrame:
     """(id, item, n_shingles, n_found, containment) of all pairs with containment >= threshold.
 
-    Containment: distinct k-word shingles of the item found in the whole document, by the item's
-    distinct shingles, verified on the shingles' text. Null or wordless texts and null ids match
-    nothing; repeated rows of an id count once; an empty table gives no pairs.
+    Containment: distinct k-word shingles of the item found in the whole document, however long, by the
+    item's distinct shingles, verified on the shingles' text. An item of n < k words is one shingle of n words
+    and is looked for among the documents' n-word shingles. Null or wordless texts and null ids match
+    nothing; repeated rows of an id count once (the best of its texts, the longest of an item's); all items at
+    the threshold or above are returned, so nothing is left to ties; other columns are ignored; an empty
+    table gives no pairs.
     """
-    bench = items.select(F.col(item_col).cast("long").alias("_item"), F.col(item_text).cast("string").alias("_text")).filter("_item IS NOT NULL AND _text IS NOT NULL").dropDuplicates()
-    bench = cut(bench.withColumn("_words", normal_words("_text")).select("_item", "_words"), "bench")
+    bench = items.select(F.col(quoted(item_col)).cast("long").alias("_item"), F.col(quoted(item_text)).cast("string").alias("_text")).filter("_item IS NOT NULL AND _text IS NOT NULL").dropDuplicates()
+    bench = cut(bench.withColumn("_words", normal_words("_text")).select("_item", "_words").filter("size(_words) > 0"), "bench")
     sketch = cut(sketches(bench, k, threshold), "sketch")
-    small = sketch.count() <= BROADCAST_ROWS
-    near = F.broadcast(sketch) if small else sketch
-    whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id IS NOT NULL AND _text IS NOT NULL")
-    hashes = whole.select("_id", normal_words("_text").alias("_words")).select("_id", F.explode(shingles("_words", k, hashed=True)).alias("_k"))
+    near = F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch
+    # the k lengths at most that items' shingles have; one, unless items are shorter than a shingle
+    sizes = [r[0] for r in bench.select(F.least(F.size("_words"), F.lit(k))).distinct().collect()] or [k]
+    whole = pairs_of(docs, id_col, text_col).filter("_id IS NOT NULL AND _text IS NOT NULL")
+    hashes = whole.select("_id", normal_words("_text").alias("_words")).select("_id", F.explode(shingles("_words", sizes, hashed=True)).alias("_k"))
     met = hashes.join(near, "_k").groupBy("_id", "_item").agg(F.count_distinct("_k").alias("_met"), F.max("_need").alias("_need")).filter("_met >= _need")
     pairs = cut(met.select("_id", "_item"), "pairs")
-    item_sets = bench.select("_item", F.array_distinct(shingles("_words", k, hashed=False)).alias("_q"))
-    sets = whole.join(pairs.select("_id").distinct(), "_id", "left_semi").select("_id", normal_words("_text").alias("_words")).select("_id", shingles("_words", k, hashed=False).alias("_d"))
-    checked = pairs.join(sets, "_id").join(F.broadcast(item_sets) if small else item_sets, "_item")
-    found = checked.select("_id", "_item", F.size("_q").cast("long").alias("n_shingles"), F.size(F.array_intersect("_q", "_d")).cast("long").alias("n_found"))
-    best = found.groupBy("_id", "_item", "n_shingles").agg(F.max("n_found").alias("n_found"))
+    item_sets = cut(bench.select("_item", F.array_distinct(item_shingles(k, hashed=False)).alias("_q")), "items")
+    sets = whole.join(pairs.select("_id").distinct(), "_id", "left_semi").select("_id", normal_words("_text").alias("_words")).select("_id", shingles("_words", sizes, hashed=False).alias("_d"))
+    size = item_sets.agg(F.sum(F.octet_length(F.array_join("_q", "")) + 16 * F.size("_q"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        asked = pairs.join(F.broadcast(item_sets), "_item")
+    else:
+        # a passage that a third of all documents hold is a heavy key
+        uses = cut(item_sets.join(pairs.groupBy("_item").agg(F.count("*").alias("_uses")), "_item"), "uses")
+        asked = heavy_join(pairs, uses, "_item", "_uses", pairs.count()).drop("_uses")
+    found = asked.join(sets, "_id").select("_id", "_item", F.size("_q").cast("long").alias("n_shingles"), F.size(F.array_intersect("_q", "_d")).cast("long").alias("n_found"))
+    best = found.groupBy("_id", "_item").agg(F.max(F.struct(F.col("n_found") / F.col("n_shingles"), "n_shingles", "n_found")).alias("_b")).select("_id", "_item", "_b.n_shingles", "_b.n_found")
     exact = best.filter(F.expr(f"n_found >= n_shingles * {threshold} - 1e-9"))
     return exact.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))

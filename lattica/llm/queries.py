@@ -23,7 +23,7 @@ def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     table = byte_bpe.load_ranks(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode(read(spark, sf_dir, "documents"), table, public_tokenizers.PATTERN, digests=True).withColumnRenamed("_id", "doc_id")
+    return byte_bpe.encode(read(spark, sf_dir, "documents"), table, public_tokenizers.PATTERN, digests=True, tokens=False).withColumnRenamed("_id", "doc_id")
 
 
 def op4_license_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def op4_license_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
-    held_out = F.coalesce(F.crc32(F.col("_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select(F.col("_id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,10 @@ FROM f
 _DECONTAMINATION = r"""
 WITH q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
-qs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM q WHERE len(ws) > 0)),
-ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)),
+qk AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM q WHERE len(ws) > 0),
+qs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT item_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM qk)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS s
+       FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM qk) WHERE len(ws) >= k)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM qs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_found FROM qs JOIN ds USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM m JOIN n USING (item_id) WHERE n_found >= n_shingles * 0.8 - 1e-9
