@@ -136,7 +136,10 @@ def test_byte_bpe_is_tiktoken(spark, texts):
     tokens = byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, block_chars=5_000)
     got = {r["_id"]: r["tokens"] for r in tokens.collect()}
     digests = {r["_id"]: r for r in byte_bpe.token_digests(tokens, ranks).collect()}
-    assert {r["_id"]: r for r in byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, digests=True).collect()} == digests
+    assert {r["_id"]: r for r in byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, digests=True, tokens=False).collect()} == digests
+    assert {r["_id"]: r["tokens"] for r in byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, digests=True).collect()} == got
+    decoded = {r["_id"]: bytes(r["bytes"]) for r in byte_bpe.decode(tokens, ranks).collect()}
+    assert decoded == {r["doc_id"]: (r["text"] or "").encode() for r in df.collect()}
     for r in df.collect():
         text = r["text"] or ""
         want = lib.encode_ordinary(text)
@@ -146,6 +149,14 @@ def test_byte_bpe_is_tiktoken(spark, texts):
     assert byte_bpe.encode(df.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_ids_beyond_65535(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 70_000, b"abc": 70_001}
+    out = byte_bpe.encode(frame(spark, ["abc ab"]), ranks, public_tokenizers.PATTERN).first()["tokens"]
+    assert np.frombuffer(bytes(out), "<u4").tolist() == [70_001, 32, 70_000]
+    with pytest.raises(ValueError, match="ids must lie"):
+        byte_bpe.rank_map(spark, {**ranks, b"xy": byte_bpe.MOST_IDS})
+
+
 def test_perfect_hash_finds_every_key():
     table = {k * 7919 % 1_000_003: k for k in range(5_000)}
     shifts, keys, values = byte_bpe.perfect_hash(table)
@@ -223,20 +234,20 @@ def test_toxicity_on_held_out_labels(spark):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(d, labels)
     held = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
-    rows = toxicity.score(d.join(held, "doc_id"), model, ["toxic", "doc_id"]).collect()
+    rows = toxicity.score(d, model).join(held, "doc_id").join(d.select("doc_id", "text"), "doc_id").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
     right = sum((r["score"] >= 0.5) == bool(r["toxic"]) for r in rows) / len(rows)
     toxic = [r for r in rows if r["toxic"]]
     assert right > 0.97 and sum(r["score"] >= 0.5 for r in toxic) / len(toxic) > 0.85
     assert sum(r["score"] >= 0.5 for r in rows if not r["toxic"]) / (len(rows) - len(toxic)) < 0.01
     for r in toxic[:20]:
-        assert all(r["_text"][s["start"] : s["end"]].strip() for s in r["spans"])
+        assert all(r["text"][s["start"] : s["end"]].strip() for s in r["spans"])
 
 
 def test_toxicity_of_odd_tables(spark):
     df = frame(spark, ODD)
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
-    out = toxicity.score(df, model, ["lang"]).collect()
+    out = toxicity.score(df, model).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] < 0.5 for r in out)
 
 
@@ -271,8 +282,8 @@ def brute_join(texts):
     return {i: (root(i), len(links[i]), sets.count(sets[i]) if sets[i] else 1) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("block", [512, 5])
-def test_jaccard_join(spark, block):
+@pytest.mark.parametrize(("block", "bucket"), [(512, 16_384), (5, 3)])
+def test_jaccard_join(spark, block, bucket):
     rng = random.Random(6)
     texts = list(ODD)
     for _ in range(6):
@@ -283,7 +294,7 @@ def test_jaccard_join(spark, block):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             texts.append(" ".join(w))
     texts += [texts[-1], texts[-1]]
-    out = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard_join.jaccard_join(frame(spark, texts), block=block).collect()}
+    out = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard_join.jaccard_join(frame(spark, texts), block=block, bucket=bucket).collect()}
     assert out == brute_join(texts)
 
 
@@ -294,6 +305,50 @@ def test_jaccard_join_of_odd_tables(spark):
     assert jaccard_join.jaccard_join(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_links(spark):
+    rng = random.Random(16)
+    for _ in range(2):
+        one, two = prose(rng, 120), prose(rng, 120)
+        df = frame(spark, [one, two, one + " tail", two + " tail"], ids=[1, 1, 2, 3])
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(df).collect())
+        assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_boilerplate_makes_no_large_group(spark, monkeypatch):
+    rng = random.Random(26)
+    page = prose(rng, 60)
+    df = frame(spark, [page + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) for _ in range(400)])
+    seen = []
+    true = jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda e, name: seen.append(e.count()) or true(e, name))
+    out = jaccard_join.jaccard_join(df).collect()
+    assert all(r["n_links"] == 0 and r["class_id"] == r["doc_id"] for r in out) and seen[0] < 40
+
+
+def test_jaccard_join_recall_on_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    ids = sorted(texts)
+    by_shingle, sets = {}, [shingle_set(texts[i]) for i in ids]
+    for k, s in enumerate(sets):
+        for x in s:
+            by_shingle.setdefault(x, []).append(k)
+    met = {p for group in by_shingle.values() if len(group) < 400 for p in itertools.combinations(group, 2)}
+    up = list(range(len(ids)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in met:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            x, y = sorted((root(i), root(j)))
+            up[y] = x
+    out = {r["doc_id"]: r["class_id"] for r in jaccard_join.jaccard_join(df).collect()}
+    assert out == {ids[k]: ids[root(k)] for k in range(len(ids))}
+
+
 def test_pruning_keeps_near_pairs():
     assert all(m < 0.8 * n for n, m in jaccard_join.least_matches(0.8, jaccard_join.TOLERANCE))
     assert len(jaccard_join.least_matches(0.8, jaccard_join.TOLERANCE)) == jaccard_join.HASHES // jaccard_join.STEP
@@ -302,7 +357,11 @@ def test_pruning_keeps_near_pairs():
 # --- 7
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_decontamination(spark, monkeypatch, limit):
+    if limit is not None:  # nothing is broadcast by its size
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
     rng = random.Random(7)
     items = [prose(rng, n) for n in (16, 25, 40, 59, 5, 3)] + [None, ""]
     texts = list(ODD)
@@ -315,13 +374,14 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): round(r["containment"], 9) for r in decontamination.contaminated(df, bench).collect()}
     norm = lambda t: [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
-    sets = lambda t: {tuple(w[i : i + 5]) for w in [norm(t)] if w for i in range(max(1, len(w) - 4))}
+    sets = lambda t, k=5: {tuple(w[i : i + k]) for w in [norm(t)] if len(w) >= k for i in range(len(w) - k + 1)}
     want = {}
     for i, t in enumerate(texts):
         for j, it in enumerate(items):
-            q = sets(it)
-            if q and len(q & sets(t)) >= 0.8 * len(q) - 1e-9:
-                want[i, j] = round(len(q & sets(t)) / len(q), 9)
+            k = min(5, len(norm(it)))
+            q = sets(it, k) if k else set()
+            if q and len(q & sets(t, k)) >= 0.8 * len(q) - 1e-9:
+                want[i, j] = round(len(q & sets(t, k)) / len(q), 9)
     assert got == want and len(want) > 12
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0 and decontamination.contaminated(df.limit(0), bench).count() == 0
 
@@ -378,5 +438,6 @@ def test_line_dedup(spark):
                 seen.add(w)
         want.append((len(ls), len(gone), None if t is None else "\n".join(x for i, x in enumerate(ls) if i not in gone)))
     out = line_dedup.line_dedup(df).orderBy("doc_id").collect()
+    assert line_dedup.line_dedup(df, counts=None).columns == df.columns
     assert [(r["_n_lines"], r["_n_removed"], r["text"]) for r in out] == want
     assert line_dedup.line_dedup(df.limit(0)).count() == 0

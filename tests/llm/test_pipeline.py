@@ -7,6 +7,7 @@ import pytest
 pytest.importorskip("lattica.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -27,7 +28,7 @@ def test_stages(spark):
 
     mild = stages["toxicity"](spark, docs, SF)
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert mild.columns == COLUMNS and {r["doc_id"] for r in mild.select("doc_id").collect()} == {i for i, s in scores.items() if s < 0.5}
 
     before = {r["doc_id"]: r["text"] for r in mild.collect()}
@@ -59,6 +60,7 @@ def test_stages(spark):
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     out = stages["byte_bpe"](spark, clean, SF).collect()
     assert len(out) == len(texts)
+    assert all(np.frombuffer(bytes(r["tokens"]), "<u4").tolist() == lib.encode_ordinary(texts[r["doc_id"]]) for r in out)
     assert all(r["n_tokens"] == len(lib.encode_ordinary(texts[r["doc_id"]])) and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in out)
 
 
@@ -71,3 +73,18 @@ def test_odd_tables(spark, tmp_path):
     assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, -1, 1, 2, 2, 3]
     docs.filter(F.lit(False)).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_and_odd_column_names(spark, tmp_path):
+    names = ["score", "spans", "_id", "_text", "_n_lines", "_rest", "_l", "gone", "gone_id", "found_id", "key", "a.b", "c`d", "root"]
+    texts = ["a b c d e f g\nh i j\nk l m", "a b c d e f g\nh i j\nk l m", None, "", "other words here and there " * 3]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"x{i}"] * len(names)) for i, t in enumerate(texts)], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n.replace('`', '``')}` string" for n in names)]))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "other words here and there " * 3)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns
+        assert all(r["a.b"] == r["score"] == r["_n_lines"] == f"x{r['doc_id']}" for r in docs.collect())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == [0, 1, 2, 3]
