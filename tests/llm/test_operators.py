@@ -200,16 +200,72 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
-def test_every_match_has_an_unchanged_piece():
+def fewest_edits(notice, text):
+    """Least edits between the notice and any part of the text (Sellers)."""
+    row = list(range(len(notice) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for i, x in enumerate(notice):
+            new.append(min(row[i] + (x != c), row[i + 1] + 1, new[i] + 1))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+def edited(rng, notice, told, n):
+    """The notice with n edits outside the words that tell it from others."""
+    kept = [(m.start(), m.end()) for t in told for m in re.finditer(rb"(?<![a-z0-9])" + t + rb"(?![a-z0-9])", notice)]
+    free = [k for k in range(len(notice)) if all(k < a - 1 or k > b for a, b in kept)]
+    out = [notice[k : k + 1] for k in range(len(notice))]
+    for k in rng.sample(free, n):
+        out[k] = rng.choice((b"", b"q", out[k] + b"q"))
+    return b"".join(out)
+
+
+def test_fuzzy_matches_are_brute_force():
     rng = random.Random(4)
-    scanner = license_scan.Scanner(license_scan.NOTICES)
-    for notice, label, k in scanner.notices:
-        for _ in range(30):
-            x = bytearray(notice)
-            for _ in range(rng.randint(0, k)):
-                at = rng.randrange(len(x))
-                rng.choice((lambda a=at: x.__setitem__(a, 113), lambda a=at: x.insert(a, 113), lambda a=at: x.__delitem__(a)))()
-            assert any(scanner.notices[i][1] == label for *_, i, _ in scanner.spans(b"zzz " + bytes(x) + b" yyy"))
+    scanner = license_scan.Scanner()
+    for (notice, label, k), (_, _, told) in zip(scanner.notices, license_scan.NOTICES, strict=True):
+        for n in range(k + 2):
+            for _ in range(6):
+                x = edited(rng, notice, told, n)
+                text = b"zzz " + x + b" yyy"
+                got = {scanner.notices[i][1] for *_, i, _ in scanner.spans(text)}
+                if n <= k:
+                    assert label in got, (text, got)
+                for a, b, i, cost in scanner.spans(text):
+                    pattern, _, most = scanner.notices[i]
+                    assert cost <= most and fewest_edits(pattern, text[a:b]) <= cost and fewest_edits(pattern, text) <= cost
+    for _ in range(40):  # a notice that no part of the text is near to isn't found
+        text = b" ".join(rng.choice((b"under", b"the", b"license", b"licensed", b"public", b"gnu", b"general", b"mit", b"apache", b"version", b"2")) for _ in range(30))
+        got = {i for *_, i, _ in scanner.spans(text)}
+        assert all(fewest_edits(scanner.notices[i][0], text) <= scanner.notices[i][2] for i in got)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("released under the BSD license", "bsd"), ("released under the ISC license", "isc"), ("released under the MPL license", "mpl"), ("released under the XYZ license", ""),
+        ("under the terms of the GNU Affero General Public License", "agpl"), ("under the terms of the GNU Lesser General Public License", "lgpl"), ("under the terms of the GNU General Public License", "gpl"),
+        ("Licensed under CC BY-ND 4.0", "cc-by-nd"), ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"), ("Licensed under CC BY 4.0", "cc-by"),
+        ("Licensed under the Apache License, Version 1.1", "apache-1.1"), ("Licensed under the Apache License, Version 2.0", "apache-2"), ("you must submit license forms released under the admit license", ""),
+    ],
+)
+def test_confusable_notices(text, labels):
+    scanner = license_scan.Scanner()
+    assert ",".join(sorted({scanner.notices[i][1] for *_, i, _ in scanner.spans(license_scan.normalise(text))})) == labels
+
+
+def test_license_scan_is_linear():
+    import time
+
+    scanner, took = license_scan.Scanner(), []
+    for n in (500, 2_000):
+        norm = license_scan.normalise("Released under the MIT licence. " * n)
+        began = time.perf_counter()
+        assert len(scanner.spans(norm)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
 
 
 # --- 5
