@@ -22,7 +22,6 @@ MEMO_WORDS = 500_000
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -121,16 +120,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes of all windows of some length, from prefix sums modulo 2**64."""
+    """Polynomial hashes of all windows of some length, from prefix sums modulo 2**64. ``base`` is odd."""
 
-    def __init__(self) -> None:
-        self._n = 0
+    def __init__(self, base: int = _BASE) -> None:
+        self._n, self._base = 0, base
         self._grow(4096)
 
     def _grow(self, n: int) -> None:
         self._n = n
-        self.up = np.cumprod(np.full(n, _BASE, np.uint64))
-        self.down = np.cumprod(np.full(n, _BASE_INV, np.uint64))
+        self.up = np.cumprod(np.full(n, self._base, np.uint64))
+        self.down = np.cumprod(np.full(n, pow(self._base, -1, 1 << 64), np.uint64))
 
     def windows(self, hashes: np.ndarray, length: int) -> np.ndarray:
         """One hash for each start 0 .. n - length; empty if the text is shorter."""

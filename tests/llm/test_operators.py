@@ -459,7 +459,9 @@ def brute_substrings(ids, texts, n=50):
     return sorted(out)
 
 
-def test_substring_dedup(spark, texts):
+@pytest.mark.parametrize("hot", [16, 2])
+def test_substring_dedup(spark, texts, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_DOCS", hot)
     rng = random.Random(9)
     shared = prose(rng, 70)
     more = [*texts, *(prose(rng, rng.randint(0, 40)) + " " + " ".join(shared.split()[a : a + rng.randint(45, 60)]) + " " + prose(rng, 30) for a in range(0, 20, 3)), shared * 2]
