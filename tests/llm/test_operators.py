@@ -81,9 +81,26 @@ def test_warc_round_trip(spark):
 def test_loser_tree_merges():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 5, 8, 13):
-        runs = [sorted(({"urlkey": f"k{rng.randrange(9)}", "stamp": "t", "page_id": rng.randrange(50), "archive": f"a{r}", "offset": i} for i in range(rng.randrange(0, 30))), key=warc._order) for r in range(k)]
-        merged = list(warc.LoserTree(runs))
-        assert merged == sorted(itertools.chain(*runs), key=warc._order)
+        runs = [sorted((f"k{rng.randrange(9)}", rng.randrange(50), r, i) for i in range(rng.randrange(0, 30))) for r in range(k)]
+        merged = [v for _, v in warc.LoserTree([(e[:2], e) for e in run] for run in runs)]
+        assert merged == sorted(itertools.chain(*runs), key=lambda e: (e[:2], e[2], e[3]))
+    with pytest.raises(ValueError, match="sorted"):
+        list(warc.LoserTree([[((2,), 0), ((1,), 0)]]))
+
+
+def test_capture_histories_are_in_global_order(spark, tmp_path):
+    """One URL, a third of the ids null, many ranges; and every record can be fetched by its place."""
+    rng = random.Random(12)
+    rows = [(None if i % 3 == 0 else i, f"http://h.org/{rng.randrange(3)}", "z" * rng.randrange(300)) for i in range(400)]
+    out = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "warc")).collect()
+    keys = [(r["urlkey"], r["stamp"], r["page_id"] is None, r["page_id"] or 0, r["archive"], r["offset"]) for r in out]
+    assert keys == sorted(keys) and len(out) == 400
+    for r in out[::7]:
+        with open(tmp_path / "warc" / r["archive"], "rb") as f:
+            f.seek(r["offset"])
+            record = f.read(r["length"])
+        ((_, length, fields, _),) = warc.parse_warc(record)
+        assert length == r["length"] and fields["warc-type"] == r["record_type"] and fields["warc-payload-digest"].endswith(r["payload_digest"])
 
 
 # --- 2
