@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, pairs_of, quoted
 
 #: White space between words, and the characters counted as symbols (fixed values).
 SPACE = " \t\n\x0b\x0c\r"
@@ -19,6 +19,13 @@ GRAM = 8
 SAMPLE_ROWS = 2_000
 
 
+#: The least cost of a rule, in seconds over the sample: below it, times of jobs can't be told apart.
+LEAST_SECONDS = 0.002
+
+#: Documents that fail whatever the rules say.
+BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rejects`` is true for documents that fail. It may use the base columns and ``_text``."""
@@ -45,7 +52,7 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     differ (the usual case) there is nothing to do; else (hash, start) pairs are sorted and
     starts with an equal neighbour are merged into covered words: n log n at any length.
     """
-    words = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn(
+    words = docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("_text")).withColumn(
         "_words", F.array_remove(F.split("_text", "[ \\t-\\r]+", -1), "")
     )
     hashed = words.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -74,22 +81,45 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def seconds_of(sample: DataFrame, rejects: str, runs: int = 3) -> float:
+    """The least time of some runs of a rule over the sample, after one that compiles it."""
+    times = []
+    for _ in range(runs + 1):
+        began = time.perf_counter()
+        sample.agg(F.count_if(F.expr(rejects))).first()
+        times.append(time.perf_counter() - began)
+    return min(times[1:])
+
+
+def cascade(patterns: list[tuple[tuple[bool, ...], int]], costs: list[float]) -> list[tuple[int, float]]:
+    """[(rule, share it rejects of what reaches it)], the best rejection per cost first, given which rules reject how many rows together."""
+    left, out = list(range(len(costs))), []
+    while left:
+        reach = sum(n for _, n in patterns)
+        share = {r: sum(n for hit, n in patterns if hit[r]) / reach if reach else 0.0 for r in left}
+        best = max(left, key=lambda r: (share[r] / costs[r], -costs[r], -r))
+        out.append((best, share[best]))
+        patterns = [(hit, n) for hit, n in patterns if not hit[best]]
+        left.remove(best)
+    return out
+
+
 def order_rules(base: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """[(rule, rejected share, seconds)] by rejection per cost, best first.
+    """[(rule, share it rejects of the rows that reach it, seconds)] by rejection per cost, best first.
 
-    Each rule runs alone over one sample that is written once; an empty table keeps the given order.
+    The sample is written once and holds rows that pass the base test, as only those reach the rules. A rule's
+    cost is its time over the sample less that of a rule that does nothing (a job's floor), its share is
+    counted on the rows that the rules before it let pass. An empty table keeps the given order.
     """
     n = base.count()
-    if not n:
+    sample = cut(base.filter(f"NOT ({BASE_FAILED})").sample(min(1.0, 2 * sample_rows / n) if n else 1.0, seed=7).limit(2 * sample_rows), "rule-sample")
+    if sample.isEmpty():
         return [(r, 0.0, 0.0) for r in rules]
-    sample = cut(base.sample(min(1.0, sample_rows / n), seed=7).limit(2 * sample_rows), "rule-sample")
-    size = sample.agg(F.count("*"), F.max("_text")).first()[0]
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        hits = sample.agg(F.count_if(F.expr(rule.rejects))).first()[0]
-        found.append((rule, hits / max(size, 1), time.perf_counter() - began))
-    return sorted(found, key=lambda x: (-(x[1] / x[2]), x[0].name))
+    floor = seconds_of(sample, "n_words < 0")
+    costs = [max(seconds_of(sample, r.rejects) - floor, LEAST_SECONDS) for r in rules]
+    hits = [F.coalesce(F.expr(r.rejects), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
+    found = sample.select(*hits).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect()  # a row for each combination of verdicts
+    return [(rules[i], share, costs[i]) for i, share in cascade([(tuple(r[:-1]), r[-1]) for r in found], costs)]
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -105,15 +135,18 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     """One row for each document: base columns, ``base_failed`` and ``kept``; no shuffle of texts.
 
     The base test comes first in the cascade; then the rules, cheapest rejection first. The
-    order changes the work, never the verdict. A null text has no words and fails. Rows
-    repeat as they come; ties between rules go by name; other columns are ignored.
+    order changes the work, never the verdict. The base columns are always returned, so what the order
+    can save is the rules' own work: the rules on letters scan the text, the others compare numbers. A null
+    or empty text has no words and fails; whole texts are judged, however long; null ids stay null; rows
+    repeat as they come; ties between rules go by cost, then by the given order; other columns are ignored; an empty
+    table gives an empty table.
     """
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = pairs_of(docs, id_col, text_col)
     n = source.count()
     share = min(1.0, 1.2 * sample_rows / n) if n else 1.0
     order = [r for r, *_ in order_rules(base_columns(source.sample(share, seed=11), "_id", "_text"), rules, sample_rows)]
     base = base_columns(source, "_id", "_text")
-    failed = base.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+    failed = base.withColumn("base_failed", F.expr(BASE_FAILED))
     return failed.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("base_failed"), False).otherwise(verdict(order)).alias("kept"),

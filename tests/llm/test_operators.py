@@ -129,10 +129,19 @@ def test_quality_rules(spark, texts):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
-def test_rules_are_ordered_by_rejection_per_cost(spark, texts):
-    order = quality_rules.order_rules(quality_rules.base_columns(frame(spark, texts)))
-    ratios = [share / cost for _, share, cost in order]
-    assert ratios == sorted(ratios, reverse=True) and len(order) == len(quality_rules.RULES)
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    rng = random.Random(22)
+    good = [prose(rng, 60) for _ in range(30)]
+    base = quality_rules.base_columns(frame(spark, [*good, *(x.upper() for x in good[:10]), *(x + " #" * 20 for x in good[10:15]), None, "short"]))
+    rules = (quality_rules.Rule("costly", "length(regexp_replace(repeat(_text, 400), '[^\\\\p{Lu}]', '')) > 400 * 40"), quality_rules.Rule("never", "false"), quality_rules.Rule("cheap", "n_symbols > 10"))
+    order = quality_rules.order_rules(base, rules)
+    assert [r.name for r, *_ in order] == ["cheap", "costly", "never"] and order[1][2] > order[0][2]
+    assert abs(order[0][1] - 5 / 45) < 1e-9 and abs(order[1][1] - 10 / 40) < 1e-9 and order[2][1] == 0
+
+
+def test_cascade_counts_what_reaches_a_rule():
+    # rule 1 rejects what rule 0 rejects and no more: behind it, it is worth nothing
+    assert quality_rules.cascade([((True, True, False), 5), ((True, False, False), 1), ((False, False, True), 2), ((False, False, False), 2)], [1.0, 1.0, 1.0]) == [(0, 0.6), (2, 0.5), (1, 0.0)]
 
 
 # --- 3, 8
