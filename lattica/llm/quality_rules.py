@@ -111,8 +111,8 @@ def order_rules(base: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     cost is its time over the sample less that of a rule that does nothing (a job's floor), its share is
     counted on the rows that the rules before it let pass. An empty table keeps the given order.
     """
-    n = base.count()
-    sample = cut(base.filter(f"NOT ({BASE_FAILED})").sample(min(1.0, 2 * sample_rows / n) if n else 1.0, seed=7).limit(2 * sample_rows), "rule-sample")
+    # written before it is filtered: a filter pushed below the base columns would make their arrays anew for each element
+    sample = cut(base.limit(2 * sample_rows), "rule-sample").filter(f"NOT ({BASE_FAILED})")
     if sample.isEmpty():
         return [(r, 0.0, 0.0) for r in rules]
     floor = seconds_of(sample, "n_words < 0")
@@ -143,7 +143,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     """
     source = pairs_of(docs, id_col, text_col)
     n = source.count()
-    share = min(1.0, 1.2 * sample_rows / n) if n else 1.0
+    share = min(1.0, 1.5 * sample_rows / n) if n else 1.0
     order = [r for r, *_ in order_rules(base_columns(source.sample(share, seed=11), "_id", "_text"), rules, sample_rows)]
     base = base_columns(source, "_id", "_text")
     failed = base.withColumn("base_failed", F.expr(BASE_FAILED))
