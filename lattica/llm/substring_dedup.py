@@ -89,14 +89,16 @@ def shared(rows: DataFrame, hot: DataFrame, later_only: bool) -> DataFrame:
     dealt = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), list(KEY), "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(PARTS))).otherwise(0))
     by = Window.partitionBy(*KEY, "part")
     told = dealt.withColumn("least", F.min("doc").over(by)).withColumn("most", F.max(F.greatest("doc", F.coalesce(F.array_max("others"), "doc"))).over(by))
-    seen = told.filter("hot OR least < most").select(
-        *KEY, "hot", F.when(F.col("hot") | F.lit(later_only), F.col("least")).alias("least"), F.when(F.col("hot"), F.col("most")).alias("most"), F.concat(F.array("doc"), "others").alias("docs")
-    )
-    seen = cut(seen, "seen")
-    of_parts = seen.filter("hot").groupBy(*KEY).agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").drop("most")
-    met = seen.filter("hot IS NULL").select("h", "least", "docs").unionByName(seen.filter("hot").drop("least", "most").join(F.broadcast(of_parts), list(KEY)).select("h", "least", "docs"))
-    each = met.select("h", "least", F.explode("docs").alias("_id"))
-    return (each.filter("_id > least") if later_only else each).groupBy("_id").agg(F.collect_list("h").alias("hashes"))
+    # a cold key is settled here, so only its hash and the documents it concerns are written
+    docs = F.concat(F.array("doc"), "others")
+    held = (F.when(F.col("hot"), docs).otherwise(F.filter(docs, lambda x: x > F.col("least"))) if later_only else docs).alias("docs")
+    told = told.filter("hot OR least < most").select("h", "g", "hot", "least", "most", held)
+    seen = told.select("h", "hot", *[F.when(F.col("hot"), F.col(c)).alias(c) for c in ("g", "least", "most")], "docs")
+    seen = cut(seen.filter("size(docs) > 0"), "seen")
+    of_parts = seen.filter("hot").groupBy(*KEY).agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last").drop("last")
+    hot_rows = seen.filter("hot").join(F.broadcast(of_parts), list(KEY)).select("h", "first", F.explode("docs").alias("_id"))
+    each = seen.filter("hot IS NULL").select("h", F.explode("docs").alias("_id")).unionByName((hot_rows.filter("_id > first") if later_only else hot_rows).select("h", "_id"))
+    return each.groupBy("_id").agg(F.collect_list("h").alias("hashes"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
