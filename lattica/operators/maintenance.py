@@ -35,13 +35,19 @@ def incremental_index(stored: dict[str, DataFrame], current: DataFrame) -> tuple
     lost = stored["files"].join(diff.filter("change IN ('changed', 'deleted')").select(key), key, "left_semi").select(F.col("id").alias("file_id"))
     blocks = stored["code_blocks"].join(lost, "file_id", "left_anti").unionByName(extract.extract_blocks(fresh))
     old = stored["relationships"].join(lost.withColumnRenamed("file_id", "source_id"), "source_id", "left_anti")
-    ids = fresh.select(F.col("id").alias("source_id"))
-    edges = old.unionByName(extract.import_edges(kept).join(ids, "source_id", "left_semi")).join(kept.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    edges = old.unionByName(extract.import_edges(fresh, kept)).join(kept.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     return {"files": kept, "code_blocks": blocks, "relationships": edges}, diff
 
 
+def extraction_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """(files, blocks, nested_blocks, relationships): what an extraction holds; nested blocks have a parent."""
+    files, blocks, edges = (tables[t].agg(F.count("*").alias(n)) for t, n in (("files", "files"), ("code_blocks", "blocks"), ("relationships", "relationships")))
+    nested = tables["code_blocks"].agg(F.count("parent_block_id").alias("nested_blocks"))
+    return files.join(blocks).join(nested).join(edges)
+
+
 def load_extraction(spark: SparkSession, path: str, project_id: int) -> dict[str, DataFrame]:
-    """files, code_blocks and relationships of a JSON extraction."""
+    """files, code_blocks (nested ones as rows with their parents' ids) and relationships of a JSON extraction."""
     rows = files.read_extraction(spark, path)
     return {
         "files": rows.select("id", F.lit(project_id).cast("long").alias("project_id"), "file_path", "language", "content", "content_hash"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterator
 from pathlib import PurePath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +43,39 @@ def update(table: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> D
     return met.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
+_FLAT = "file_id long, ordinal int, source_id long, type string, name string, content string, start_line int, end_line int, start_col int, end_col int, parent_ordinal int"
+
+
+def flattened(blocks: list[dict]) -> Iterator[dict]:
+    """Blocks in pre-order with ordinals from 1 and their parents' ordinals; children may nest to any depth."""
+    stack: list[tuple[dict, int | None]] = [(b, None) for b in reversed(blocks)]
+    for ordinal in itertools.count(1):
+        if not stack:
+            return
+        block, parent = stack.pop()
+        yield {**block, "ordinal": ordinal, "parent_ordinal": parent}
+        stack += [(c, ordinal) for c in reversed(block.get("children") or [])]
+
+
+def with_block_ids(blocks: DataFrame) -> DataFrame:
+    """``id`` and ``parent_block_id`` of blocks known by (file_id, ordinal): 63-bit hashes, the same on every machine and run."""
+    key = lambda ordinal: F.xxhash64("file_id", F.col(ordinal).cast("long")).bitwiseAND(F.lit((1 << 63) - 1))
+    return blocks.withColumn("id", key("ordinal")).withColumn("parent_block_id", F.when(F.col("parent_ordinal").isNotNull(), key("parent_ordinal")))
+
+
 def flatten_blocks(extraction: DataFrame) -> DataFrame:
-    """Blocks of (file_id, blocks: list) as rows with their ordinals as ids within the file: the key is (file_id, ordinal)."""
-    rows = extraction.select("file_id", F.posexplode("blocks").alias("ordinal", "b"))
-    return rows.select("file_id", (F.col("ordinal") + 1).alias("ordinal"), "b.*")
+    """Blocks of (file_id, blocks: JSON list with nested ``children``) as rows with ``id`` and ``parent_block_id``.
+
+    Ids are made from file and place, as ids in an extraction repeat from one project to the next; those are kept as ``source_id``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _FLAT.split(", ")]
+        for batch in batches:
+            rows = [{**b, "file_id": i, "source_id": b.get("id")} for i, text in zip(batch["file_id"], batch["blocks"], strict=True) for b in flattened(json.loads(text) if text else [])]
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("source_id", "start_line", "end_line", "start_col", "end_col", "parent_ordinal")})
+
+    return with_block_ids(extraction.select("file_id", "blocks").mapInPandas(run, _FLAT))
 
 
 def delete_project(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:

@@ -71,7 +71,25 @@ def r4_blocks_to_embed(s: Store) -> DataFrame:
     return graph.blocks_to_embed(s["code_blocks"]).select("id")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT DISTINCT source_id, target_id FROM {relationships}),
+    fw AS (SELECT id AS anchor_id, id AS file_id, file_path AS path, 0 AS depth, [id] AS seen, '' AS file_path FROM {files}
+           UNION ALL SELECT c.anchor_id, f.id, c.path || ' -> ' || f.file_path, c.depth + 1, list_append(c.seen, f.id), f.file_path
+           FROM fw c JOIN e ON e.source_id = c.file_id JOIN {files} f ON f.id = e.target_id WHERE c.depth < 2 AND NOT list_contains(c.seen, f.id)),
+    bw AS (SELECT id AS anchor_id, id AS file_id, 0 AS depth, [id] AS seen, '' AS file_path FROM {files}
+           UNION ALL SELECT c.anchor_id, f.id, c.depth + 1, list_append(c.seen, f.id), f.file_path
+           FROM bw c JOIN e ON e.target_id = c.file_id JOIN {files} f ON f.id = e.source_id WHERE c.depth < 2 AND NOT list_contains(c.seen, f.id)),
+    m AS (SELECT x.id, o.file_id AS o_file, i.file_id AS i_file, coalesce(o.technology_name, i.technology_name, 'Unknown') AS technology, x.match_confidence
+          FROM {connection_mappings} x LEFT JOIN {outgoing_connections} o ON o.id = x.sender_id LEFT JOIN {incoming_connections} i ON i.id = x.receiver_id WHERE x.match_confidence > 0.5),
+    b AS (SELECT i_file AS anchor_id, o_file AS file_id, id AS mapping_id, 'receives_from' AS impact_type, technology, match_confidence FROM m
+          UNION ALL SELECT o_file, i_file, id, 'sends_to', technology, match_confidence FROM m WHERE o_file IS DISTINCT FROM i_file)
+    SELECT 'connection_impacts' AS section, b.anchor_id, b.file_id, f.file_path, b.mapping_id, b.impact_type, b.technology, b.match_confidence FROM b JOIN {files} a ON a.id = b.anchor_id LEFT JOIN {files} f ON f.id = b.file_id
+    UNION ALL SELECT DISTINCT 'imports', r.source_id, r.target_id, f.file_path, NULL, NULL, NULL, NULL FROM {relationships} r JOIN {files} f ON f.id = r.target_id
+    UNION ALL SELECT DISTINCT 'importers', r.target_id, r.source_id, f.file_path, NULL, NULL, NULL, NULL FROM {relationships} r JOIN {files} f ON f.id = r.source_id
+    UNION ALL SELECT DISTINCT 'dependency_chain', anchor_id, file_id, file_path, NULL, NULL, NULL, NULL
+              FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY depth, file_path, path) AS k FROM fw WHERE depth > 0) x WHERE k <= 25
+    UNION ALL SELECT DISTINCT 'impact', anchor_id, file_id, file_path, NULL, NULL, NULL, NULL FROM bw WHERE depth > 0"""
+)
 def r5_search_scope(s: Store) -> DataFrame:
     return graph.search_scope(s["relationships"], s["files"], s["outgoing_connections"], s["incoming_connections"], s["connection_mappings"])
 
@@ -282,7 +300,13 @@ def a14_merged_by_window(s: Store) -> DataFrame:
     return changes.merged_ranges(s["code_blocks"], "file_id")
 
 
-@query()
+@query(
+    """WITH r AS (SELECT file_id AS k, start_line, id, end_line - start_line + 1 AS n, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS rn FROM {code_blocks}),
+    g AS (SELECT k, rn, n AS used, 0 AS batch FROM r WHERE rn = 1
+          UNION ALL SELECT r.k, r.rn, CASE WHEN g.used + r.n > 120 AND g.used > 0 THEN r.n ELSE g.used + r.n END, g.batch + CASE WHEN g.used + r.n > 120 AND g.used > 0 THEN 1 ELSE 0 END
+          FROM g JOIN r ON r.k = g.k AND r.rn = g.rn + 1)
+    SELECT r.k AS file_id, r.start_line, r.id, r.n, g.batch FROM g JOIN r ON r.k = g.k AND r.rn = g.rn"""
+)
 def n4_line_batches(s: Store) -> DataFrame:
     rows = s["code_blocks"].withColumn("n", F.col("end_line") - F.col("start_line") + 1)
     return changes.packed(rows, "file_id", ["start_line", "id"], "n", 120)
@@ -331,7 +355,13 @@ def w12_cascade_counts(s: Store) -> DataFrame:
     return count("code_blocks").unionAll(count("files")).unionAll(count("vectors"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT file_id AS k, start_line, id, CAST(len(string_split(code_snippet, chr(10))) AS BIGINT) AS n, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS rn FROM {outgoing_connections}),
+    g AS (SELECT k, rn, n AS used, 0 AS batch FROM r WHERE rn = 1
+          UNION ALL SELECT r.k, r.rn, CASE WHEN g.used + r.n > 50 AND g.used > 0 THEN r.n ELSE g.used + r.n END, g.batch + CASE WHEN g.used + r.n > 50 AND g.used > 0 THEN 1 ELSE 0 END
+          FROM g JOIN r ON r.k = g.k AND r.rn = g.rn + 1)
+    SELECT r.k AS file_id, r.start_line, r.id, r.n AS n_lines, g.batch FROM g JOIN r ON r.k = g.k AND r.rn = g.rn"""
+)
 def t15_delivery_pages(s: Store) -> DataFrame:
     return delivery.by_lines(s["outgoing_connections"], "file_id", ["start_line", "id"], "code_snippet", 50)
 
@@ -348,7 +378,11 @@ def z39_distinct_tasks(s: Store) -> DataFrame:
     return t.select("id", F.regexp_replace(F.lower(F.trim("description")), r"\s+", " ").alias("description"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT id, file_path, string_split(regexp_replace(regexp_replace(ltrim(file_path, '/'), '\\.pyi?$', ''), '/__init__$', ''), '/') AS parts FROM {files}),
+    e AS (SELECT id, file_path, array_to_string(parts[i:], '.') AS module FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM p))
+    SELECT module, arg_max(id, ROW(file_path, id)) AS file_id FROM e GROUP BY module"""
+)
 def x15_registry_of_paths(s: Store) -> DataFrame:
     return extract.module_registry(s["files"].select("id", "file_path", F.lit("python").alias("language")))
 
@@ -362,7 +396,12 @@ def j27_connection_matches(s: Store) -> DataFrame:
     return maintenance.content_matches(s["outgoing_connections"], s["incoming_connections"]).select("sender_id", "receiver_id")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT string_split(ltrim(file_path, '/'), '/') AS parts FROM {files}),
+    f AS (SELECT folder, depth, count(*) AS files FROM (SELECT array_to_string(parts[1:depth], '/') || '/' AS folder, depth FROM (SELECT parts, unnest(generate_series(1, least(4, len(parts) - 1))) AS depth FROM p)) x GROUP BY folder, depth),
+    c AS (SELECT a.depth, count(*) AS n FROM (SELECT DISTINCT depth FROM f) a JOIN f ON f.depth <= a.depth GROUP BY a.depth)
+    SELECT folder, depth, files FROM f WHERE depth <= (SELECT coalesce(max(depth), 1) FROM c WHERE n <= 100)"""
+)
 def s13_workspace_tree(s: Store) -> DataFrame:
     return maintenance.workspace_tree(s["files"])
 

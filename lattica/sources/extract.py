@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.functions.paths import path_suffixes
+from lattica.functions.paths import normalise, path_suffixes
+from lattica.operators.store import with_block_ids
 
 #: Functions above this many lines get their nested functions as children, and references in their text (fixed value).
 LARGE = 300
@@ -283,9 +284,9 @@ def register(language: str, extractor: Callable[[str], list[dict]]) -> None:
     EXTRACTORS[language] = extractor
 
 
-def blocks_of(language: str | None, text: str | None) -> list[dict]:
+def blocks_of(language: str | None, text: str | None, extractors: dict[str, Callable[[str], list[dict]]] | None = None) -> list[dict]:
     """Blocks of a text in extraction order; none for unknown languages and for texts that don't parse."""
-    run = EXTRACTORS.get(language or "")
+    run = (EXTRACTORS if extractors is None else extractors).get(language or "")
     if run is None or not text:
         return []
     try:
@@ -295,19 +296,23 @@ def blocks_of(language: str | None, text: str | None) -> list[dict]:
 
 
 def extract_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of files (id, language, content) with ordinals from 1; a block's key is (file_id, ordinal)."""
+    """Blocks of files (id, language, content) with ordinals from 1, ``id`` and ``parent_block_id``; a block's key is (file_id, ordinal).
+
+    The extractors registered when this is called travel with the plan, so workers know them too.
+    """
+    extractors = dict(EXTRACTORS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for i, lang, text in zip(batch["id"], batch["language"], batch["content"], strict=True):
-                for k, b in enumerate(blocks_of(lang, text)):
+                for k, b in enumerate(blocks_of(lang, text, extractors)):
                     parent = None if b["parent_ordinal"] is None else b["parent_ordinal"] + 1
                     rows.append({"file_id": i, "ordinal": k + 1, **b, "parent_ordinal": parent})
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
             yield out.astype({"parent_ordinal": "Int32"})
 
-    return files.select("id", "language", "content").mapInPandas(run, BLOCK_SCHEMA)
+    return with_block_ids(files.select("id", "language", "content").mapInPandas(run, BLOCK_SCHEMA))
 
 
 # --- imports
@@ -361,13 +366,15 @@ def module_registry(files: DataFrame) -> DataFrame:
     return each.groupBy("module").agg(F.max_by("id", F.struct("file_path", "id")).alias("file_id"))
 
 
-def import_edges(files: DataFrame) -> DataFrame:
-    """Relationships (source_id, target_id, import_content, symbols, type) among files (id, file_path, language, content).
+def import_edges(files: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Relationships (source_id, target_id, import_content, symbols, type) of files (id, file_path, language, content).
 
+    Imports lead to ``targets`` (by default the files themselves), whose contents aren't parsed.
     Python modules meet the registry by equality: relative ones by the absolute path they name, others by
     their full dotted name, so a match ends at a component. TypeScript and JavaScript candidates (suffixes
     and index files, either language) meet file paths by equality; the first candidate wins.
     """
+    targets = files if targets is None else targets
     found = files.select("id", "file_path", "language", F.explode(imports("language", "content")).alias("i")).select("id", "file_path", "language", "i.*")
     parts = F.split(F.regexp_replace(F.ltrim("file_path", F.lit("/")), "/[^/]*$", ""), "/")
     py = found.filter("language = 'python'")
@@ -375,15 +382,13 @@ def import_edges(files: DataFrame) -> DataFrame:
     tries = F.when(F.col("level") > 0, F.array(F.concat_ws(".", F.nullif(base, F.lit("")), "module"))).otherwise(
         F.concat(F.array("module"), F.transform("symbols", lambda s: F.concat(F.col("module"), F.lit("."), s)))
     )
-    py_try = py.select("id", "content", "symbols", F.explode(tries).alias("module")).join(module_registry(files), "module").select("id", "content", "symbols", F.col("file_id").alias("target"), F.lit(0).alias("rank"))
+    py_try = py.select("id", "content", "symbols", F.explode(tries).alias("module")).join(module_registry(targets), "module").select("id", "content", "symbols", F.col("file_id").alias("target"), F.lit(0).alias("rank"))
     js = found.filter("language IN ('typescript', 'tsx', 'javascript') AND level > 0")
     folder = F.regexp_replace("file_path", "/[^/]*$", "")
-    stem = F.regexp_replace(F.concat(folder, F.lit("/"), "module"), r"/\./", "/")
-    for _ in range(6):
-        stem = F.regexp_replace(stem, r"/(?!\.\./)[^/]+/\.\./", "/")
+    stem = normalise(F.concat(folder, F.lit("/"), F.col("module")))
     ends = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
     js_try = js.select("id", "content", "symbols", F.posexplode(F.array(*[F.concat(stem, F.lit(e)) for e in ends])).alias("rank", "at"))
-    js_hit = js_try.join(files.select(F.col("id").alias("target"), F.col("file_path").alias("at")), "at").select("id", "content", "symbols", "target", "rank")
+    js_hit = js_try.join(targets.select(F.col("id").alias("target"), F.col("file_path").alias("at")), "at").select("id", "content", "symbols", "target", "rank")
     hits = py_try.unionByName(js_hit).filter("id <> target")
     first = hits.withColumn("k", F.row_number().over(Window.partitionBy("id", "content", F.when(F.col("rank") == 0, F.col("target")).otherwise(-1)).orderBy("rank"))).filter("k = 1")
     return first.groupBy(F.col("id").alias("source_id"), F.col("target").alias("target_id")).agg(

@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 
 from lattica.functions import paths as P
 
-BLOCK = "struct<type:string,name:string,content:string,start_line:int,end_line:int,start_col:int,end_col:int,parent:int>"
 EXTRACTION = (
     "metadata struct<export_timestamp:string,total_files:long,extractor_version:string>, "
-    f"files map<string,struct<id:long,language:string,content:string,content_hash:string,blocks:array<{BLOCK}>,relationships:array<struct<source_id:long,target_id:long,import_content:string,symbols:array<string>,type:string>>>>"
+    "files map<string,struct<id:long,language:string,content:string,content_hash:string,blocks:string,relationships:array<struct<source_id:long,target_id:long,import_content:string,symbols:array<string>,type:string>>>>"
 )
 
 
@@ -39,7 +38,10 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_extraction(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, id, language, content, content_hash, blocks, relationships) of JSON extractions."""
+    """(file_path, id, language, content, content_hash, blocks, relationships) of JSON extractions.
+
+    ``blocks`` stays JSON: blocks hold their children to any depth, which no schema can say; ``store.flatten_blocks`` reads it.
+    """
     return spark.read.schema(EXTRACTION).option("multiLine", True).json(path).select(F.explode("files").alias("file_path", "f")).select("file_path", "f.*")
 
 

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lattica.functions import paths as P
 from lattica.operators import changes, delivery, diffs, graph, maintenance, memory, retrieval, store
 from lattica.sources import extract, files
 from lattica.streaming import changelog
@@ -112,6 +113,75 @@ def test_extraction_files(spark, tmp_path):
     assert rows.first()["id"] == 7 and store.flatten_blocks(rows.select(F.col("id").alias("file_id"), "blocks")).first()["name"] == "x"
 
 
+def test_nested_extraction(spark, tmp_path):
+    """Children nest to any depth; a block's parent is found by its id."""
+    deep = {"type": "function", "name": "n40", "content": "x", "start_line": 41, "end_line": 41, "id": 1}
+    for k in reversed(range(40)):
+        deep = {"type": "class", "name": f"n{k}", "content": "", "start_line": k + 1, "end_line": 41, "children": [deep, {"type": "variable", "name": f"v{k}", "content": "v", "start_line": k + 1, "end_line": k + 1}]}
+    spec = {"metadata": {}, "files": {"/a.py": {"id": 7, "language": "python", "content": "x", "content_hash": "h", "blocks": [deep], "relationships": []}, "/b.py": {"id": 8, "language": "python", "content": "", "content_hash": "h", "blocks": [], "relationships": []}}}
+    (tmp_path / "p_1.json").write_text(json.dumps(spec))
+    tables = maintenance.load_extraction(spark, str(tmp_path / "p_1.json"), 3)
+    by = {r["name"]: r for r in tables["code_blocks"].collect()}
+    assert len(by) == 81 and by["n0"]["parent_block_id"] is None and by["n40"]["source_id"] == 1
+    assert all(by[f"n{k + 1}"]["parent_block_id"] == by[f"v{k}"]["parent_block_id"] == by[f"n{k}"]["id"] for k in range(40))
+    assert [by[n]["ordinal"] for n in ("n0", "n1", "n40", "v39", "v0")] == [1, 2, 41, 42, 81]
+    assert tuple(maintenance.extraction_stats(tables).first()) == (2, 81, 80, 0)
+
+
+def test_directory_to_search(spark, tmp_path):
+    """Scan, blocks, paths, contexts, vectors and search join on the same ids."""
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg/shapes.py").write_text("import enum\nfrom pkg import area\n\nclass Shape(Base):\n    kind = 1\n\n    def perimeter(self, sides):\n        return sum(sides)\n")
+    (tmp_path / "pkg/area.py").write_text("def square_area(side):\n    return side * side\n")
+    tables = maintenance.index_directory(spark, str(tmp_path), 4)
+    blocks = tables["code_blocks"].cache()
+    names = {r["id"]: r["name"] for r in blocks.collect()}
+    assert len(names) == blocks.count() and {"Shape", "perimeter", "kind", "square_area"} <= set(names.values())
+    paths = {names[r["id"]]: r["path"] for r in graph.block_paths(blocks).collect()}
+    assert paths["perimeter"] == "Shape" and paths["square_area"] == ""
+    projects = spark.createDataFrame([(4, "p")], "id long, name string")
+    parents = {r["name"]: r["parent"] and r["parent"]["name"] for r in graph.block_context(blocks, tables["files"], projects).collect()}
+    assert parents["perimeter"] == parents["kind"] == "Shape" and parents["square_area"] is None
+    vectors = maintenance.embed_blocks(blocks, tables["files"]).withColumn("vec_id", F.xxhash64("node_id", "chunk_index"))
+    hits = maintenance.search_text(vectors, "def square_area(side): return side * side", k=3).collect()
+    assert {int(r["node_id"].removeprefix("block_")) for r in hits} <= set(names) and hits[0]["project_id"] == 4
+    assert tables["relationships"].count() == 1
+
+
+def test_registered_extractors_reach_workers(spark):
+    extract.register("toy", lambda text: [{"type": "variable", "name": w, "content": w, "start_line": 1, "end_line": 1, "start_col": 1, "end_col": 1, "parent_ordinal": None} for w in text.split()])
+    try:
+        df = spark.createDataFrame([(1, "toy", "a b c")], "id long, language string, content string")
+        assert [r["name"] for r in extract.extract_blocks(df).orderBy("ordinal").collect()] == ["a", "b", "c"]
+    finally:
+        del extract.EXTRACTORS["toy"]
+
+
+def test_paths_with_many_dots(spark):
+    up = "/" + "/".join("abcdefghijkl") + "/" + "../" * 12 + "x"
+    rows = [(up, "/x"), ("/a//b/./c", "/a/b/c"), ("a/../../b", "../b"), ("/../x", "/../x"), ("./a", "./a"), ("a/b/..", "a"), (None, None)]
+    df = spark.createDataFrame(rows, "p string, want string")
+    assert all(r["n"] == r["want"] for r in df.withColumn("n", P.normalise("p")).collect())
+    files_ = [(1, "/r/a/b/c/d/e/f/g/h/i.ts", "typescript", "import x from '../../../../../../../../lib';"), (2, "/r/lib.ts", "typescript", "")]
+    edges = extract.import_edges(spark.createDataFrame(files_, "id long, file_path string, language string, content string"))
+    assert [(r["source_id"], r["target_id"]) for r in edges.collect()] == [(1, 2)]
+
+
+def test_scan_lists(spark):
+    names = {"a/x.PY": "python", "Dockerfile": "dockerfile", "x.h": "c", "x.php": "hack", "x.hh": "cpp", "go.mod": "gomod", "y.tsx": "typescript", ".gitignore": "gitignore", "q.zig": "zig", "x.unknown": None, "Makefile": "make", "x.m": "matlab"}
+    df = spark.createDataFrame(list(names.items()), "p string, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", P.language("p")).collect())
+    skipped = ["r/vendor/x.py", "r/lib/site-packages/x.py", "r/.myvenv3/x.py", "r/x.woff2", "r/$RECYCLE.BIN", "r/a.min.css", "r/env2/x.py"]
+    kept = ["r/src/x.py", "r/environment.py", "r/x.envoy"]
+    got = {r["p"] for r in spark.createDataFrame([(x,) for x in skipped + kept], "p string").filter(~P.ignored_below(F.col("p"), F.lit("r"))).collect()}
+    assert got == set(kept)
+
+
+def test_null_vectors_are_no_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.9, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted((r["query_id"], r["vec_id"]) for r in retrieval.nearest_many(df, df, k=5).collect()) == [(1, 1), (1, 3), (3, 1), (3, 3)]
+
+
 def test_web_results(spark):
     web = json.dumps({"web": {"results": [{"title": "t", "url": "u", "description": "d"}]}})
     image = json.dumps({"results": [{"title": "i", "source": "s", "properties": {"url": "v"}}]})
