@@ -44,6 +44,11 @@ def by_type(checkpoint: DataFrame, project: str = "project_id") -> DataFrame:
     return checkpoint.groupBy(project).pivot("change_type", ["added", "modified", "deleted"]).count().na.fill(0)
 
 
+def newest_first(checkpoint: DataFrame, *order: str) -> DataFrame:
+    """All entries, the newest first."""
+    return checkpoint.orderBy(*[F.desc(c) for c in order])
+
+
 def consumed(checkpoint: DataFrame, read_ids: DataFrame) -> DataFrame:
     """A checkpoint without the entries that a reader has finished; later ones stay."""
     return checkpoint.join(read_ids.select("id"), "id", "left_anti")

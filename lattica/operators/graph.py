@@ -60,6 +60,11 @@ def block_paths(blocks: DataFrame) -> DataFrame:
     return at.select("id", "ids", F.array_join(F.slice("names", F.lit(1), F.size("names") - 1), " > ").alias("path"))
 
 
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """(id, n_blocks): blocks of each tree, its root and all below it."""
+    return block_paths(blocks).groupBy(F.get("ids", F.lit(0)).alias("id")).agg(F.count("*").alias("n_blocks"))
+
+
 def blocks_to_embed(blocks: DataFrame) -> DataFrame:
     """Blocks with content, whatever their parents hold."""
     return blocks.filter(F.trim("content") != "")

@@ -163,3 +163,12 @@ def shown_block(block_id: Column, kind: Column, name: Column, path: Column, star
 def shown_mapping(sender: Column, receiver: Column, technology: Column, confidence: Column) -> Column:
     """One line for a mapping, its confidence in whole percents."""
     return F.concat(sender, F.lit(" -> "), receiver, F.lit(" ["), F.coalesce(technology, F.lit("Unknown")), F.lit(", "), F.round(100 * confidence).cast("int").cast("string"), F.lit("%]"))
+
+
+def grouped_connections(connections: DataFrame, files: DataFrame) -> DataFrame:
+    """(technology, n, shown): connections by technology, a line for each in the order of path and lines."""
+    met = connections.join(files.select(F.col("id").alias("file_id"), "file_path"), "file_id", "left")
+    line = F.format_string("- %s:%s-%s", F.coalesce("file_path", F.lit("?")), F.col("start_line").cast("string"), F.col("end_line").cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct("file_path", "start_line", "id", line.alias("line"))))
+    g = met.groupBy(F.coalesce("technology_name", F.lit("Unknown")).alias("technology")).agg(F.count("*").alias("n"), rows.alias("rows"))
+    return g.select("technology", "n", F.array_join(F.col("rows.line"), "\n").alias("shown"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions.text import number_lines
 
@@ -90,3 +93,36 @@ def rendered(elements: DataFrame) -> DataFrame:
     at = block_paths(elements.select(F.col("element_id").alias("id"), F.col("parent_id").alias("parent_block_id"), "name"))
     order: Column = F.array_join("ids", "/")
     return elements.join(at.withColumnRenamed("id", "element_id"), "element_id").select(order.alias("place"), F.concat(F.repeat(F.lit("    "), F.size("ids") - 1), "name").alias("line"))
+
+
+def reassigned(table: DataFrame, *order: str, within: list[str]) -> DataFrame:
+    """Tasks with ids from 1 in the given order, anew in each memory (``within``)."""
+    return table.withColumn("id", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+
+
+#: What may happen to a file in the change log.
+FILE_OPS = ("added", "modified", "deleted")
+
+
+def append_changes(log: DataFrame, rows: DataFrame, op: str = "op") -> DataFrame:
+    """A file-change log with new rows at its end; rows with an unknown operation are left out."""
+    return log.unionByName(rows.filter(F.col(op).isin(*FILE_OPS)).select(*log.columns))
+
+
+def snippet_context(snippets: DataFrame, key: str, text: str = "code_snippet") -> DataFrame:
+    """(key, context): snippets of a key in the order of their ids, apart by an empty line. Null texts are left out."""
+    held = snippets.filter(F.col(text).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", text))).alias("s"))
+    return held.select(key, F.array_join(F.col(f"s.{text}"), "\n\n").alias("context"))
+
+
+def export_state(tables: dict[str, DataFrame], path: str) -> None:
+    """A memory's tables as JSON lines, a folder for each, with their schemas beside them."""
+    for name, table in tables.items():
+        table.write.json(f"{path}/{name}")
+        table.sparkSession.createDataFrame([(table.schema.json(),)], "schema string").coalesce(1).write.text(f"{path}/_{name}")
+
+
+def import_state(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables that ``export_state`` wrote, with the same types."""
+    schema = lambda name: T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_{name}").first()[0]))
+    return {name: spark.read.schema(schema(name)).json(f"{path}/{name}") for name in names}

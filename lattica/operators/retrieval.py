@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.functions.text import lines, similarity
+from lattica.functions.text import chunk_of_lines, col, lines, similarity
 
 #: Results fetched and shown on a page (fixed values).
 TOP, PAGE = 30, 15
@@ -70,6 +70,10 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = TOP, rows: int
     return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
+#: Lines up to which a hit is shown whole (fixed value).
+WHOLE_LINES = 50
+
+
 def best_per_node(results: DataFrame) -> DataFrame:
     """Blocks keep their most similar chunk (the first of equals), files all chunks."""
     by = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "vec_id")
@@ -83,17 +87,29 @@ def with_pages(results: DataFrame, *order: Column | str, size: int = PAGE) -> Da
     return results.withColumn("node_index", n).withColumn("page", F.floor((n - 1) / size).cast("long"))
 
 
-def semantic_search(vectors: DataFrame, blocks: DataFrame, files: DataFrame, projects: DataFrame, query: list[float], k: int = TOP, threshold: float = 0.0) -> DataFrame:
-    """k nearest, best chunk of each block, placed in file and project, ranked and paged."""
-    hits = best_per_node(nearest(vectors, query, k, threshold)).withColumn("key", F.split_part("node_id", F.lit("_"), F.lit(2)).cast("long"))
+def semantic_search(vectors: DataFrame, blocks: DataFrame, files: DataFrame, projects: DataFrame, query: list[float], k: int = TOP, threshold: float = 0.0, project_id: int | None = None) -> DataFrame:
+    """k nearest (of one project, if given), best chunk of each block, placed in file and project, ranked and paged.
+
+    ``code`` is what a hit shows: the whole of a short block or file, of a long one the lines of its chunk, or the
+    whole if the chunk lies outside. ``parent_name`` and ``n_children`` place a block in its tree.
+    """
+    hits = best_per_node(nearest(vectors, query, k, threshold, project_id)).withColumn("key", F.split_part("node_id", F.lit("_"), F.lit(2)).cast("long"))
     is_file = F.col("node_id").startswith("file_")
-    b = blocks.select(F.col("id").alias("key"), F.col("name").alias("block_name"), F.col("file_id").alias("block_file"), "start_line", "end_line")
-    placed = hits.join(b, (hits["key"] == b["key"]) & ~is_file, "left").drop(b["key"])
+    kids = blocks.filter("parent_block_id IS NOT NULL").groupBy(F.col("parent_block_id").alias("key")).agg(F.count("*").alias("n_children"))
+    up = blocks.select(F.col("id").alias("up"), F.col("name").alias("parent_name"))
+    b = blocks.select(F.col("id").alias("key"), F.col("name").alias("block_name"), F.col("file_id").alias("block_file"), F.col("content").alias("block_text"), F.col("start_line").alias("block_start"), F.col("parent_block_id").alias("up"))
+    placed = hits.join(b, (hits["key"] == b["key"]) & ~is_file, "left").drop(b["key"]).join(up, "up", "left").join(kids, "key", "left")
     named = placed.withColumn("file_id", F.when(is_file, F.col("key")).otherwise(F.col("block_file")))
-    f = files.select(F.col("id").alias("file_id"), "file_path", F.col("project_id").alias("owner"))
+    f = files.select(F.col("id").alias("file_id"), "file_path", F.col("project_id").alias("owner"), F.col("content").alias("file_text"))
     p = projects.select(F.col("id").alias("owner"), F.col("name").alias("project_name"))
-    shown = named.join(f, "file_id", "left").join(p, "owner", "left")
-    out = shown.select("node_id", "vec_id", "block_name", "file_path", "project_name", "chunk_start_line", "chunk_end_line", "distance", F.round("similarity", 6).alias("similarity"))
+    shown = named.join(f, "file_id", "left").join(p, "owner", "left").withColumn("whole", F.when(is_file, F.col("file_text")).otherwise(F.col("block_text")))
+    first = F.when(is_file, F.lit(1)).otherwise(F.col("block_start"))
+    chunk = chunk_of_lines("whole", F.col("chunk_start_line") - first + 1, F.col("chunk_end_line") - first + 1)
+    code = F.when(F.size(lines("whole")) > WHOLE_LINES, chunk).otherwise(F.col("whole"))
+    out = shown.select(
+        "node_id", "vec_id", "block_name", "parent_name", F.when(~is_file, F.coalesce("n_children", F.lit(0))).alias("n_children"), "file_path", "project_name",
+        "chunk_start_line", "chunk_end_line", "distance", F.round("similarity", 6).alias("similarity"), code.alias("code"),
+    )
     return with_pages(out, "distance", "node_id", "vec_id")
 
 
@@ -224,3 +240,15 @@ def name_pattern(name: str, kind: str = "function") -> str:
 
     heads = {"function": r"(?:def|function|async function)\s+", "class": r"class\s+", "variable": r"(?:const|let|var)?\s*"}
     return heads.get(kind, r"") + r"\w*" + re.escape(name) + r"\w*"
+
+
+def run_counters(vectors: DataFrame) -> DataFrame:
+    """(project_id, files, blocks, chunks): what an embedding run made for each project."""
+    node = lambda kind: F.count_distinct(F.when(F.col("node_id").startswith(kind), F.col("node_id")))
+    return vectors.groupBy("project_id").agg(node("file_").alias("files"), node("block_").alias("blocks"), F.count("*").alias("chunks"))
+
+
+def fallback_tokens(text: Column | str) -> Column:
+    """Token numbers below 30,000 of white-space words, for want of a tokenizer: the same on every machine."""
+    words = F.filter(F.split(F.trim(col(text)), r"\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(30_000)).cast("int"))

@@ -136,6 +136,11 @@ def connections_from_result(result: DataFrame, direction: str) -> DataFrame:
     return by_file.select("technology_name", "file_path", F.col("x.description").alias("description"), F.array_min(lines).alias("start_line"), F.array_max(lines).alias("end_line"))
 
 
+def technologies_of(result: DataFrame, column: str) -> DataFrame:
+    """(technology): distinct keys of a column of nested maps technology -> file -> details."""
+    return result.select(F.explode(F.map_keys(column)).alias("technology")).distinct()
+
+
 def checked_vectors(rows: DataFrame, size: int) -> DataFrame:
     """Rows whose vectors have ``size`` elements; the job fails on any other, so a write is all or nothing."""
     return rows.withColumn("embedding", F.when(F.assert_true(F.size("embedding") == size, F.lit(f"a vector has not {size} elements")).isNull(), F.col("embedding")))

@@ -174,7 +174,16 @@ def v1_nearest_of_each(s: Store) -> DataFrame:
     return retrieval.nearest_many(s["embeddings"], q).select("query_id", "rank", F.round("distance", 4).alias("distance"))
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT *, round(list_distance(embedding::DOUBLE[], {_PROBE}), 6) AS distance FROM {{vectors}} ORDER BY distance, node_id, vec_id LIMIT 30),
+    h AS (SELECT *, CAST(split_part(node_id, '_', 2) AS BIGINT) AS key FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY distance, vec_id) AS k FROM n) x WHERE node_id LIKE 'file%' OR k = 1),
+    p AS (SELECT h.*, b.name AS block_name, q.name AS parent_name, c.n AS kids, coalesce(CASE WHEN h.node_id LIKE 'file%' THEN h.key END, b.file_id) AS file_id, b.content AS block_text
+          FROM h LEFT JOIN {{code_blocks}} b ON b.id = h.key AND h.node_id NOT LIKE 'file%' LEFT JOIN {{code_blocks}} q ON q.id = b.parent_block_id
+          LEFT JOIN (SELECT parent_block_id, count(*) AS n FROM {{code_blocks}} GROUP BY parent_block_id) c ON c.parent_block_id = h.key),
+    r AS (SELECT p.*, f.file_path, f.content AS file_text, j.name AS project_name, row_number() OVER (ORDER BY distance, node_id, vec_id) AS node_index FROM p LEFT JOIN {{files}} f ON f.id = p.file_id LEFT JOIN {{projects}} j ON j.id = f.project_id)
+    SELECT node_id, vec_id, block_name, parent_name, CASE WHEN node_id NOT LIKE 'file%' THEN coalesce(kids, 0) END AS n_children, file_path, project_name, chunk_start_line, chunk_end_line, distance,
+           round(1 / (1 + distance), 6) AS similarity, CASE WHEN node_id LIKE 'file%' THEN file_text ELSE block_text END AS code, node_index, CAST(floor((node_index - 1) / 15.0) AS BIGINT) AS page FROM r"""
+)
 def v12_semantic_search(s: Store) -> DataFrame:
     return retrieval.semantic_search(s["vectors"], s["code_blocks"], s["files"], s["projects"], PROBE)
 
@@ -433,3 +442,106 @@ def f38_mapping_lines(s: Store) -> DataFrame:
     f = s["files"]
     met = s["connection_mappings"].join(o, "sender_id").join(i, "receiver_id").join(f.select(F.col("id").alias("a"), F.col("file_path").alias("x")), "a").join(f.select(F.col("id").alias("b"), F.col("file_path").alias("y")), "b")
     return met.select("id", maintenance.shown_mapping(F.col("x"), F.col("y"), F.col("technology_name"), F.col("match_confidence")).alias("line"))
+
+
+# --- queries that run an operator against the SQL of the same name
+
+
+@query(f"""SELECT node_id, vec_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY round(list_distance(embedding::DOUBLE[], {_PROBE}), 6), vec_id) AS k FROM {{vectors}}) x WHERE k = 1 OR node_id LIKE 'file%'""")
+def a10_best_chunk_of_node(s: Store) -> DataFrame:
+    near = s["vectors"].withColumn("similarity", -F.round(retrieval.l2_distance("embedding", F.lit(PROBE)), 6))
+    return retrieval.best_per_node(near).select("node_id", "vec_id", "chunk_index")
+
+
+@query(NAMED["w3_keep_last_file"])
+def w3_keep_last_file(s: Store) -> DataFrame:
+    return store.keep_last(s["changes"], ["file_id"], "ts", "event_id").select("file_id", "code")
+
+
+@query(NAMED["w5_keep_first_relationship"])
+def w5_keep_first_relationship(s: Store) -> DataFrame:
+    return store.keep_first(s["relationships"], ["source_id", "target_id", "type"], "import_content").select("source_id", "target_id", "type", "import_content")
+
+
+@query(NAMED["w14_restored_connections"])
+def w14_restored_connections(s: Store) -> DataFrame:
+    return store.restore_connections(s["incoming_connections"], s["files"].filter("project_id <> 2")).select("id")
+
+
+@query(
+    """SELECT p.id, CASE WHEN p.id % 2 = 1 THEN 'seen ' || p.name ELSE p.description END AS description, p.cross_indexing_done OR p.id = 1 AS cross_indexing_done FROM {projects} p"""
+)
+def w19_updated_descriptions(s: Store) -> DataFrame:
+    news = s["projects"].filter("id % 2 = 1").select("id", F.concat(F.lit("seen "), "name").alias("description"), F.when(F.col("id") == 1, True).alias("cross_indexing_done"))
+    return store.update(s["projects"], news, "id", ["description", "cross_indexing_done"]).select("id", "description", "cross_indexing_done")
+
+
+@query(NAMED["a15_consecutive_lines"])
+def a15_consecutive_lines(s: Store) -> DataFrame:
+    return changes.consecutive(s["code_blocks"].select("file_id", (F.col("start_line") + F.col("id") % 3).alias("line")), "file_id")
+
+
+@query(NAMED["t6_compacted_changes"])
+def t6_compacted_changes(s: Store) -> DataFrame:
+    return changes.compact(s["changes"])
+
+
+@query(NAMED["j28_snapshot_compare"])
+def j28_snapshot_compare(s: Store) -> DataFrame:
+    old, new = (s[t].select("doc_id", F.sha2("text", 256).alias("content_hash")) for t in ("old_documents", "new_documents"))
+    return changes.snapshot_changes(new, old, "doc_id").withColumn("change", F.col("change"))
+
+
+@query("SELECT file_id, op, code FROM {changes}")
+def z5_changes_newest_first(s: Store) -> DataFrame:
+    return changes.newest_first(s["changes"], "ts", "event_id").select("file_id", "op", "code")
+
+
+@query("SELECT DISTINCT technology_name AS technology FROM {outgoing_connections} WHERE technology_name IS NOT NULL")
+def z19_technology_keys(s: Store) -> DataFrame:
+    named = s["outgoing_connections"].filter("technology_name IS NOT NULL").select("file_id", "technology_name").distinct()
+    return store.technologies_of(named.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("technology_name", "file_id"))).alias("m")), "m")
+
+
+@query("SELECT file_id, string_agg(code_snippet, chr(10) || chr(10) ORDER BY id) AS context FROM {outgoing_connections} WHERE code_snippet IS NOT NULL GROUP BY file_id")
+def z15_snippet_context(s: Store) -> DataFrame:
+    return memory.snippet_context(s["outgoing_connections"], "file_id")
+
+
+@query(
+    """SELECT coalesce(c.technology_name, 'Unknown') AS technology, count(*) AS n,
+    string_agg('- ' || coalesce(f.file_path, '?') || ':' || CAST(c.start_line AS VARCHAR) || '-' || CAST(c.end_line AS VARCHAR), chr(10) ORDER BY f.file_path NULLS FIRST, c.start_line, c.id) AS shown
+    FROM {incoming_connections} c LEFT JOIN {files} f ON f.id = c.file_id WHERE NOT EXISTS (SELECT 1 FROM {connection_mappings} m WHERE m.receiver_id = c.id) GROUP BY 1"""
+)
+def z37_unmapped_connections(s: Store) -> DataFrame:
+    free = s["incoming_connections"].join(s["connection_mappings"].select(F.col("receiver_id").alias("id")), "id", "left_anti")
+    return maintenance.grouped_connections(free, s["files"])
+
+
+@query(
+    """WITH t AS (SELECT id AS root, id FROM {code_blocks} WHERE parent_block_id IS NULL UNION ALL SELECT t.root, b.id FROM t JOIN {code_blocks} b ON b.parent_block_id = t.id)
+    SELECT root AS id, count(*) AS n_blocks FROM t GROUP BY root"""
+)
+def a23_blocks_of_trees(s: Store) -> DataFrame:
+    return graph.block_counts(s["code_blocks"])
+
+
+@query(
+    """SELECT project_id, count(DISTINCT CASE WHEN node_id LIKE 'file%' THEN node_id END) AS files, count(DISTINCT CASE WHEN node_id LIKE 'block%' THEN node_id END) AS blocks, count(*) AS chunks
+    FROM {vectors} GROUP BY project_id"""
+)
+def a25_embedding_counters(s: Store) -> DataFrame:
+    return retrieval.run_counters(s["vectors"])
+
+
+@query("SELECT file_id AS project_id, id AS old_id, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS id FROM {outgoing_connections}")
+def t14_reassigned_ids(s: Store) -> DataFrame:
+    t = s["outgoing_connections"].select(F.col("file_id").alias("project_id"), F.col("id").alias("old_id"), "id", "start_line")
+    return memory.reassigned(t, "start_line", "old_id", within=["project_id"]).drop("start_line")
+
+
+@query("SELECT file_id, op FROM {changes} WHERE file_id % 2 = 0 UNION ALL SELECT user_id, event_type FROM {events} WHERE event_type IN ('added', 'modified', 'deleted') UNION ALL SELECT file_id, op FROM {changes}")
+def z24_appended_changes(s: Store) -> DataFrame:
+    log = s["changes"].filter("file_id % 2 = 0").select("file_id", "op")
+    raw = s["events"].select(F.col("user_id").alias("file_id"), F.col("event_type").alias("op"))
+    return memory.append_changes(log, raw.unionByName(s["changes"].select("file_id", "op")))

@@ -441,3 +441,28 @@ def test_large_typescript_functions_refer_to_nested_ones():
 def test_all_names_of_an_export():
     names = [f"n{i}" for i in range(20)]
     assert [b["name"] for b in extract.typescript_blocks(f"export {{ {', '.join(names)} }};\n") if b["type"] == "export"] == [", ".join(names)]
+
+
+def test_memory_state_round_trip(spark, tmp_path):
+    tables = {"tasks": spark.createDataFrame([(1, "a\nb", None), (2, None, True)], "id long, description string, done boolean"), "history": spark.createDataFrame([], "seq long, at timestamp")}
+    memory.export_state(tables, str(tmp_path / "state"))
+    back = memory.import_state(spark, str(tmp_path / "state"), ["tasks", "history"])
+    assert all(back[n].schema == t.schema for n, t in tables.items())
+    assert sorted(map(tuple, back["tasks"].collect())) == [(1, "a\nb", None), (2, None, True)] and back["history"].count() == 0
+
+
+def test_fallback_tokens(spark):
+    rows = spark.createDataFrame([(" one two\tone ",), ("",), (None,)], "t string").select(retrieval.fallback_tokens("t").alias("x")).collect()
+    a = rows[0]["x"]
+    assert len(a) == 3 and a[0] == a[2] != a[1] and all(0 <= x < 30_000 for x in a) and rows[1]["x"] == [] and rows[2]["x"] is None
+
+
+def test_search_shows_chunks_of_long_blocks(spark):
+    text = "\n".join(f"line {i}" for i in range(101, 181))  # lines 101 to 180 of the file
+    vectors = spark.createDataFrame([("block_1", 1, 9, 0, 121, 123, [0.0]), ("block_2", 2, 9, 0, 5, 6, [1.0]), ("block_1", 3, 8, 0, 1, 2, [0.0])], "node_id string, vec_id long, project_id long, chunk_index long, chunk_start_line long, chunk_end_line long, embedding array<float>")
+    blocks = spark.createDataFrame([(1, "big", text, 101, 180, 5, None), (2, "small", "one\ntwo", 5, 6, 5, 1)], "id long, name string, content string, start_line long, end_line long, file_id long, parent_block_id long")
+    files_ = spark.createDataFrame([(5, "/a.py", "", 9)], "id long, file_path string, content string, project_id long")
+    projects = spark.createDataFrame([(9, "p")], "id long, name string")
+    out = {r["block_name"]: r for r in retrieval.semantic_search(vectors, blocks, files_, projects, [0.0], project_id=9).collect()}
+    assert out["big"]["code"] == "line 121\nline 122\nline 123" and out["big"]["n_children"] == 1
+    assert out["small"]["code"] == "one\ntwo" and out["small"]["parent_name"] == "big" and len(out) == 2
