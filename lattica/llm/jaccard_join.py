@@ -259,7 +259,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["key", "s"])
 
     wanted = copies.join(placed.select("key"), "key", "left_semi").select(F.col("first").alias("_id")).distinct()
-    full = map_arrow(source.join(wanted, "_id", "left_semi"), shingles, "key binary, s binary").groupBy("key").agg(F.any_value("s").alias("s"))
+    # shuffled at every size: a broadcast of the ids would only last as long as they are few
+    full = map_arrow(source.join(wanted.hint("merge"), "_id", "left_semi"), shingles, "key binary, s binary").groupBy("key").agg(F.any_value("s").alias("s"))
 
     def cell(key: tuple, table: pa.Table) -> pa.Table:
         keys, side = table["key"].to_pylist(), table["side"].to_numpy()
