@@ -1,4 +1,4 @@
-"""Paging of results: pages are columns, so no cursor is kept anywhere."""
+"""Paging of results: pages are columns; a reader's place is a row of a cursor table."""
 
 from __future__ import annotations
 
@@ -30,3 +30,39 @@ def status(rows: DataFrame, key: str, delivered: int) -> DataFrame:
     g = rows.groupBy(key).agg((F.max("page") + 1).alias("total"))
     done = F.least(F.lit(delivered), "total")
     return g.select(key, "total", done.alias("delivered"), (F.col("total") - done).alias("remaining"), F.round(100 * done / F.col("total"), 1).alias("percent"), (done >= F.col("total")).alias("complete"))
+
+
+def register(cursors: DataFrame, requests: DataFrame) -> DataFrame:
+    """Cursors (session, signature, position, total, complete) after requests (session, signature, total), one for a session.
+
+    A new signature, or more pages than before, starts at page 0; so does a complete delivery that is asked for again.
+    Any other cursor keeps its place. Sessions without a request, or with a null one, stay as they are.
+    """
+    r = requests.select("session", F.col("signature").alias("_s"), F.col("total").cast("long").alias("_n"))
+    met = cursors.select("session", "signature", F.col("position").cast("long").alias("position"), F.col("total").cast("long").alias("total"), "complete").join(r, "session", "full")
+    asked = F.col("_s").isNotNull()
+    same = F.coalesce(F.col("signature") == F.col("_s"), F.lit(False))
+    again = same & F.col("complete")
+    afresh = asked & (~same | F.col("complete") | (F.col("total") < F.col("_n")))
+    out = met.select(
+        "session", F.when(asked, F.col("_s")).otherwise(F.col("signature")).alias("signature"),
+        F.when(afresh, F.lit(0).cast("long")).otherwise(F.col("position")).alias("position"),
+        F.when(afresh & ~again, F.col("_n")).otherwise(F.col("total")).alias("total"),
+        F.when(afresh, F.lit(False)).otherwise(F.col("complete")).alias("complete"),
+    )
+    return out.filter("signature IS NOT NULL")
+
+
+def advance(cursors: DataFrame) -> DataFrame:
+    """Cursors one page on, with the page (from 0) that is delivered now; null when nothing is left."""
+    left = ~F.col("complete") & (F.col("position") < F.col("total"))
+    after = F.col("position") + 1
+    return cursors.select(
+        "session", "signature", F.when(left, F.col("position")).alias("page"), F.when(left, after).otherwise(F.col("position")).alias("position"), "total",
+        F.when(left, after >= F.col("total")).otherwise(F.col("complete")).alias("complete"),
+    )
+
+
+def clear(cursors: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Cursors without those of the sessions named."""
+    return cursors.join(sessions.select("session"), "session", "left_anti")

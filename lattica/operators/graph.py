@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.paths import ancestors
@@ -40,7 +40,10 @@ def _saved(df: DataFrame) -> DataFrame:
     """A table at a checkpoint: lineage ends there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or "/tmp/checkpoints")
     return df.checkpoint()
 
 
@@ -60,6 +63,19 @@ def block_paths(blocks: DataFrame) -> DataFrame:
     return at.select("id", "ids", F.array_join(F.slice("names", F.lit(1), F.size("names") - 1), " > ").alias("path"))
 
 
+def block_tree(blocks: DataFrame) -> DataFrame:
+    """(id, file_id, parent_block_id, depth, position): the forest of blocks, top ones at depth 1.
+
+    Position counts from 1 among the children of a block, or among the top blocks of a file, by start_line and id.
+    Blocks below a parent that isn't there, or on a cycle, are in no tree.
+    """
+    tops = blocks.filter("parent_block_id IS NULL").select(F.col("id").alias("top"))
+    depths = block_paths(blocks).select("id", F.get("ids", F.lit(0)).alias("top"), F.size("ids").cast("long").alias("depth")).join(tops, "top", "left_semi")
+    siblings = Window.partitionBy("parent_block_id", F.when(F.col("parent_block_id").isNull(), F.col("file_id"))).orderBy("start_line", "id")
+    placed = blocks.select("id", "file_id", "parent_block_id", F.row_number().over(siblings).cast("long").alias("position"))
+    return placed.join(depths.select("id", "depth"), "id").select("id", "file_id", "parent_block_id", "depth", "position")
+
+
 def block_counts(blocks: DataFrame) -> DataFrame:
     """(id, n_blocks): blocks of each tree, its root and all below it."""
     return block_paths(blocks).groupBy(F.get("ids", F.lit(0)).alias("id")).agg(F.count("*").alias("n_blocks"))
@@ -180,3 +196,9 @@ def longest_prefix(paths: DataFrame, projects: DataFrame) -> DataFrame:
     p = projects.select(F.concat(F.rtrim("path", F.lit("/")), F.lit("/")).alias("above"), F.col("name"))
     hit = up.join(p, "above").groupBy("path").agg(F.max_by("name", F.struct(F.length("above"), "name")).alias("project"))
     return paths.select("path").distinct().join(hit, "path", "left")
+
+
+def parent_project(paths: DataFrame, files: DataFrame, projects: DataFrame) -> DataFrame:
+    """(path, project): the project whose files' common directory holds a path; the deepest of several, else null."""
+    roots = common_path(files, "project_id").filter("directory <> ''").join(projects.select(F.col("id").alias("project_id"), "name"), "project_id")
+    return longest_prefix(paths, roots.select(F.col("directory").alias("path"), "name"))

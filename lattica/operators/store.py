@@ -216,3 +216,8 @@ def json_safe(x: object) -> object:
 
 def dumps(x: object) -> str:
     return json.dumps(json_safe(x))
+
+
+def stamped(rows: DataFrame, column: str, at: str | None = None) -> DataFrame:
+    """Rows with a timestamp: the time given, else that of the query's start, the same in every row."""
+    return rows.withColumn(column, F.current_timestamp() if at is None else F.lit(at).cast("timestamp"))

@@ -98,19 +98,25 @@ NAMED: dict[str, str] = {
         FROM k LEFT JOIN o ON o.t = k.t LEFT JOIN i ON i.t = k.t LEFT JOIN o ou ON ou.t = 'Unknown' LEFT JOIN i iu ON iu.t = 'Unknown'
         WHERE coalesce(o.n, ou.n) IS NOT NULL AND coalesce(i.n, iu.n) IS NOT NULL""",
     "j28_snapshot_compare": """
-        WITH a AS (SELECT doc_id, [[sha2(text, 256)|sha256(text)]] AS h FROM {documents} WHERE doc_id % 10 <> 3),
-             b AS (SELECT doc_id, [[sha2(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END, 256)|sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END)]] AS h FROM {documents} WHERE doc_id % 10 <> 7)
-        SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'changed' ELSE 'unchanged' END AS change
+        WITH a AS (SELECT doc_id, [[sha2(text, 256)|sha256(text)]] AS h FROM {old_documents}), b AS (SELECT doc_id, [[sha2(text, 256)|sha256(text)]] AS h FROM {new_documents})
+        SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' ELSE 'unchanged' END AS change
         FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""",
     "j29_project_block_count": """
         SELECT p.name, count(cb.id) AS blocks FROM {projects} p LEFT JOIN {files} f ON f.project_id = p.id LEFT JOIN {code_blocks} cb ON cb.file_id = f.id GROUP BY p.name""",
     # --- predicates
     "p4_connections_by_ids": "SELECT id, description, file_id FROM {incoming_connections} WHERE id IN (SELECT receiver_id FROM {connection_mappings} WHERE match_confidence >= 0.7)",
+    # a file as sender or as receiver: one row for each file of a mapping, so that file_id is a key
     "p5_disjunctive_filter": """
-        SELECT m.id, ic.file_id AS in_file, oc.file_id AS out_file FROM {connection_mappings} m LEFT JOIN {incoming_connections} ic ON m.receiver_id = ic.id LEFT JOIN {outgoing_connections} oc ON m.sender_id = oc.id
-        WHERE (ic.file_id = 7 OR oc.file_id = 7) AND m.match_confidence > 0.5""",
+        WITH e AS (SELECT m.id, ic.file_id AS in_file, oc.file_id AS out_file FROM {connection_mappings} m
+                   LEFT JOIN {incoming_connections} ic ON m.receiver_id = ic.id LEFT JOIN {outgoing_connections} oc ON m.sender_id = oc.id WHERE m.match_confidence > 0.5)
+        SELECT in_file AS file_id, id, in_file, out_file FROM e WHERE in_file IS NOT NULL
+        UNION ALL SELECT out_file, id, in_file, out_file FROM e WHERE out_file IS NOT NULL AND out_file IS DISTINCT FROM in_file""",
     "p6_unknown_technology": "SELECT id, file_id FROM {outgoing_connections} WHERE coalesce(technology_name, 'Unknown') = 'Unknown'",
-    "p8_suffix_path": "SELECT id, file_path FROM {files} WHERE lower(file_path) LIKE '%7.py'",
+    # every run of last components of a path, in lower case, so that a suffix is a key of an equi-join or a filter
+    "p8_suffix_path": """
+        WITH p AS (SELECT id, file_path, [[split|string_split]](lower(file_path), '/') AS parts FROM {files}),
+             e AS (SELECT id, file_path, parts, [[explode(sequence(1, size(parts)))|unnest(generate_series(1, len(parts)))]] AS i FROM p)
+        SELECT [[array_join(slice(parts, i, size(parts)), '/')|array_to_string(parts[i:], '/')]] AS suffix, id, file_path FROM e""",
     "p11_overlap_or_null": "SELECT id, start_line, end_line FROM {incoming_connections} WHERE start_line IS NULL OR end_line IS NULL OR (start_line <= 30 AND 12 <= end_line)",
     "p15_blocks_with_content": "SELECT id, name FROM {code_blocks} WHERE trim(content) <> ''",
     "p16_blocks_by_type": "SELECT id, name FROM {code_blocks} WHERE type = 'function'",

@@ -66,6 +66,16 @@ def r2_block_paths(s: Store) -> DataFrame:
     return graph.block_paths(s["code_blocks"]).select("id", F.array_join("ids", ",").alias("ids"), "path")
 
 
+@query(
+    """WITH t AS (SELECT id, CAST(1 AS BIGINT) AS depth FROM {code_blocks} WHERE parent_block_id IS NULL
+          UNION ALL SELECT b.id, t.depth + 1 FROM t JOIN {code_blocks} b ON b.parent_block_id = t.id),
+    p AS (SELECT id, file_id, parent_block_id, row_number() OVER (PARTITION BY parent_block_id, CASE WHEN parent_block_id IS NULL THEN file_id END ORDER BY start_line, id) AS position FROM {code_blocks})
+    SELECT p.id, p.file_id, p.parent_block_id, t.depth, p.position FROM p JOIN t ON t.id = p.id"""
+)
+def j19_block_tree(s: Store) -> DataFrame:
+    return graph.block_tree(s["code_blocks"])
+
+
 @query("SELECT id FROM {code_blocks} WHERE trim(content) <> ''")
 def r4_blocks_to_embed(s: Store) -> DataFrame:
     return graph.blocks_to_embed(s["code_blocks"]).select("id")
@@ -140,6 +150,11 @@ def j25_project_of_path(s: Store) -> DataFrame:
     return graph.longest_prefix(s["files"].select(F.col("file_path").alias("path")), s["projects"])
 
 
+@query("SELECT DISTINCT f.file_path AS path, p.name AS project FROM {files} f LEFT JOIN {projects} p ON p.id = f.project_id")
+def j26_parent_project(s: Store) -> DataFrame:
+    return graph.parent_project(s["files"].select(F.col("file_path").alias("path")), s["files"], s["projects"])
+
+
 @query("SELECT DISTINCT path FROM (SELECT file_path AS path FROM {files} UNION ALL SELECT '/repo/' UNION ALL SELECT regexp_extract(file_path, '^/repo/[^/]*/') FROM {files}) x")
 def s12_listing(s: Store) -> DataFrame:
     return graph.list_paths(s["files"])
@@ -375,6 +390,19 @@ def t15_delivery_pages(s: Store) -> DataFrame:
     return delivery.by_lines(s["outgoing_connections"], "file_id", ["start_line", "id"], "code_snippet", 50)
 
 
+@query(
+    """WITH n AS (SELECT file_id AS session, CAST(ceil(count(*) / 30.0) AS BIGINT) AS total FROM {code_blocks} GROUP BY file_id),
+    r AS (SELECT session, total, CASE WHEN session % 2 = 0 THEN 'blocks' ELSE 'names' END AS signature, CASE WHEN session % 2 = 0 AND total > 1 THEN 1 ELSE 0 END AS page FROM n)
+    SELECT session, signature, page, page + 1 AS position, total, page + 1 >= total AS complete FROM r"""
+)
+def t15_delivery_cursor(s: Store) -> DataFrame:
+    pages = delivery.by_count(s["code_blocks"], 30, "start_line", "id", within=["file_id"])
+    queues = pages.groupBy(F.col("file_id").alias("session")).agg(F.max("pages").alias("total"))
+    opened = delivery.register(queues.select("session", F.lit(None).cast("string").alias("signature"), F.lit(0).alias("position"), "total", F.lit(False).alias("complete")), queues.withColumn("signature", F.lit("blocks")))
+    asked = queues.withColumn("signature", F.when(F.col("session") % 2 == 0, "blocks").otherwise("names"))
+    return delivery.advance(delivery.register(delivery.advance(opened).drop("page"), asked))
+
+
 @query("SELECT file_id, CAST(ceil(count(*) / 30.0) AS BIGINT) AS total, least(1, CAST(ceil(count(*) / 30.0) AS BIGINT)) AS delivered FROM {code_blocks} GROUP BY file_id")
 def t16_delivery_status(s: Store) -> DataFrame:
     pages = delivery.by_count(s["code_blocks"], 30, "start_line", "id", within=["file_id"])

@@ -124,3 +124,29 @@ def search_results(raw: DataFrame, json_col: str = "json", kind: Column | str =
     one = F.transform(j["web"]["results"], lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["description"].alias("description"), x["age"].alias("age")))
     other = F.transform(j["results"], lambda x: F.struct(x["title"].alias("title"), F.coalesce(x["url"], x["properties"]["url"]).alias("url"), F.coalesce(x["description"], x["source"]).alias("description"), x["age"].alias("age")))
     return raw.select(k.alias("kind"), F.posexplode(F.coalesce(one, other)).alias("rank", "r")).select("kind", "rank", "r.*")
+
+
+#: Fixed values of the search service: results a page, and the periods a search can be limited to.
+PAGE = (1, 20)
+PERIODS = {"day": "pd", "week": "pw", "month": "pm", "year": "py"}
+
+
+def search_params(query: str, count: int = 10, offset: int = 0, period: str | None = None, safe: str = "moderate", **options: object) -> dict[str, str] | None:
+    """Parameters of a search request, None for a blank query. Options that are None are left out, lists are joined by commas."""
+    if not query.strip():
+        return None
+    shown = {bool: lambda v: str(int(v)), list: ",".join}
+    chosen = {"country": "US", "units": "metric", "spellcheck": True, "extra_snippets": False, "tf": PERIODS[period] if period else None, **options}
+    fixed = {"q": query.strip(), "count": str(_page_size(count)), "offset": str(max(0, offset)), "safesearch": safe}
+    return fixed | {k: shown.get(type(v), str)(v) for k, v in chosen.items() if v is not None}
+
+
+def _page_size(count: int) -> int:
+    return min(max(count, PAGE[0]), PAGE[1])
+
+
+def results_page(results: DataFrame, count: int = 10, offset: int = 0) -> DataFrame:
+    """Page ``offset`` (from 0) of stored results with their ranks, as the service would cut them."""
+    size = _page_size(count)
+    start = max(0, offset) * size
+    return results.filter((F.col("rank") >= start) & (F.col("rank") < start + size))

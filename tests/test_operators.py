@@ -466,3 +466,53 @@ def test_search_shows_chunks_of_long_blocks(spark):
     out = {r["block_name"]: r for r in retrieval.semantic_search(vectors, blocks, files_, projects, [0.0], project_id=9).collect()}
     assert out["big"]["code"] == "line 121\nline 122\nline 123" and out["big"]["n_children"] == 1
     assert out["small"]["code"] == "one\ntwo" and out["small"]["parent_name"] == "big" and len(out) == 2
+
+
+def test_block_tree(spark):
+    rows = [(1, 1, None, 9), (2, 1, None, 3), (3, 1, 1, 12), (4, 1, 1, 10), (5, 1, 3, 13), (6, 1, 99, 1), (7, 1, 8, 1), (8, 1, 7, 1), (9, 2, None, 1), (10, 1, 1, 10)]
+    blocks = spark.createDataFrame([(i, f, p, s, f"b{i}") for i, f, p, s in rows], "id long, file_id long, parent_block_id long, start_line long, name string")
+    got = {r["id"]: (r["depth"], r["position"]) for r in graph.block_tree(blocks).collect()}
+    assert got == {1: (1, 2), 2: (1, 1), 3: (2, 3), 4: (2, 1), 10: (2, 2), 5: (3, 1), 9: (1, 1)}
+    assert graph.block_tree(blocks.limit(0)).count() == 0
+
+
+def test_parent_project(spark):
+    held = [(1, "/r/a/x.py"), (1, "/r/a/b/y.py"), (2, "/r/a/b/c/z.py"), (2, "/r/a/b/c/d/w.py"), (3, "loose.py"), (3, "/other.py")]
+    files = spark.createDataFrame(held, "project_id long, file_path string")
+    projects = spark.createDataFrame([(1, "outer"), (2, "inner"), (3, "rootless"), (4, "empty")], "id long, name string")
+    wanted = {"/r/a": "outer", "/r/a/b": "outer", "/r/a/b/c": "inner", "/r/a/b/c/n": "inner", "/r/ab": None, "/r": None}
+    paths = spark.createDataFrame([(p,) for p in wanted], "path string")
+    assert {r["path"]: r["project"] for r in graph.parent_project(paths, files, projects).collect()} == wanted
+
+
+def test_delivery_cursors(spark):
+    shape = "session string, signature string, position long, total long, complete boolean"
+    cursors = spark.createDataFrame([("done", "q", 2, 2, True), ("half", "q", 1, 2, False), ("grown", "q", 1, 2, False), ("other", "q", 1, 2, False), ("idle", "q", 2, 2, True)], shape)
+    asked = spark.createDataFrame([("done", "q", 5), ("half", "q", 2), ("grown", "q", 3), ("other", "p", 1), ("new", "q", 1), ("none", "q", 0)], "session string, signature string, total long")
+    opened = delivery.register(cursors, asked)
+    rows = lambda df: {r["session"]: tuple(r)[1:] for r in df.collect()}
+    assert rows(opened) == {
+        "done": ("q", 0, 2, False), "half": ("q", 1, 2, False), "grown": ("q", 0, 3, False), "other": ("p", 0, 1, False),
+        "idle": ("q", 2, 2, True), "new": ("q", 0, 1, False), "none": ("q", 0, 0, False),
+    }
+    assert rows(delivery.advance(opened)) == {
+        "done": ("q", 0, 1, 2, False), "half": ("q", 1, 2, 2, True), "grown": ("q", 0, 1, 3, False), "other": ("p", 0, 1, 1, True),
+        "idle": ("q", None, 2, 2, True), "new": ("q", 0, 1, 1, True), "none": ("q", None, 0, 0, False),
+    }
+    assert set(rows(delivery.clear(opened, asked))) == {"idle"}
+
+
+def test_search_requests_and_pages(spark):
+    assert files.search_params("  ") is None
+    got = files.search_params(" a b ", count=50, offset=-1, period="week", result_filter=["web", "news"], search_lang="en", goggles_id=None, spellcheck=False)
+    wanted = {"q": "a b", "count": "20", "offset": "0", "safesearch": "moderate", "tf": "pw", "result_filter": "web,news", "search_lang": "en", "spellcheck": "0"}
+    assert got == wanted | {"country": "US", "units": "metric", "extra_snippets": "0"}
+    ranks = spark.range(45).select(F.col("id").alias("rank"))
+    at = lambda **k: sorted(r["rank"] for r in files.results_page(ranks, **k).collect())
+    assert (at(), at(count=99, offset=2), at(count=0), at(offset=5)) == (list(range(10)), list(range(40, 45)), [0], [])
+
+
+def test_stamps(spark):
+    rows = store.stamped(spark.range(3), "at", "2024-01-02 03:04:05")
+    assert {str(r["at"]) for r in rows.collect()} == {"2024-01-02 03:04:05"}
+    assert store.stamped(spark.range(50), "at").select("at").distinct().count() == 1

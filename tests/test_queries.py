@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lattica.plans.named import NAMED
+from lattica.plans.named import NAMED, run
 from lattica.plans.views import Store
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,27 @@ def test_changes_are_told_by_text(spark):
     new = spark.createDataFrame([(1, "a"), (2, "B"), (5, "c"), (6, "now"), (13, "new")], "doc_id long, text string")
     got = {n: {r["doc_id"] for r in Store(spark, SF).sql(NAMED[n], old_documents=old, new_documents=new).collect()} for n in ("u4_deleted_files", "u5_changed_or_new")}
     assert got == {"u4_deleted_files": {9}, "u5_changed_or_new": {2, 6, 13}}
+
+
+def test_files_at_either_end_of_a_mapping(spark):
+    sides = "id long, file_id long"
+    out = spark.createDataFrame([(1, 7), (2, 7), (3, None)], sides)
+    inc = spark.createDataFrame([(1, 7), (2, 8), (3, None)], sides)
+    pairs = [(i, s, r, c) for i, (s, r, c) in enumerate([(1, 1, 0.9), (1, 2, 0.9), (2, 1, 0.5), (3, 2, 0.7), (3, 3, 0.7), (9, 1, 0.7), (2, None, 0.8)])]
+    maps = spark.createDataFrame(pairs, "id long, sender_id long, receiver_id long, match_confidence double")
+    got = Store(spark, SF).sql(NAMED["p5_disjunctive_filter"], outgoing_connections=out, incoming_connections=inc, connection_mappings=maps).collect()
+    assert sorted((r["file_id"], r["id"]) for r in got) == [(7, 0), (7, 1), (7, 5), (7, 6), (8, 1), (8, 3)]
+
+
+def test_suffixes_are_keys(spark):
+    store = Store(spark, SF)
+    store._made["files"] = spark.createDataFrame([(1, "/r/A/x.py"), (2, "/r/b/x.py"), (3, "x.py"), (4, "/r/ax.py"), (5, None)], "id long, file_path string")
+    at = lambda suffix: {r["id"] for r in run(store, "p8_suffix_path", suffix=suffix).collect()}
+    assert (at("x.py"), at("a/x.py"), at("/r/a/x.py"), at("y.py")) == ({1, 2, 3}, {1}, {1}, set())
+
+
+def test_snapshot_changes_by_text(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (6, None), (7, None), (9, "gone")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "a"), (2, "B"), (6, "now"), (7, None), (13, "new")], "doc_id long, text string")
+    got = Store(spark, SF).sql(NAMED["j28_snapshot_compare"], old_documents=old, new_documents=new).collect()
+    assert {r["doc_id"]: r["change"] for r in got} == {1: "unchanged", 2: "changed", 6: "changed", 7: "unchanged", 9: "deleted", 13: "new"}
