@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def snapshot_changes(current: DataFrame, stored: DataFrame, key: str = "file_path", digest: str = "content_hash") -> DataFrame:
-    """(key, change) with change new, deleted, changed or unchanged: one full outer join."""
-    a = current.select(key, F.col(digest).alias("_now"))
-    b = stored.select(key, F.col(digest).alias("_was"))
-    kind = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "deleted").when(F.col("_now") != F.col("_was"), "changed").otherwise("unchanged")
+    """(key, change) with change new, deleted, changed or unchanged: one full outer join. A null digest equals a null one only."""
+    a = current.select(key, F.struct(F.col(digest).alias("h")).alias("_now"))
+    b = stored.select(key, F.struct(F.col(digest).alias("h")).alias("_was"))
+    kind = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "deleted").when(F.col("_now.h").eqNullSafe(F.col("_was.h")), "unchanged").otherwise("changed")
     return a.join(b, key, "full_outer").select(key, kind.alias("change"))
 
 
@@ -79,40 +83,70 @@ def consecutive(rows: DataFrame, *keys: str, line: str = "line") -> DataFrame:
     return isles.groupBy(*keys, "_island").agg(F.min(line).alias("start_line"), F.max(line).alias("end_line")).drop("_island")
 
 
+def _folded(rows: DataFrame, key: str, order: list[str], fold: Callable[[], Callable[[dict], int]]) -> DataFrame:
+    """Rows in the order of their key with a column batch, told row by row by a fresh fold for each key.
+
+    A key's rows stream through one task in Arrow batches; only the fold's state is held, whatever the key's size.
+    """
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, last = None, None
+        for part in batches:
+            out = []
+            for row in part.to_pylist():
+                if step is None or row[key] != last:
+                    step, last = fold(), row[key]
+                out.append(step(row))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=[*columns, "batch"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())]))
+
+
 def packed(rows: DataFrame, key: str, order: list[str], size: str, limit: int) -> DataFrame:
-    """Rows with the number of their batch: filled in order up to ``limit``, a batch's first row always admitted.
+    """(key, order, size) with the number of its batch: filled in order up to ``limit``, a batch's first row always admitted.
 
-    The fold over a key's ordered sizes is an aggregate() over an array of (order, size): JVM-side.
+    Equal rows of the order come by size; a null size counts 0.
     """
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_size")))).alias("_r"))
 
-    def step(state: Column, x: Column) -> Column:
-        over = (state["used"] > 0) & (state["used"] + x["_size"] > limit)
-        batch = state["batch"] + F.when(over, 1).otherwise(0)
-        used = F.when(over, x["_size"]).otherwise(state["used"] + x["_size"])
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(state["out"], F.array(batch)).alias("out"))
+    def fold() -> Callable[[dict], int]:
+        batch = used = 0
+
+        def step(row: dict) -> int:
+            nonlocal batch, used
+            n = row[size] or 0
+            if used > 0 and used + n > limit:
+                batch, used = batch + 1, 0
+            used += n
+            return batch
+
+        return step
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-    with_batch = g.select(key, F.explode(F.arrays_zip(F.col("_r").alias("r"), F.aggregate("_r", start, step)["out"].alias("b"))).alias("z"))
-    return with_batch.select(key, *[F.col(f"z.r.{c}").alias(c) for c in order], F.col("z.r._size").alias(size), F.col("z.b").alias("batch"))
+    return _folded(rows.select(key, *order, F.col(size).cast("long").alias(size)), key, [*order, size], fold)
 
 
 def packed_with_overlap(rows: DataFrame, limit: int = 2000) -> DataFrame:
     """Batches of line ranges (project_id, file_id, start_line, end_line) of ``limit`` lines; lines that a range
     shares with the one before it in the same file aren't counted again. A true sequential fold: one project at a time."""
-    import pandas as pd
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["file_id", "start_line", "end_line", "id"])
-        batch, used, last, out = 0, 0, (None, 0), []
-        for f, a, b in zip(df["file_id"], df["start_line"], df["end_line"], strict=True):
+    def fold() -> Callable[[dict], int]:
+        batch = used = end = 0
+        file: object = None
+
+        def step(row: dict) -> int:
+            nonlocal batch, used, end, file
+            f, a, b = row["file_id"], row["start_line"], row["end_line"]
+            end = end if f == file else 0
             n = b - a + 1
-            shared = max(0, min(b, last[1]) - a + 1) if last[0] == f else 0
+            shared = max(0, min(b, end) - a + 1)
             if used and used + n - shared > limit:
                 batch, used, shared = batch + 1, 0, 0
             used += n - shared
-            last = (f, max(b, last[1]) if last[0] == f else b)
-            out.append(batch)
-        return df.assign(batch=out)
+            file, end = f, max(b, end)
+            return batch
+
+        return step
 
-    return rows.select("project_id", "id", "file_id", "start_line", "end_line").groupBy("project_id").applyInPandas(fold, "project_id long, id long, file_id long, start_line long, end_line long, batch int")
+    lines = rows.select(*[F.col(c).cast("long").alias(c) for c in ("project_id", "id", "file_id", "start_line", "end_line")])
+    return _folded(lines, "project_id", ["file_id", "start_line", "end_line", "id"], fold)

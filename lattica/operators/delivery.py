@@ -7,13 +7,31 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import lines
 from lattica.operators.changes import packed
+from lattica.operators.graph import saved
+
+
+def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows with _rank (from 1) and _total over the whole table: ranges of the order are counted, then ranked apart.
+
+    Only one row for each partition is broadcast. The dealt rows are at a checkpoint, so a lost task finds the same ranges.
+    """
+    dealt = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_rank", here).join(F.broadcast(places), "_part").withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_part", "_before")
 
 
 def by_count(rows: DataFrame, size: int, *order: Column | str, within: list[str] | None = None) -> DataFrame:
-    """Rows with page (from 0) and pages, ``size`` rows on each."""
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
-    total = F.count("*").over(Window.partitionBy(*(within or [F.lit(0)])))
-    return rows.withColumn("page", F.floor((F.row_number().over(w) - 1) / size).cast("long")).withColumn("pages", F.ceil(total / size).cast("long"))
+    """Rows with page (from 0) and pages, ``size`` rows on each; of the whole table, or within keys."""
+    if within:
+        keys = Window.partitionBy(*within)
+        placed = rows.withColumn("_rank", F.row_number().over(keys.orderBy(*order))).withColumn("_total", F.count("*").over(keys))
+    else:
+        placed = ranked(rows, *order)
+    paged = placed.withColumn("page", F.floor((F.col("_rank") - 1) / size).cast("long")).withColumn("pages", F.ceil(F.col("_total") / size).cast("long"))
+    return paged.drop("_rank", "_total")
 
 
 def by_lines(rows: DataFrame, key: str, order: list[str], content: str, limit: int = 500) -> DataFrame:

@@ -36,7 +36,7 @@ def dependency_chain(relationships: DataFrame, files: DataFrame, depth: int = 5,
     return found.withColumn("k", F.expr("row_number() OVER (PARTITION BY anchor_id ORDER BY depth, file_path, path)")).filter(F.col("k") <= limit).drop("k")
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """A table at a checkpoint: lineage ends there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -59,7 +59,7 @@ def block_paths(blocks: DataFrame) -> DataFrame:
         above = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("ids").alias("ids2"), F.col("names").alias("names2"))
         met = going.join(above, "up", "left").withColumn("met", F.expr(f"if(arrays_overlap(ids2, ids), {held}, 0)"))
         rest = lambda c: F.when(F.col(f"{c}2").isNull(), F.col(c)).otherwise(F.concat(F.slice(f"{c}2", F.col("met") + 1, F.size(f"{c}2")), c)).alias(c)
-        at = _saved(at.filter("up IS NULL").unionAll(met.select("id", F.when(F.col("met") == 0, F.col("up2")).alias("up"), rest("ids"), rest("names"))))
+        at = saved(at.filter("up IS NULL").unionAll(met.select("id", F.when(F.col("met") == 0, F.col("up2")).alias("up"), rest("ids"), rest("names"))))
     return at.select("id", "ids", F.array_join(F.slice("names", F.lit(1), F.size("names") - 1), " > ").alias("path"))
 
 

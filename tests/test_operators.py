@@ -516,3 +516,31 @@ def test_stamps(spark):
     rows = store.stamped(spark.range(3), "at", "2024-01-02 03:04:05")
     assert {str(r["at"]) for r in rows.collect()} == {"2024-01-02 03:04:05"}
     assert store.stamped(spark.range(50), "at").select("at").distinct().count() == 1
+
+
+def test_pages_of_a_whole_table(spark):
+    df = spark.range(1000, numPartitions=7).select(F.floor(F.col("id") * 37 % 1000 / 2).alias("i"), F.col("id").alias("j"))
+    rows = sorted((r["i"], r["j"], r["page"], r["pages"]) for r in delivery.by_count(df, 30, "i", "j").collect())
+    assert [r[2] for r in rows] == [k // 30 for k in range(1000)] and {r[3] for r in rows} == {34}
+    assert delivery.by_count(df.limit(0), 30, "i").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_is_that_of_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([0, 1, 5, 30, 99, None])) for i in range(200)]
+    wanted = []
+    for key in ("a", "b", None):
+        batch = used = 0
+        for k, i, n in rows:
+            if k == key:
+                batch, used = (batch + 1, n or 0) if used and used + (n or 0) > 50 else (batch, used + (n or 0))
+                wanted.append((str(k), i, n, batch))
+    got = changes.packed(spark.createDataFrame(rows, "k string, i long, n long"), "k", ["i"], "n", 50)
+    assert sorted((str(r["k"]), r["i"], r["n"], r["batch"]) for r in got.collect()) == sorted(wanted, key=lambda r: r[:2])
+
+
+def test_null_digests(spark):
+    old = spark.createDataFrame([("a", None), ("b", None), ("c", "x")], "file_path string, content_hash string")
+    new = spark.createDataFrame([("a", None), ("b", "y"), ("c", None)], "file_path string, content_hash string")
+    assert {r["file_path"]: r["change"] for r in changes.snapshot_changes(new, old).collect()} == {"a": "unchanged", "b": "changed", "c": "changed"}
