@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import byte_bpe, decontamination, jaccard_join, license_scan, line_dedup, quality_rules, substring_dedup, token_counts, toxicity, warc
+from lattica.llm import byte_bpe, centroids, decontamination, jaccard_join, license_scan, line_dedup, personal_data, quality_rules, substring_dedup, token_counts, toxicity, warc, whitening
 from lattica.llm.common import read
 
 
@@ -58,6 +58,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(read(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_index_merge, op2_quality_cascade, op3_byte_bpe, op4_license_fuzzy, op5_toxicity_crf, op6_jaccard_join,
-        op7_decontamination, op8_token_counts, op9_substring_dedup, op10_line_dedup, pipeline,
+        op7_decontamination, op8_token_counts, op9_substring_dedup, op10_line_dedup, op11_centroid_clusters,
+        op12_personal_data, op13_embedding_whitening, pipeline,
     )
 }
 
@@ -135,6 +148,29 @@ SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+
+
+def _clusters() -> str:
+    """Three rounds and a last assignment, each over the one row that holds all centroids in order."""
+    far = "list_transform(cs, lambda c: list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        "c0 AS MATERIALIZED (SELECT list(x ORDER BY h) AS cs FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16))",
+    ]
+    for r in range(4):
+        steps.append(f"d{r} AS MATERIALIZED (SELECT vec_id, x, {far} AS ds FROM v, c{r})")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS cluster, CAST(list_min(ds) AS BIGINT) AS distance FROM d{r})")
+        if r < 3:
+            steps.append(f"s{r} AS (SELECT cluster, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT cluster, x, unnest(generate_series(1, 64)) AS i FROM a{r}) GROUP BY cluster, i)")
+            steps.append(f"m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{r} GROUP BY cluster)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT list(coalesce(m, cs[k + 1]) ORDER BY k) AS cs FROM (SELECT cs, unnest(generate_series(0, len(cs) - 1)) AS k FROM c{r}) LEFT JOIN m{r} ON cluster = k)")
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT vec_id, a3.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a3.cluster) AS BIGINT) AS cluster_inertia,"
+        " CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(cs[a3.cluster + 1], ',')) AS centroid_sha256 FROM a3, c3"
+    )
+
+
 #: The others are tested against the tokenizers' libraries, brute force and held-out labels.
 ORACLES: dict[str, str] = {
     "op1_warc_index_merge": _WARC,
@@ -142,4 +178,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": _DECONTAMINATION,
     "op9_substring_dedup": _SUBSTRINGS,
     "op10_line_dedup": _LINES,
+    "op11_centroid_clusters": _clusters(),
 }
