@@ -323,7 +323,11 @@ def learn(documents: list[list[Token]], labels: list[list[int]], seed: int = 7)
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """The field of a sample of at most TRAIN_TEXTS texts with a digit or an @, drawn by a hash of their ids, and of their first
     TRAIN_TOKENS tokens by whole texts. The labels are base spans, so nothing else is read. Without any such text nothing is added to base."""
-    drawn = pairs_of(docs, id_col, text_col).filter(F.col("_text").rlike("[0-9@]")).select(F.xxhash64("_id", F.lit(12)).alias("h"), "_id", "_text").orderBy("h", "_id").limit(TRAIN_TEXTS)
+    marked = pairs_of(docs, id_col, text_col).filter(F.col("_text").rlike("[0-9@]")).select(F.xxhash64("_id", F.lit(12)).alias("h"), "_id", "_text")
+    n = marked.count()
+    if n > 2 * TRAIN_TEXTS:  # so that few texts beyond the sample are moved
+        marked = marked.filter(F.col("h") < -(1 << 63) + (1 << 64) * 3 * TRAIN_TEXTS // (2 * n))
+    drawn = marked.orderBy("h", "_id").limit(TRAIN_TEXTS)
     found = map_arrow(drawn.select("h", "_text").repartition(8), _sampled, "h bigint, tokens string").orderBy("h", "tokens").toPandas()
     documents, labels, n = [], [], 0
     for line in found["tokens"]:
