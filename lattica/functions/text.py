@@ -1,7 +1,9 @@
-"""Line and text functions as column expressions: all JVM-side."""
+"""Line and text functions as column expressions: JVM-side, but for the vote of similar lines."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,22 +122,51 @@ def snippet_lines(spec: Column | str) -> Column:
 
 
 def find_lines(needle: Column, hay: Column) -> Column:
-    """First (start, end), from 1, of the list ``needle`` within ``hay``; null if it isn't there."""
+    """First (start, end), from 1, of the list of lines ``needle`` within ``hay``; null if it isn't there. One string search."""
     n = F.size(needle)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(hay) - n + 1, F.lit(1))), lambda i: F.slice(hay, i, n) == needle)
-    return F.when((n > 0) & (n <= F.size(hay)) & (F.size(places) > 0), F.struct(F.get(places, F.lit(0)).alias("start"), (F.get(places, F.lit(0)) + n - 1).alias("end")))
+    whole = F.concat(F.lit("\n"), F.array_join(hay, "\n", ""), F.lit("\n"))
+    at = F.position(F.concat(F.lit("\n"), F.array_join(needle, "\n", ""), F.lit("\n")), whole)
+    start = F.regexp_count(F.substr(whole, F.lit(1), at), F.lit("\n"))
+    return F.when((n > 0) & (F.size(hay) > 0) & (at > 0), F.struct(start.alias("start"), (start + n - 1).alias("end")))
+
+
+def best_window(want: list[str], have: list[str]) -> tuple[float, int] | None:
+    """(share of equal lines, place from 0) of the window of ``have`` that is most like ``want``, the first of equals; None if
+    ``want`` is empty or longer. Each pair of equal lines is a vote for one place, so the time goes with the matches."""
+    n, places = len(want), len(have) - len(want) + 1
+    if not n or places <= 0:
+        return None
+    at: dict[str, list[int]] = {}
+    for i, line in enumerate(have):
+        at.setdefault(line, []).append(i)
+    votes = np.zeros(places, np.int64)
+    wanted: dict[str, list[int]] = {}
+    for k, line in enumerate(want):
+        if line in at:
+            wanted.setdefault(line, []).append(k)
+    for line, offsets in wanted.items():
+        found, offsets = np.array(at[line]), np.array(offsets)
+        few, many, sign = (offsets, found, 1) if len(offsets) <= len(found) else (found, offsets, -1)
+        for x in few:
+            to = sign * (many - x)
+            votes[to[(to >= 0) & (to < places)]] += 1
+    best = int(votes.argmax())
+    return int(votes[best]) / n, best
 
 
 def similar_lines(needle: Column, hay: Column, threshold: float = 0.2) -> Column:
     """Best window of ``hay`` by the share of equal trimmed lines; the first of equals; null below ``threshold``."""
-    n = F.size(needle)
 
-    def at(i: Column) -> Column:
-        same = F.aggregate(F.zip_with(needle, F.slice(hay, i, n), lambda a, b: F.when(F.trim(a) == F.trim(b), 1).otherwise(0)), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-        return F.struct((same / n).alias("score"), (-i).alias("before"))
+    @F.pandas_udf("struct<start:int,end:int,score:double>")
+    def run(needles: pd.Series, hays: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(needles, hays, strict=True):
+            best = None if a is None or b is None else best_window([(x or "").strip(" ") for x in a], [(x or "").strip(" ") for x in b])
+            out.append((best[1] + 1, best[1] + len(a), best[0]) if best and best[0] >= threshold else (None, None, None))
+        return pd.DataFrame(out, columns=["start", "end", "score"])
 
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(hay) - n + 1, F.lit(1))), at))
-    return F.when((n > 0) & (n <= F.size(hay)) & (best["score"] >= threshold), F.struct((-best["before"]).alias("start"), (n - 1 - best["before"]).alias("end"), best["score"].alias("score")))
+    found = run(needle, hay)
+    return F.when(found["score"].isNotNull(), found)
 
 
 def confidence(word: Column | str) -> Column:

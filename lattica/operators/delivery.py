@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import lines
-from lattica.operators.changes import packed
 from lattica.operators.graph import saved
+from lattica.operators.packing import packed
 
 
 def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.functions.text import best_window
+
 #: Lines within this distance of a replacement count as part of it (fixed value).
 ADJACENT = 3
 
@@ -111,36 +113,31 @@ def rebase_annotations(annotations: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("id", "file_id", "start_line", "end_line", run("start_line", "end_line", "old", "new").alias("r")).select("id", "file_id", "start_line", "end_line", "r.*")
 
 
-def lines_outside(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Lines (file_id, line) that no range (file_id, start_line, end_line) holds."""
-    r = ranges.select(F.col("file_id").alias("fid"), "start_line", "end_line")
-    return lines.join(r, (lines["file_id"] == r["fid"]) & lines["line"].between(r["start_line"], r["end_line"]), "left_anti")
-
-
 def greedy_changes(old: str, new: str) -> list[dict]:
-    """Changes by a scan with one line of lookahead: kind, line and text."""
-    a, b, i, j, out = old.splitlines(), new.splitlines(), 0, 0, []
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            i, j = i + 1, j + 1
-        elif j < len(b) and (i >= len(a) or (j + 1 < len(b) and a[i] == b[j + 1])):
-            out.append({"kind": "added", "line": j + 1, "text": b[j]})
-            j += 1
-        elif i < len(a) and (j >= len(b) or (i + 1 < len(a) and a[i + 1] == b[j])):
-            out.append({"kind": "removed", "line": i + 1, "text": a[i]})
-            i += 1
+    """Changes by a scan with one line of lookahead: (kind, line), kind delete or insert, lines of the old or the new text.
+
+    Where lines differ, a deletion is tried first, then an insertion; else the line is deleted and another one inserted.
+    """
+    a, b, i, j, out = old.split("\n"), new.split("\n"), 0, 0, []
+    gone, come = (lambda: out.append({"kind": "delete", "line": i + 1})), (lambda: out.append({"kind": "insert", "line": j + 1}))
+    while i < len(a) and j < len(b):
+        if a[i] != b[j]:
+            deleted, inserted = a[i + 1 : i + 2] == [b[j]], b[j + 1 : j + 2] == [a[i]]
+            if deleted or not inserted:
+                gone()
+            if not deleted:
+                come()
+            i, j = i + (deleted or not inserted), j + (not deleted)
         else:
-            out.append({"kind": "modified", "line": j + 1, "text": b[j]})
             i, j = i + 1, j + 1
-    return out
+    out += [{"kind": "delete", "line": k + 1} for k in range(i, len(a))]
+    return out + [{"kind": "insert", "line": k + 1} for k in range(j, len(b))]
 
 
-def shift_ranges(ranges: DataFrame, changes: DataFrame) -> DataFrame:
-    """Ranges (file_id, id, start_line, end_line) moved by changes (file_id, line, kind): a range join and two conditional sums."""
-    c = changes.select(F.col("file_id").alias("fid"), "line", F.when(F.col("kind") == "added", 1).when(F.col("kind") == "removed", -1).otherwise(0).alias("by"))
-    met = ranges.join(c, (ranges["file_id"] == c["fid"]) & (c["line"] <= ranges["end_line"]), "left")
-    before = F.sum(F.when(F.col("line") < F.col("start_line"), F.col("by")).otherwise(0))
-    return met.groupBy("file_id", "id", "start_line", "end_line").agg((F.col("start_line") + before).alias("new_start"), (F.col("end_line") + F.coalesce(F.sum("by"), F.lit(0))).alias("new_end"))
+@F.pandas_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("line", _INT)))
+def line_changes(old: pd.Series, new: pd.Series) -> pd.Series:
+    """``greedy_changes`` of two columns; null texts are empty."""
+    return pd.Series([greedy_changes(a or "", b or "") for a, b in zip(old, new, strict=True)])
 
 
 def relocate(snippet: str, start: int, end: int, current: str | None) -> dict:
@@ -151,13 +148,13 @@ def relocate(snippet: str, start: int, end: int, current: str | None) -> dict:
     have = current.split("\n")
     if have[start - 1 : end] == want:
         return {"action": "keep", "start": start, "end": end}
-    n = len(want)
-    for i in range(len(have) - n + 1):
-        if have[i : i + n] == want:
-            return {"action": "move", "start": i + 1, "end": i + n}
-    best = max(((sum(a.strip() == b.strip() for a, b in zip(want, have[i : i + n], strict=True)) / n, -i) for i in range(len(have) - n + 1)), default=(0, 0))
-    if best[0] >= 0.2:
-        return {"action": "update", "start": 1 - best[1], "end": n - best[1]}
+    n, at = len(want), f"\n{current}\n".find("\n" + "\n".join(want) + "\n")
+    if at >= 0:
+        i = current[:at].count("\n") if at else 0
+        return {"action": "move", "start": i + 1, "end": i + n}
+    best = best_window([x.strip() for x in want], [x.strip() for x in have])
+    if best is not None and best[0] >= 0.2:
+        return {"action": "update", "start": best[1] + 1, "end": best[1] + n}
     return {"action": "remove", "start": None, "end": None}
 
 
@@ -179,7 +176,8 @@ def apply_edit(content: str, search: str, replace: str, start_line: int | None =
     """Replace the first place that matches: near the hinted line, then exactly, then by white space, then by parts of lines."""
     have, want = content.split("\n"), search.split("\n")
     n = len(want)
-    squeeze = lambda x: re.sub(r"\s+", " ", x.strip())
+    memo: dict[str, str] = {}
+    squeeze = lambda x: memo.get(x) or memo.setdefault(x, re.sub(r"\s+", " ", x.strip()))
     tests = (lambda a, b: a == b, lambda a, b: squeeze(a) == squeeze(b), lambda a, b: bool(squeeze(b)) and squeeze(b) in squeeze(a))
     hint = (start_line or 1) - 1
     near = sorted(range(max(0, hint - reach), min(len(have) - n, hint + reach) + 1), key=lambda i: abs(i - hint)) if start_line else []

@@ -10,41 +10,61 @@ from pyspark.sql import functions as F
 from lattica.functions.paths import ancestors
 
 
-def dependency_chain(relationships: DataFrame, files: DataFrame, depth: int = 5, limit: int | None = 25, anchors: DataFrame | None = None) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
+    """A table at a checkpoint: lineage ends there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
+def dependency_chain(relationships: DataFrame, files: DataFrame, depth: int = 5, limit: int = 25, anchors: DataFrame | None = None) -> DataFrame:
     """(anchor_id, depth, file_id, file_path, path) of the files an anchor's imports lead to.
 
-    ``path`` joins file paths by ' -> '. A file on the way isn't visited again. Per anchor the first
-    ``limit`` by depth, path and way are kept (None: all). Levels are joins, so the optimizer picks
-    broadcast or shuffle for each, and a cycle ends by the guard.
+    ``path`` joins file paths by ' -> '. A file on the way isn't visited again. Per anchor the first ``limit`` by depth, path
+    and way are kept, and told level by level: an anchor that has them goes no deeper, so fewer than ``limit`` ways of an
+    anchor go on from any level, and of each way's end only the first ``limit`` targets that aren't on the way matter.
     """
-    edges = relationships.select("source_id", "target_id").distinct()
     nodes = files.select(F.col("id").alias("target_id"), "file_path")
+    first = Window.partitionBy("source_id").orderBy("file_path", "target_id")
+    edges = relationships.select("source_id", "target_id").distinct().join(nodes, "target_id")
+    edges = saved(edges.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= limit + depth).drop("_k"))
     start = files.select(F.col("id").alias("anchor_id"), F.col("file_path").alias("path"))
     if anchors is not None:
         start = start.join(anchors.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
-    level = start.select("anchor_id", F.col("anchor_id").alias("file_id"), F.col("path"), F.array("anchor_id").alias("seen"))
+    level = start.select("anchor_id", F.col("anchor_id").alias("file_id"), "path", F.array("anchor_id").alias("seen"), F.lit(limit).alias("room"))
+    mine = Window.partitionBy("anchor_id")
     levels = []
     for d in range(1, depth + 1):
-        level = (
-            level.select("anchor_id", F.col("file_id").alias("source_id"), "path", "seen").join(edges, "source_id").join(nodes, "target_id").filter(~F.array_contains("seen", F.col("target_id")))
-            .select("anchor_id", F.col("target_id").alias("file_id"), "file_path", F.concat_ws(" -> ", "path", "file_path").alias("path"), F.concat("seen", F.array("target_id")).alias("seen"))
+        met = level.select("anchor_id", F.col("file_id").alias("source_id"), "path", "seen", "room").join(edges, "source_id").filter(~F.array_contains("seen", F.col("target_id")))
+        ways = met.select(
+            "anchor_id", F.lit(d).alias("depth"), F.col("target_id").alias("file_id"), "file_path", F.concat_ws(" -> ", "path", "file_path").alias("path"),
+            F.concat("seen", F.array("target_id")).alias("seen"), "room",
         )
-        levels.append(level.select("anchor_id", F.lit(d).alias("depth"), "file_id", "file_path", "path"))
-    found = reduce(DataFrame.unionAll, levels)
-    if limit is None:
-        return found
-    return found.withColumn("k", F.expr("row_number() OVER (PARTITION BY anchor_id ORDER BY depth, file_path, path)")).filter(F.col("k") <= limit).drop("k")
+        kept = ways.withColumn("_k", F.row_number().over(mine.orderBy("file_path", "path", "seen"))).filter(F.col("_k") <= F.col("room"))
+        done = saved(kept.withColumn("room", F.col("room") - F.count("*").over(mine)).drop("_k"))
+        levels.append(done.select("anchor_id", "depth", "file_id", "file_path", "path"))
+        level = done.filter("room > 0")
+    return reduce(DataFrame.unionAll, levels)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A table at a checkpoint: lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or "/tmp/checkpoints")
-    return df.checkpoint()
+def reachable(relationships: DataFrame, files: DataFrame, depth: int, anchors: DataFrame | None = None) -> DataFrame:
+    """(anchor_id, depth, file_id): every file that ``depth`` steps or fewer lead to, with its least number of steps; not the anchor itself.
+
+    Each level joins what the level before found anew and leaves out what is known, so its rows are at most one for each (anchor, file).
+    """
+    edges = saved(relationships.select(F.col("source_id").alias("file_id"), F.col("target_id").alias("_to")).distinct().join(files.select(F.col("id").alias("_to")), "_to", "left_semi"))
+    start = files if anchors is None else files.join(anchors.select("id"), "id", "left_semi")
+    fresh = start.select(F.col("id").alias("anchor_id"), F.lit(0).alias("depth"), F.col("id").alias("file_id"))
+    known = fresh
+    for d in range(1, depth + 1):
+        step = fresh.join(edges, "file_id").select("anchor_id", F.col("_to").alias("file_id")).distinct()
+        fresh = saved(step.join(known.select("anchor_id", "file_id"), ["anchor_id", "file_id"], "left_anti").select("anchor_id", F.lit(d).alias("depth"), "file_id"))
+        known = known.unionAll(fresh)
+    return known.filter("depth > 0")
 
 
 def block_paths(blocks: DataFrame) -> DataFrame:
@@ -100,19 +120,21 @@ def connection_impacts(outgoing: DataFrame, incoming: DataFrame, mappings: DataF
     return anchored.join(files.select(F.col("id").alias("file_id"), "file_path"), "file_id", "left")
 
 
-def search_scope(relationships: DataFrame, files: DataFrame, outgoing: DataFrame, incoming: DataFrame, mappings: DataFrame, direction: str = "both", depth: int = 2) -> DataFrame:
+def search_scope(relationships: DataFrame, files: DataFrame, outgoing: DataFrame, incoming: DataFrame, mappings: DataFrame, direction: str = "both", depth: int = 2, anchors: DataFrame | None = None) -> DataFrame:
     """(section, anchor_id, file_id, file_path, and of a connection mapping_id, impact_type, technology, match_confidence)
-    for imports, importers, chain, whole reversed chain ('impact') and connection impacts of every file."""
+    for imports, importers, chain, whole reversed chain ('impact') and connection impacts of every file, or of ``anchors`` (id)."""
     named = files.select(F.col("id").alias("file_id"), "file_path")
     out = [connection_impacts(outgoing, incoming, mappings, files).withColumn("section", F.lit("connection_impacts"))]
     if direction in ("forward", "both"):
         out.append(relationships.select(F.lit("imports").alias("section"), F.col("source_id").alias("anchor_id"), F.col("target_id").alias("file_id")).join(named, "file_id").distinct())
-        out.append(dependency_chain(relationships, files, depth).select(F.lit("dependency_chain").alias("section"), "anchor_id", "file_id", "file_path").distinct())
+        out.append(dependency_chain(relationships, files, depth, anchors=anchors).select(F.lit("dependency_chain").alias("section"), "anchor_id", "file_id", "file_path").distinct())
     if direction in ("backward", "both"):
         out.append(relationships.select(F.lit("importers").alias("section"), F.col("target_id").alias("anchor_id"), F.col("source_id").alias("file_id")).join(named, "file_id").distinct())
         back = relationships.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-        out.append(dependency_chain(back, files, depth, limit=None).select(F.lit("impact").alias("section"), "anchor_id", "file_id", "file_path").distinct())
+        out.append(reachable(back, files, depth, anchors).select(F.lit("impact").alias("section"), "anchor_id", "file_id").join(named, "file_id"))
     scope = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out)
+    if anchors is not None:
+        scope = scope.join(anchors.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
     return scope.select("section", "anchor_id", "file_id", "file_path", "mapping_id", "impact_type", "technology", "match_confidence")
 
 
@@ -177,19 +199,84 @@ def common_path(paths: DataFrame, by: str, path_col: str = "file_path") -> DataF
     return ends.select(by, F.array_join(F.slice("a", F.lit(1), F.least(n, F.size("a") - 1)), "/").alias("directory"))
 
 
+def suffixes(paths: DataFrame, path_col: str, lengths: DataFrame) -> DataFrame:
+    """Rows of paths for each number of last components in ``lengths`` (n): with n, the suffix and its hash."""
+    parts = F.split(F.ltrim(F.col(path_col), F.lit("/")), "/")
+    cut = paths.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size(parts)))).join(lengths, F.col("_n") == F.col("n"))
+    suffix = F.array_join(F.slice(parts, F.size(parts) - F.col("n") + 1, F.col("n")), "/")
+    return cut.drop("_n").withColumn("suffix", suffix).withColumn("hash", F.xxhash64("suffix"))
+
+
 def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(path, file_id) of each wanted path: equal, else one whose last components are the wanted path; the smallest path of several.
 
-    The suffix match is an equi-join on the last component, so no theta join over all files.
+    Files are indexed by the hashes of their last n components, for the few n that wanted paths have, so paths meet by equality:
+    files of one name in many folders meet only the paths that they end in.
     """
-    base = F.element_at(F.split("path", "/"), -1)
-    w = wanted.select("path").distinct().withColumn("base", base)
-    f = files.select(F.col("id").alias("file_id"), "file_path", F.element_at(F.split("file_path", "/"), -1).alias("base"))
-    hit = w.join(f, "base").filter((F.col("file_path") == F.col("path")) | F.col("file_path").endswith(F.concat(F.lit("/"), F.ltrim("path", F.lit("/")))))
+    plain = F.ltrim("path", F.lit("/"))
+    w = wanted.select("path").distinct().withColumn("n", F.size(F.split(plain, "/"))).withColumn("suffix", plain).withColumn("hash", F.xxhash64("suffix"))
+    f = suffixes(files.select(F.col("id").alias("file_id"), "file_path"), "file_path", w.select("n").distinct())
+    same = (F.col("file_path") == F.col("path")) | F.col("file_path").endswith(F.concat(F.lit("/"), "suffix"))
+    hit = w.join(f.drop("n"), ["hash", "suffix"]).filter(same)
     best = hit.groupBy("path").agg(F.min_by("file_id", F.struct(F.col("file_path") != F.col("path"), "file_path", "file_id")).alias("file_id"))
     return w.select("path").join(best, "path", "left")
 
 
+def file_windows(wanted: DataFrame, files: DataFrame, outgoing: DataFrame, incoming: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(path, file_id, file_path, content, start_line, end_line, mappings) of wanted (path, start_line, end_line), a row for each that is found.
+
+    Paths are met as in ``resolve_paths``. Lines are cut to the file's: a start beyond its end gives its last line, an end before the
+    start one line; a missing bound is the file's own, and without both the content is whole and the lines are null. Mappings
+    are the ids, in order, of those whose sender or receiver is in the file and, if a bound is given, overlaps the lines.
+    """
+    asked = wanted.select("path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line")).distinct()
+    met = asked.join(resolve_paths(wanted, files).filter("file_id IS NOT NULL"), "path").join(files.select(F.col("id").alias("file_id"), "file_path", "content"), "file_id")
+    rows = F.split("content", "\n")
+    total, some = F.size(rows), F.col("start_line").isNotNull() | F.col("end_line").isNotNull()
+    low = F.greatest(F.lit(0), F.least(F.coalesce(F.col("start_line") - 1, F.lit(0)), total - 1))
+    high = F.greatest(low + 1, F.least(F.coalesce("end_line", total), total))
+    cut = F.when(some & (F.col("content") != ""), F.array_join(F.slice(rows, low + 1, high - low), "\n")).otherwise(F.col("content"))
+    shown = met.select(
+        "path", "file_id", "file_path", cut.alias("content"), F.when(some, F.coalesce("start_line", F.lit(1))).alias("start_line"), F.when(some, F.coalesce("end_line", total)).alias("end_line"),
+        F.xxhash64("path", "start_line", "end_line").alias("_key"),
+    )
+    end = lambda side, key: mappings.join(side.select(F.col("id").alias(key), "file_id", F.col("start_line").alias("_a"), F.col("end_line").alias("_b")), key).select(F.col("id").alias("_m"), "file_id", "_a", "_b")
+    ends = end(outgoing, "sender_id").unionAll(end(incoming, "receiver_id"))
+    over = F.col("start_line").isNull() | (F.coalesce("_a", F.lit(0)) <= F.col("end_line")) & (F.col("start_line") <= F.coalesce("_b", F.lit(2**31 - 1)))
+    found = shown.select("_key", "file_id", "start_line", "end_line").join(ends, "file_id").filter(over).groupBy("_key").agg(F.array_sort(F.collect_set("_m")).alias("mappings"))
+    return shown.join(found, "_key", "left").drop("_key").withColumn("mappings", F.coalesce("mappings", F.array().cast("array<bigint>")))
+
+
+def block_summary(wanted: DataFrame, files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, file_id, block_id, type, name, start_line, end_line, above, position) of the blocks of wanted paths' files, met as in
+    ``resolve_paths``: ``above`` joins the names of the blocks around by ' > ', position counts in the order of lines."""
+    met = resolve_paths(wanted, files).filter("file_id IS NOT NULL")
+    held = blocks.join(met.select("file_id").distinct(), "file_id", "left_semi")
+    paths = block_paths(held).select("id", F.col("path").alias("above"))
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("start_line", "id"))
+    rows = held.withColumn("position", place.cast("long")).join(paths, "id")
+    return met.join(rows, "file_id").select("path", "file_id", F.col("id").alias("block_id"), "type", "name", "start_line", "end_line", "above", "position")
+
+
+def scope_of_paths(wanted: DataFrame, relationships: DataFrame, files: DataFrame, outgoing: DataFrame, incoming: DataFrame, mappings: DataFrame, depth: int = 5) -> DataFrame:
+    """``search_scope`` of wanted paths' files, with the path; met as in ``resolve_paths``."""
+    met = resolve_paths(wanted, files).filter("file_id IS NOT NULL")
+    anchors = saved(met.select(F.col("file_id").alias("id")).distinct())
+    return met.select("path", F.col("file_id").alias("anchor_id")).join(search_scope(relationships, files, outgoing, incoming, mappings, depth=depth, anchors=anchors), "anchor_id")
+
+
+def unmapped(connections: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Connections (direction, file_id, other_file_id, …) whose two files no mapping (sender_file, receiver_file) holds in their direction.
+
+    A mapping of a file with itself counts for what the file receives only; a connection without a known other file stays.
+    """
+    pairs = mapped.filter("sender_file IS NOT NULL AND receiver_file IS NOT NULL")
+    taken = pairs.select(F.lit("incoming").alias("direction"), F.col("receiver_file").alias("file_id"), F.col("sender_file").alias("other_file_id")).unionAll(
+        pairs.filter("sender_file <> receiver_file").select(F.lit("outgoing"), "sender_file", "receiver_file")
+    )
+    return connections.join(taken.distinct(), ["direction", "file_id", "other_file_id"], "left_anti")
+
+
 def longest_prefix(paths: DataFrame, projects: DataFrame) -> DataFrame:
     """(path, project): the project with the longest directory above a path. Equi-join on the path's ancestors."""
     up = paths.select("path", F.explode(F.concat(ancestors("path"), F.array(F.concat("path", F.lit("/"))))).alias("above"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.paths import ancestors
 from lattica.functions.text import lines, metadata_header
-from lattica.operators import changes, diffs, graph, retrieval, store
+from lattica.operators import changes, diffs, graph, intervals, packing, retrieval, store
 from lattica.sources import extract, files
 
 #: Folders that a workspace tree shows at most before it goes a level less deep, and its greatest depth (fixed values).
@@ -71,7 +71,7 @@ def modified_files(annotations: DataFrame, texts: DataFrame) -> tuple[DataFrame,
     moved = diffs.rebase_annotations(annotations, texts)
     added = texts.select("file_id", F.explode(diffs.diff("old", "new")["added"]).alias("line"))
     held = moved.filter("action IN ('keep', 'shift', 'resplit')").select("file_id", F.col("new_start").alias("start_line"), F.col("new_end").alias("end_line")).filter("start_line IS NOT NULL")
-    fresh = changes.consecutive(diffs.lines_outside(added, held), "file_id")
+    fresh = changes.consecutive(intervals.lines_outside(added, held), "file_id")
     again = moved.filter("action IN ('split', 'resplit')").select("file_id", F.col("new_start").alias("start_line"), F.col("new_end").alias("end_line"))
     return moved, fresh.unionByName(again.select(*fresh.columns))
 
@@ -143,7 +143,7 @@ def search_text(vectors: DataFrame, text: str, k: int = retrieval.TOP, threshold
 def grouped_chunks(groups: DataFrame, size: int = 600) -> DataFrame:
     """Grouped hits (id, text) with the number of their chunk of ``size`` lines; a group is never split."""
     rows = groups.select(F.lit(0).alias("part"), "id", F.size(lines("text")).alias("n_lines"))
-    return changes.packed(rows, "part", ["id"], "n_lines", size).drop("part").withColumnRenamed("batch", "chunk")
+    return packing.packed(rows, "part", ["id"], "n_lines", size).drop("part").withColumnRenamed("batch", "chunk")
 
 
 def workspace_tree(paths: DataFrame, path_col: str = "file_path") -> DataFrame:

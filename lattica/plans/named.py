@@ -124,10 +124,15 @@ NAMED: dict[str, str] = {
         SELECT DISTINCT e.event_type AS technology FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {outgoing_connections} o WHERE o.technology_name = e.event_type)""",
     "p20_valid_matches": """
         SELECT m.id FROM {connection_mappings} m WHERE EXISTS (SELECT 1 FROM {outgoing_connections} o WHERE o.id = m.sender_id) AND EXISTS (SELECT 1 FROM {incoming_connections} i WHERE i.id = m.receiver_id)""",
+    # an end with each file that any mapping leads it to (or none); pairs of files that a mapping above 0.5 holds in that direction go
     "p21_unmapped_connections": """
-        SELECT c.direction, c.id, f.file_path FROM (SELECT 'incoming' AS direction, id, file_id FROM {incoming_connections} UNION ALL SELECT 'outgoing', id, file_id FROM {outgoing_connections}) c
-        LEFT JOIN {files} f ON f.id = c.file_id
-        WHERE NOT EXISTS (SELECT 1 FROM {connection_mappings} m JOIN {outgoing_connections} o ON o.id = m.sender_id WHERE o.file_id = c.file_id AND c.direction = 'outgoing')""",
+        WITH m AS (SELECT x.sender_id, x.receiver_id, x.match_confidence, o.file_id AS sender_file, i.file_id AS receiver_file
+                   FROM {connection_mappings} x LEFT JOIN {outgoing_connections} o ON o.id = x.sender_id LEFT JOIN {incoming_connections} i ON i.id = x.receiver_id),
+             c AS (SELECT DISTINCT 'incoming' AS direction, i.id, i.file_id, m.sender_file AS other_file_id FROM {incoming_connections} i LEFT JOIN m ON m.receiver_id = i.id
+                   UNION ALL SELECT DISTINCT 'outgoing', o.id, o.file_id, m.receiver_file FROM {outgoing_connections} o LEFT JOIN m ON m.sender_id = o.id)
+        SELECT direction, id, file_id, other_file_id FROM c
+        WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.match_confidence > 0.5 AND ((c.direction = 'incoming' AND m.receiver_file = c.file_id AND m.sender_file = c.other_file_id)
+                          OR (c.direction = 'outgoing' AND m.sender_file = c.file_id AND m.receiver_file = c.other_file_id AND m.sender_file <> m.receiver_file)))""",
     # --- aggregates
     "a1_global_counts": "SELECT (SELECT count(*) FROM {files}) AS files, (SELECT count(*) FROM {code_blocks}) AS blocks, (SELECT count(*) FROM {relationships}) AS relationships",
     "a6_extraction_stats": """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import paths as P
 from lattica.functions import text as X
-from lattica.operators import changes, delivery, diffs, graph, maintenance, memory, retrieval, store
+from lattica.operators import changes, delivery, diffs, graph, intervals, maintenance, memory, packing, retrieval, store
 from lattica.plans.named import NAMED, run
 from lattica.plans.views import Store, oracle
 from lattica.sources import extract, files
@@ -333,12 +333,12 @@ def a14_merged_by_window(s: Store) -> DataFrame:
 )
 def n4_line_batches(s: Store) -> DataFrame:
     rows = s["code_blocks"].withColumn("n", F.col("end_line") - F.col("start_line") + 1)
-    return changes.packed(rows, "file_id", ["start_line", "id"], "n", 120)
+    return packing.packed(rows, "file_id", ["start_line", "id"], "n", 120)
 
 
 @query()
 def n5_overlap_batches(s: Store) -> DataFrame:
-    return changes.packed_with_overlap(s["code_blocks"].join(s["files"].select(F.col("id").alias("file_id"), "project_id"), "file_id"))
+    return packing.packed_with_overlap(s["code_blocks"].join(s["files"].select(F.col("id").alias("file_id"), "project_id"), "file_id"))
 
 
 def _edited(s: Store) -> DataFrame:
@@ -368,7 +368,75 @@ def t9_rebased_annotations(s: Store) -> DataFrame:
 )
 def j30_lines_outside_ranges(s: Store) -> DataFrame:
     lines = s["code_blocks"].select("file_id", (F.col("start_line") + 2).alias("line"))
-    return diffs.lines_outside(lines, s["incoming_connections"])
+    return intervals.lines_outside(lines, s["incoming_connections"])
+
+
+@query(
+    """SELECT b.id, c.id AS connection_id FROM {code_blocks} b JOIN {incoming_connections} c ON c.file_id = b.file_id AND b.start_line <= c.end_line AND c.start_line <= b.end_line"""
+)
+def p10_overlapping_ranges(s: Store) -> DataFrame:
+    c = s["incoming_connections"].select("file_id", F.col("id").alias("connection_id"), F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
+    return intervals.overlapping(s["code_blocks"], c).select("id", "connection_id")
+
+
+_MOVES = "SELECT file_id, line, CASE WHEN line % 3 = 0 THEN 'delete' ELSE 'insert' END AS kind FROM (SELECT DISTINCT file_id, start_line + id % 7 AS line FROM {incoming_connections})"
+
+
+@query(
+    f"""WITH v AS ({_MOVES}), s AS (SELECT b.id, b.file_id, b.start_line, b.end_line, coalesce(sum(CASE WHEN v.line < b.start_line THEN CASE v.kind WHEN 'insert' THEN 1 ELSE -1 END END), 0) AS a,
+    coalesce(sum(CASE v.kind WHEN 'insert' THEN 1 WHEN 'delete' THEN -1 END), 0) AS z
+    FROM {{code_blocks}} b LEFT JOIN v ON v.file_id = b.file_id AND v.line <= b.end_line GROUP BY b.id, b.file_id, b.start_line, b.end_line)
+    SELECT id, CAST(start_line + a AS BIGINT) AS new_start, CAST(end_line + z AS BIGINT) AS new_end FROM s"""
+)
+def f22_shifted_ranges(s: Store) -> DataFrame:
+    return intervals.shift_ranges(s["code_blocks"], s.sql(_MOVES)).select("id", "new_start", "new_end")
+
+
+@query(NAMED["p21_unmapped_connections"])
+def p21_unmapped_connections(s: Store) -> DataFrame:
+    o = s["outgoing_connections"].select(F.col("id").alias("sender_id"), F.col("file_id").alias("sender_file"))
+    i = s["incoming_connections"].select(F.col("id").alias("receiver_id"), F.col("file_id").alias("receiver_file"))
+    m = s["connection_mappings"].join(o, "sender_id", "left").join(i, "receiver_id", "left")
+    side = lambda d, own, key, file, other: own.select(F.lit(d).alias("direction"), F.col(key).alias("id"), F.col(file).alias("file_id")).join(m.select(F.col(key).alias("id"), F.col(other).alias("other_file_id")), "id", "left").distinct()
+    ends = side("incoming", i, "receiver_id", "receiver_file", "sender_file").unionByName(side("outgoing", o, "sender_id", "sender_file", "receiver_file"))
+    return graph.unmapped(ends, m.filter("match_confidence > 0.5")).select("direction", "id", "file_id", "other_file_id")
+
+
+_TEXT_FILES = "SELECT doc_id AS id, '/repo/' || lang || '/' || source || '/' || CAST(doc_id AS [[STRING|VARCHAR]]) || '.txt' AS file_path, text AS content FROM {documents}"
+_WANTED = """SELECT CASE WHEN id % 3 = 0 THEN file_path WHEN id % 3 = 1 THEN regexp_extract(file_path, '[^/]*/[^/]*$', 0) ELSE 'x/' || CAST(id AS [[STRING|VARCHAR]]) || '.txt' END AS path,
+    CASE WHEN id % 4 < 2 THEN id % 9 END AS start_line, CASE WHEN id % 4 < 3 AND id % 4 > 0 THEN id % 40 END AS end_line FROM {f}"""
+
+
+@query(
+    f"""WITH f AS ({_TEXT_FILES}), w AS ({_WANTED.replace("{f}", "f")}),
+    h AS (SELECT w.*, f.id AS file_id, f.file_path, f.content, string_split(f.content, chr(10)) AS l FROM w JOIN f ON f.file_path = w.path OR ends_with(f.file_path, '/' || ltrim(w.path, '/'))),
+    c AS (SELECT *, len(l) AS n, start_line IS NOT NULL OR end_line IS NOT NULL AS some, greatest(0, least(coalesce(start_line - 1, 0), len(l) - 1)) AS a FROM h),
+    d AS (SELECT *, greatest(a + 1, least(coalesce(end_line, n), n)) AS z FROM c),
+    e AS (SELECT path, file_id, file_path, CASE WHEN some AND content <> '' THEN array_to_string(l[a + 1:z], chr(10)) ELSE content END AS content, CAST(CASE WHEN some THEN coalesce(start_line, 1) END AS INTEGER) AS start_line,
+          CAST(CASE WHEN some THEN coalesce(end_line, n) END AS INTEGER) AS end_line FROM d),
+    p AS (SELECT x.id, o.file_id, o.start_line AS a, o.end_line AS z FROM {{connection_mappings}} x JOIN {{outgoing_connections}} o ON o.id = x.sender_id
+          UNION ALL SELECT x.id, i.file_id, i.start_line, i.end_line FROM {{connection_mappings}} x JOIN {{incoming_connections}} i ON i.id = x.receiver_id)
+    SELECT e.*, coalesce((SELECT string_agg(DISTINCT CAST(p.id AS VARCHAR), ',' ORDER BY CAST(p.id AS VARCHAR)) FROM p WHERE p.file_id = e.file_id AND (e.start_line IS NULL OR (p.a <= e.end_line AND e.start_line <= p.z))), '') AS mappings FROM e"""
+)
+def get_file_by_path(s: Store) -> DataFrame:
+    f = s.sql(_TEXT_FILES)
+    out = graph.file_windows(s.sql(_WANTED, f=f), f, s["outgoing_connections"], s["incoming_connections"], s["connection_mappings"])
+    return out.withColumn("mappings", F.array_join(F.array_sort(F.transform("mappings", lambda x: x.cast("string"))), ","))
+
+
+_ASKED = "SELECT CASE WHEN id % 2 = 0 THEN file_path ELSE regexp_extract(file_path, '[^/]*/[^/]*$', 0) END AS path FROM {files}"
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT path FROM ({_ASKED})), h AS (SELECT w.path, f.id AS file_id FROM w JOIN {{files}} f ON ends_with('/' || f.file_path, '/' || ltrim(w.path, '/'))),
+    t AS (SELECT id, '' AS above, name FROM {{code_blocks}} WHERE parent_block_id IS NULL
+          UNION ALL SELECT b.id, CASE WHEN t.above = '' THEN t.name ELSE t.above || ' > ' || t.name END, b.name FROM t JOIN {{code_blocks}} b ON b.parent_block_id = t.id)
+    SELECT h.path, h.file_id, b.id AS block_id, b.type, b.name, b.start_line, b.end_line, coalesce(u.above, '') AS above, b.position
+    FROM h JOIN (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS position FROM {{code_blocks}}) b ON b.file_id = h.file_id
+    LEFT JOIN (SELECT b.id, CASE WHEN p.file_id = b.file_id THEN t.above END AS above FROM {{code_blocks}} b JOIN t ON t.id = b.id LEFT JOIN {{code_blocks}} p ON p.id = b.parent_block_id) u ON u.id = b.id"""
+)
+def get_file_block_summary(s: Store) -> DataFrame:
+    return graph.block_summary(s.sql(_ASKED), s["files"], s["code_blocks"])
 
 
 @query("SELECT 'code_blocks' AS t, count(*) AS n FROM {code_blocks} b JOIN {files} f ON f.id = b.file_id WHERE f.project_id <> 2 UNION ALL SELECT 'files', count(*) FROM {files} WHERE project_id <> 2 UNION ALL SELECT 'vectors', count(*) FROM {vectors} WHERE project_id <> 2")
@@ -443,7 +511,16 @@ def s13_workspace_tree(s: Store) -> DataFrame:
     return maintenance.workspace_tree(s["files"])
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE contains(lower(text), 'license')),
+    m AS (SELECT id, line_no, max(contains(lower(line), 'license')) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS near FROM l),
+    k AS (SELECT id, line_no, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY id ORDER BY line_no) = 1 THEN 0 ELSE 1 END AS fresh FROM m WHERE near),
+    r AS (SELECT id, count(*) + sum(fresh) - 1 AS n_lines, row_number() OVER (ORDER BY id) AS rn FROM k GROUP BY id),
+    g AS (SELECT rn, n_lines AS used, 0 AS chunk FROM r WHERE rn = 1
+          UNION ALL SELECT r.rn, CASE WHEN g.used > 0 AND g.used + r.n_lines > 40 THEN r.n_lines ELSE g.used + r.n_lines END, g.chunk + CASE WHEN g.used > 0 AND g.used + r.n_lines > 40 THEN 1 ELSE 0 END
+          FROM g JOIN r ON r.rn = g.rn + 1)
+    SELECT r.id, CAST(r.n_lines AS BIGINT) AS n_lines, g.chunk FROM g JOIN r ON r.rn = g.rn"""
+)
 def f17_grouped_chunks(s: Store) -> DataFrame:
     hits = retrieval.grouped_by_text(retrieval.grep(s["documents"], "doc_id", "text", "license"))
     return maintenance.grouped_chunks(hits, 40)

@@ -5,13 +5,14 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattica.functions import paths as P
-from lattica.operators import changes, delivery, diffs, graph, maintenance, memory, retrieval, store
+from lattica.operators import changes, delivery, diffs, graph, intervals, maintenance, memory, packing, retrieval, store
 from lattica.sources import extract, files
 from lattica.streaming import changelog
 
@@ -225,13 +226,15 @@ def test_edits(spark):
     df = spark.createDataFrame([("a\nb\nc", spec)], "t string, e string")
     assert df.select(diffs.edited("t", "e")).first()[0] == "a\nB\nc"
     assert diffs.relocate("b\nc", 1, 2, "a\nb\nc")["action"] == "move" and diffs.relocate("b\nzz", 2, 3, "a\nb\nc") == {"action": "update", "start": 2, "end": 3} and diffs.relocate("q", 1, 1, "a")["action"] == "remove"
-    assert [x["kind"] for x in diffs.greedy_changes("a\nb\nc", "a\nx\nb\nd")] == ["added", "modified"]
+    assert diffs.greedy_changes("a\nb\nc", "a\nx\nb\nd") == [{"kind": "insert", "line": 2}, {"kind": "delete", "line": 3}, {"kind": "insert", "line": 4}]
+    assert diffs.greedy_changes("a\nb\nc", "b\na\nc") == [{"kind": "delete", "line": 1}, {"kind": "insert", "line": 2}]
+    assert diffs.greedy_changes("a\n", "a") == [{"kind": "delete", "line": 2}]
 
 
 def test_shifted_ranges(spark):
     ranges = spark.createDataFrame([(1, 1, 10, 20), (1, 2, 2, 3)], "file_id long, id long, start_line long, end_line long")
     moved = spark.createDataFrame([(1, 5, "added"), (1, 15, "added"), (1, 16, "removed"), (1, 18, "added"), (2, 1, "added")], "file_id long, line long, kind string")
-    assert {(r["id"], r["new_start"], r["new_end"]) for r in diffs.shift_ranges(ranges, moved).collect()} == {(1, 11, 22), (2, 2, 3)}
+    assert {(r["id"], r["new_start"], r["new_end"]) for r in intervals.shift_ranges(ranges, moved).collect()} == {(1, 11, 22), (2, 2, 3)}
 
 
 # --- changes, packing, delivery
@@ -241,7 +244,7 @@ def test_packing(spark):
     rng = random.Random(1)
     sizes = [rng.randint(1, 60) for _ in range(40)] + [500]
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "k long, i long, n long")
-    got = [r["batch"] for r in changes.packed(df, "k", ["i"], "n", 100).orderBy("i").collect()]
+    got = [r["batch"] for r in packing.packed(df, "k", ["i"], "n", 100).orderBy("i").collect()]
     want, used, b = [], 0, 0
     for n in sizes:
         if used and used + n > 100:
@@ -536,7 +539,7 @@ def test_packing_is_that_of_brute_force(spark, seed):
             if k == key:
                 batch, used = (batch + 1, n or 0) if used and used + (n or 0) > 50 else (batch, used + (n or 0))
                 wanted.append((str(k), i, n, batch))
-    got = changes.packed(spark.createDataFrame(rows, "k string, i long, n long"), "k", ["i"], "n", 50)
+    got = packing.packed(spark.createDataFrame(rows, "k string, i long, n long"), "k", ["i"], "n", 50)
     assert sorted((str(r["k"]), r["i"], r["n"], r["batch"]) for r in got.collect()) == sorted(wanted, key=lambda r: r[:2])
 
 
@@ -544,3 +547,186 @@ def test_null_digests(spark):
     old = spark.createDataFrame([("a", None), ("b", None), ("c", "x")], "file_path string, content_hash string")
     new = spark.createDataFrame([("a", None), ("b", "y"), ("c", None)], "file_path string, content_hash string")
     assert {r["file_path"]: r["change"] for r in changes.snapshot_changes(new, old).collect()} == {"a": "unchanged", "b": "changed", "c": "changed"}
+
+
+def folded(rows, limit):
+    """Batches of (key, size, more) in order, row by row."""
+    out, last = [], object()
+    for k, n, more in rows:
+        if k != last:
+            batch = used = 0
+            last = k
+        if used and used + more > limit:
+            batch, used = batch + 1, n
+        else:
+            used += more
+        out.append(batch)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from([0, 0, 1, 2, 7, 30]), st.floats(0, 1)), max_size=40), st.integers(1, 12), st.integers(1, 9))
+def test_blocks_composed_are_the_fold(rows, limit, block):
+    rows = sorted((k, n, int(n * share)) for k, n, share in rows)
+    opens = [i == 0 or rows[i][0] != rows[i - 1][0] for i in range(len(rows))]
+    rows = [(k, n, n if o else m) for (k, n, m), o in zip(rows, opens)]
+    parts = []
+    for i in range(0, len(rows), block):
+        cut = rows[i : i + block]
+        parts.append(packing.Successors.of(np.array([r[1] for r in cut]), np.array([r[2] for r in cut]), np.array(opens[i : i + block]), limit))
+    used = batch = 0
+    got = []
+    for p in parts:
+        got += p.batches(used, batch).tolist()
+        to, begun, anew = p.table()
+        used, batch = int(to[used]), int(begun[used]) + (0 if anew[used] else batch)
+    assert got == folded(rows, limit)
+    if len(parts) > 1:
+        whole = packing.composed([p.table() for p in parts])
+        assert int(whole[0][0]) == used and int(whole[1][0]) == batch
+
+
+def test_packing_of_one_hot_key_in_many_blocks(spark):
+    rnd = random.Random(8)
+    rows = [("hot", i, rnd.choice([0, 1, 3, 20, 90, 400])) for i in range(100_000)] + [("b", 0, 500), ("c", 0, 0), ("c", 1, 7)]
+    df = spark.createDataFrame(rows, "k string, i long, n long").repartition(6)
+    got = sorted((r["k"], r["i"], r["batch"]) for r in packing.packed(df, "k", ["i"], "n", 300, block=1000).collect())
+    rows.sort()
+    assert [b for *_, b in got] == folded([(k, n, n) for k, _, n in rows], 300)
+
+
+def test_packing_with_overlap_across_partitions(spark):
+    rnd = random.Random(9)
+    spans = sorted((p, f, a, a + rnd.choice([0, 3, 40, 300]), i) for i, (p, f, a) in enumerate((rnd.choice([1, 1, 1, 2]), rnd.choice([5, 5, 5, 6]), rnd.randint(1, 900)) for _ in range(3000)))
+    rows, end, file = [], 0, None
+    for p, f, a, b, _ in spans:
+        end = end if (p, f) == file else 0
+        rows.append((p, b - a + 1, b - a + 1 - max(0, min(b, end) - a + 1)))
+        file, end = (p, f), max(b, end)
+    df = spark.createDataFrame([(p, i, f, a, b) for p, f, a, b, i in spans], "project_id long, id long, file_id long, start_line long, end_line long").repartition(5)
+    got = sorted((r["project_id"], r["file_id"], r["start_line"], r["end_line"], r["id"], r["batch"]) for r in packing.packed_with_overlap(df, 500, block=200).collect())
+    assert [r[-1] for r in got] == folded(rows, 500)
+
+
+# --- walks, paths, ranges and windows of lines
+
+
+def brute_ways(edges, names, depth, limit):
+    out = {}
+    for a in names:
+        level, rows = [((a,), names[a])], []
+        for d in range(1, depth + 1):
+            level = [((*way, t), f"{path} -> {names[t]}") for way, path in level for s, t in edges if s == way[-1] and t in names and t not in way]
+            rows += sorted((d, names[way[-1]], path, way[-1]) for way, path in level)
+        out[a] = rows[:limit]
+    return out
+
+
+def test_chains_are_pruned_without_loss(spark):
+    rnd = random.Random(2)
+    names = {i: f"/f{i * 37 % 101:03}" for i in range(14)}
+    edges = {(rnd.randrange(14), rnd.randrange(15)) for _ in range(70)} | {(i, 0) for i in range(14)} | {(0, i) for i in range(14)}
+    e = spark.createDataFrame(sorted(edges), "source_id long, target_id long")
+    f = spark.createDataFrame(sorted(names.items()), "id long, file_path string")
+    want = brute_ways(edges, names, 4, 7)
+    got = {}
+    for r in graph.dependency_chain(e, f, depth=4, limit=7).collect():
+        got.setdefault(r["anchor_id"], []).append((r["depth"], r["file_path"], r["path"], r["file_id"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    near = {}
+    for a in names:
+        seen, front = {a: 0}, {a}
+        for d in (1, 2, 3):
+            front = {t for s, t in edges if s in front and t in names} - set(seen)
+            seen |= dict.fromkeys(front, d)
+        near |= {(a, t): d for t, d in seen.items() if d}
+    assert {(r["anchor_id"], r["file_id"]): r["depth"] for r in graph.reachable(e, f, 3).collect()} == near
+
+
+def test_a_hub_makes_one_row_for_each_pair(spark):
+    n = 400
+    edges = [(i, 0) for i in range(1, n)] + [(0, i) for i in range(1, n)]
+    e = spark.createDataFrame(edges, "source_id long, target_id long")
+    f = spark.createDataFrame([(i, f"/{i:04}") for i in range(n)], "id long, file_path string")
+    assert graph.reachable(e, f, 2).count() == n * (n - 1)
+    chain = graph.dependency_chain(e, f, depth=5)
+    assert chain.count() == 25 * n and chain.filter("anchor_id = 7").agg(F.max("depth")).first()[0] == 2
+
+
+def test_equal_base_names_meet_only_their_suffixes(spark):
+    files_ = spark.createDataFrame([(i, f"/src/d{i}/e/index.ts") for i in range(2000)] + [(5000, "index.ts"), (5001, "//odd/index.ts")], "id long, file_path string")
+    paths = ["d7/e/index.ts", "/src/d9/e/index.ts", "index.ts", "/index.ts", "7/e/index.ts", "odd/index.ts", "none/index.ts"]
+    wanted = spark.createDataFrame([(p,) for p in paths] * 2, "path string")
+    got = {r["path"]: r["file_id"] for r in graph.resolve_paths(wanted, files_).collect()}
+    assert got == {"d7/e/index.ts": 7, "/src/d9/e/index.ts": 9, "index.ts": 5000, "/index.ts": 5001, "7/e/index.ts": None, "odd/index.ts": 5001, "none/index.ts": None}
+    index = graph.suffixes(files_, "file_path", spark.createDataFrame([(3,)], "n int"))
+    assert index.filter("suffix = 'd7/e/index.ts'").count() == 1 and index.count() == 2000
+
+
+def test_windows_of_files(spark):
+    f = spark.createDataFrame([(1, "/a/x.py", "1\n2\n3\n4"), (2, "/a/y.py", "")], "id long, file_path string, content string")
+    ends = "id long, file_id long, start_line int, end_line int"
+    out, inc = spark.createDataFrame([(1, 1, 1, 2)], ends), spark.createDataFrame([(1, 1, 4, 4), (2, 2, None, None)], ends)
+    maps = spark.createDataFrame([(10, 1, 1), (11, 1, 2)], "id long, sender_id long, receiver_id long")
+    asked = [("x.py", 2, 3), ("x.py", 9, None), ("x.py", 3, 1), ("x.py", None, None), ("a/y.py", 1, 5), ("z.py", 1, 1), ("/a/x.py", -3, 2)]
+    got = graph.file_windows(spark.createDataFrame(asked, "path string, start_line int, end_line int"), f, out, inc, maps).collect()
+    assert {(r["path"], r["start_line"], r["end_line"]): (r["content"], r["mappings"]) for r in got} == {
+        ("x.py", 2, 3): ("2\n3", [10, 11]), ("x.py", 9, 4): ("4", []), ("x.py", 3, 1): ("3", []), ("x.py", None, None): ("1\n2\n3\n4", [10, 11]), ("a/y.py", 1, 5): ("", [11]), ("/a/x.py", -3, 2): ("1\n2", [10, 11]),
+    }
+
+
+def test_unmapped_connections_of_both_directions(spark):
+    rows = [("incoming", 1, 7, 8), ("incoming", 2, 7, 9), ("incoming", 3, 7, None), ("outgoing", 4, 7, 8), ("outgoing", 5, 8, 7), ("incoming", 6, 5, 5), ("outgoing", 7, 5, 5)]
+    c = spark.createDataFrame(rows, "direction string, id long, file_id long, other_file_id long")
+    m = spark.createDataFrame([(8, 7), (5, 5), (None, 7)], "sender_file long, receiver_file long")
+    assert sorted(r["id"] for r in graph.unmapped(c, m).collect()) == [2, 3, 4, 7]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_range_joins_are_those_of_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    span = lambda: (a := rnd.choice([0, 1, rnd.randrange(500), rnd.randrange(100_000)]), a + rnd.choice([-1, 0, 3, 64, 5000]))
+    left, right = ([(rnd.randrange(2), i, *span()) for i in range(80)] for _ in range(2))
+    points = [(rnd.randrange(3), rnd.choice([rnd.randrange(600), rnd.randrange(110_000)])) for _ in range(300)] + [(0, None)]
+    a = spark.createDataFrame(left + [(0, 900, None, 5)], "file_id long, id long, start_line long, end_line long")
+    b = spark.createDataFrame(right, "file_id long, rid long, r_start long, r_end long")
+    got = sorted((r["id"], r["rid"]) for r in intervals.overlapping(a, b).select("id", "rid").collect())
+    assert got == sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+    outside = intervals.lines_outside(spark.createDataFrame(points, "file_id long, line long"), a).collect()
+    assert sorted(map(repr, map(tuple, outside))) == sorted(repr(p) for p in points if p[1] is None or not any(f == p[0] and s <= p[1] <= e for f, _, s, e in left))
+    moves = [(rnd.randrange(2), rnd.randrange(3000), rnd.choice(["insert", "delete", "modified"])) for _ in range(300)]
+    moved = intervals.shift_ranges(a.filter("id < 900"), spark.createDataFrame(moves, "file_id long, line long, kind string")).collect()
+    by = {"insert": 1, "delete": -1, "modified": 0}
+    want = {(i, s + sum(by[k] for g, x, k in moves if g == f and x < s), e + sum(by[k] for g, x, k in moves if g == f and x <= e)) for f, i, s, e in left}
+    assert {(r["id"], r["new_start"], r["new_end"]) for r in moved} == want
+
+
+def test_one_file_with_many_ranges_and_lines(spark):
+    n = 100_000
+    ranges = spark.range(n).select(F.lit(1).alias("file_id"), (F.col("id") * 3).alias("start_line"), (F.col("id") * 3 + F.when(F.col("id") == 5, 200_000).otherwise(1)).alias("end_line"))
+    lines = spark.range(3 * n).select(F.lit(1).alias("file_id"), F.col("id").alias("line"))
+    assert intervals.lines_outside(lines, ranges).count() == sum(1 for x in range(3 * n) if x % 3 == 2 and not 15 <= x <= 200_015)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc "), max_size=8), st.lists(st.sampled_from("abcd "), max_size=40))
+def test_votes_find_the_best_window(want, have):
+    from lattica.functions.text import best_window
+
+    n = len(want)
+    scores = [sum(a == b for a, b in zip(want, have[i : i + n])) / n for i in range(len(have) - n + 1)] if n else []
+    assert best_window(want, have) == ((max(scores), scores.index(max(scores))) if scores else None)
+
+
+def test_votes_are_quick_on_long_files():
+    import time
+
+    from lattica.functions.text import best_window
+
+    rnd = random.Random(1)
+    have = [rnd.choice(["", "}", f"line {i}"]) for i in range(100_000)]
+    want = [x if i % 5 else "changed" for i, x in enumerate(have[70_000:71_000])]
+    began = time.perf_counter()
+    best = best_window(want, have)
+    assert best[1] == 70_000 and best[0] >= 0.8 and time.perf_counter() - began < 3
+    assert diffs.relocate("\n".join(want), 1, 1000, "\n".join(have))["start"] == 70_001
