@@ -410,10 +410,10 @@ _WANTED = """SELECT CASE WHEN id % 3 = 0 THEN file_path WHEN id % 3 = 1 THEN reg
 @query(
     f"""WITH f AS ({_TEXT_FILES}), w AS ({_WANTED.replace("{f}", "f")}),
     h AS (SELECT w.*, f.id AS file_id, f.file_path, f.content, string_split(f.content, chr(10)) AS l FROM w JOIN f ON f.file_path = w.path OR ends_with(f.file_path, '/' || ltrim(w.path, '/'))),
-    c AS (SELECT *, len(l) AS n, start_line IS NOT NULL OR end_line IS NOT NULL AS some, greatest(0, least(coalesce(start_line - 1, 0), len(l) - 1)) AS a FROM h),
+    c AS (SELECT *, len(l) AS n, start_line IS NOT NULL OR end_line IS NOT NULL AS bounded, greatest(0, least(coalesce(start_line - 1, 0), len(l) - 1)) AS a FROM h),
     d AS (SELECT *, greatest(a + 1, least(coalesce(end_line, n), n)) AS z FROM c),
-    e AS (SELECT path, file_id, file_path, CASE WHEN some AND content <> '' THEN array_to_string(l[a + 1:z], chr(10)) ELSE content END AS content, CAST(CASE WHEN some THEN coalesce(start_line, 1) END AS INTEGER) AS start_line,
-          CAST(CASE WHEN some THEN coalesce(end_line, n) END AS INTEGER) AS end_line FROM d),
+    e AS (SELECT path, file_id, file_path, CASE WHEN bounded AND content <> '' THEN array_to_string(l[a + 1:z], chr(10)) ELSE content END AS content, CAST(CASE WHEN bounded THEN coalesce(start_line, 1) END AS INTEGER) AS start_line,
+          CAST(CASE WHEN bounded THEN coalesce(end_line, n) END AS INTEGER) AS end_line FROM d),
     p AS (SELECT x.id, o.file_id, o.start_line AS a, o.end_line AS z FROM {{connection_mappings}} x JOIN {{outgoing_connections}} o ON o.id = x.sender_id
           UNION ALL SELECT x.id, i.file_id, i.start_line, i.end_line FROM {{connection_mappings}} x JOIN {{incoming_connections}} i ON i.id = x.receiver_id)
     SELECT e.*, coalesce((SELECT string_agg(DISTINCT CAST(p.id AS VARCHAR), ',' ORDER BY CAST(p.id AS VARCHAR)) FROM p WHERE p.file_id = e.file_id AND (e.start_line IS NULL OR (p.a <= e.end_line AND e.start_line <= p.z))), '') AS mappings FROM e"""
@@ -433,7 +433,7 @@ _ASKED = "SELECT CASE WHEN id % 2 = 0 THEN file_path ELSE regexp_extract(file_pa
           UNION ALL SELECT b.id, CASE WHEN t.above = '' THEN t.name ELSE t.above || ' > ' || t.name END, b.name FROM t JOIN {{code_blocks}} b ON b.parent_block_id = t.id)
     SELECT h.path, h.file_id, b.id AS block_id, b.type, b.name, b.start_line, b.end_line, coalesce(u.above, '') AS above, b.position
     FROM h JOIN (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS position FROM {{code_blocks}}) b ON b.file_id = h.file_id
-    LEFT JOIN (SELECT b.id, CASE WHEN p.file_id = b.file_id THEN t.above END AS above FROM {{code_blocks}} b JOIN t ON t.id = b.id LEFT JOIN {{code_blocks}} p ON p.id = b.parent_block_id) u ON u.id = b.id"""
+    LEFT JOIN t u ON u.id = b.id"""
 )
 def get_file_block_summary(s: Store) -> DataFrame:
     return graph.block_summary(s.sql(_ASKED), s["files"], s["code_blocks"])
