@@ -412,16 +412,18 @@ _WANTED = """SELECT CASE WHEN id % 3 = 0 THEN file_path WHEN id % 3 = 1 THEN reg
     h AS (SELECT w.*, f.id AS file_id, f.file_path, f.content, string_split(f.content, chr(10)) AS l FROM w JOIN f ON f.file_path = w.path OR ends_with(f.file_path, '/' || ltrim(w.path, '/'))),
     c AS (SELECT *, len(l) AS n, start_line IS NOT NULL OR end_line IS NOT NULL AS bounded, greatest(0, least(coalesce(start_line - 1, 0), len(l) - 1)) AS a FROM h),
     d AS (SELECT *, greatest(a + 1, least(coalesce(end_line, n), n)) AS z FROM c),
-    e AS (SELECT path, file_id, file_path, CASE WHEN bounded AND content <> '' THEN array_to_string(l[a + 1:z], chr(10)) ELSE content END AS content, CAST(CASE WHEN bounded THEN coalesce(start_line, 1) END AS INTEGER) AS start_line,
-          CAST(CASE WHEN bounded THEN coalesce(end_line, n) END AS INTEGER) AS end_line FROM d),
+    e AS (SELECT path, file_id, file_path, CASE WHEN bounded AND content <> '' THEN array_to_string(l[a + 1:z], chr(10)) ELSE content END AS content, CAST(CASE WHEN bounded THEN coalesce(start_line, 1) END AS BIGINT) AS start_line,
+          CAST(CASE WHEN bounded THEN coalesce(end_line, n) END AS BIGINT) AS end_line FROM d),
     p AS (SELECT x.id, o.file_id, o.start_line AS a, o.end_line AS z FROM {{connection_mappings}} x JOIN {{outgoing_connections}} o ON o.id = x.sender_id
           UNION ALL SELECT x.id, i.file_id, i.start_line, i.end_line FROM {{connection_mappings}} x JOIN {{incoming_connections}} i ON i.id = x.receiver_id)
-    SELECT e.*, coalesce((SELECT string_agg(DISTINCT CAST(p.id AS VARCHAR), ',' ORDER BY CAST(p.id AS VARCHAR)) FROM p WHERE p.file_id = e.file_id AND (e.start_line IS NULL OR (p.a <= e.end_line AND e.start_line <= p.z))), '') AS mappings FROM e"""
+    SELECT e.path, e.file_id, e.file_path, e.content, coalesce(e.start_line, 0) AS start_line, coalesce(e.end_line, 0) AS end_line, coalesce((SELECT string_agg(DISTINCT CAST(p.id AS VARCHAR), ',' ORDER BY CAST(p.id AS VARCHAR)) FROM p WHERE p.file_id = e.file_id AND (e.start_line IS NULL OR (p.a <= e.end_line AND e.start_line <= p.z))), '') AS mappings FROM e"""
 )
 def get_file_by_path(s: Store) -> DataFrame:
     f = s.sql(_TEXT_FILES)
     out = graph.file_windows(s.sql(_WANTED, f=f), f, s["outgoing_connections"], s["incoming_connections"], s["connection_mappings"])
-    return out.withColumn("mappings", F.array_join(F.array_sort(F.transform("mappings", lambda x: x.cast("string"))), ","))
+    ids = F.array_join(F.array_sort(F.transform("mappings", lambda x: x.cast("string"))), ",")
+    bound = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    return out.select("path", "file_id", "file_path", "content", bound("start_line"), bound("end_line"), ids.alias("mappings"))
 
 
 _ASKED = "SELECT CASE WHEN id % 2 = 0 THEN file_path ELSE regexp_extract(file_path, '[^/]*/[^/]*$', 0) END AS path FROM {files}"
