@@ -147,9 +147,11 @@ def _encoder(tables: Column, sizes: RankMap) -> Callable[[Column], Column]:
     none, empty = F.lit(_NONE).cast("long"), F.array().cast("array<bigint>")
 
     def rank(a: Column, b: Column) -> Column:
+        """Rank of a pair, or a number from ``base`` on: an entry of another pair leaves a rest below 0, made large without its sign, or from base on."""
+
         def found(key: Column) -> Column:
             entry = F.get(tables["entries"], ((key + F.get(tables["shifts"], (key % sizes.shifts).cast("int"))) % sizes.entries).cast("int"))
-            return _let(entry - key * sizes.base, lambda rest: F.when((rest >= 0) & (rest < sizes.base), rest).otherwise(none))
+            return (entry - key * sizes.base).bitwiseAND(F.lit((1 << 63) - 1))
 
         return _let(a * sizes.base + b, found)
 
@@ -163,7 +165,7 @@ def _encoder(tables: Column, sizes: RankMap) -> Callable[[Column], Column]:
             ids = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
             return _let(new, lambda x: F.struct(ids.alias("p"), x.alias("r"), F.coalesce(F.array_min(x), none).alias("m")))
 
-        return F.when(joined == none, state).otherwise(_let(F.array_position(r, joined).cast("int"), join))
+        return F.when(joined >= sizes.base, state).otherwise(_let(F.array_position(r, joined).cast("int"), join))
 
     def encode(word: Column) -> Column:
         byte = lambda b: F.pmod(b.cast("int"), F.lit(256))

@@ -175,6 +175,17 @@ def test_byte_bpe_is_tiktoken(spark, texts):
     assert byte_bpe.encode(df.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_is_the_same_by_fold_and_by_heap(spark, texts, monkeypatch):
+    """Words fold or go through the heap by their length: all one way and all the other give the same ids."""
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    df = frame(spark, [*hard_texts(texts)[-160:], "ab" * 150, "x" * 200])
+    got = []
+    for limit in (2, 8, 10_000):
+        monkeypatch.setattr(byte_bpe, "FOLD_BYTES", limit)
+        got.append({r["_id"]: r["tokens"] for r in byte_bpe.encode(df, ranks, public_tokenizers.PATTERN).collect()})
+    assert got[0] == got[1] == got[2]
+
+
 def test_ids_beyond_65535(spark):
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 70_000, b"abc": 70_001}
     out = byte_bpe.encode(frame(spark, ["abc ab"]), ranks, public_tokenizers.PATTERN).first()["tokens"]
