@@ -63,12 +63,17 @@ def old_content(changes: DataFrame, previous: DataFrame, key: str = "file_path")
     return changes.filter("change IN ('changed', 'deleted')").join(previous.select(key, F.col("content").alias("old_code")), key, "left")
 
 
-def merged_ranges(rows: DataFrame, *keys: str, start: str = "start_line", end: str = "end_line", gap: int = 1) -> DataFrame:
-    """Overlapping or adjacent ranges of a key as one: a running maximum, then islands."""
+def with_islands(rows: DataFrame, *keys: str, start: str = "start_line", end: str = "end_line", gap: int = 1) -> DataFrame:
+    """Rows with _island: a number for each chain of ranges of a key that lie ``gap`` lines apart at most (0: that share lines)."""
     by = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_fresh", F.when(F.col(start) <= before + gap, 0).otherwise(1))
-    isles = marked.withColumn("_island", F.sum("_fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.withColumn("_island", F.sum("_fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
+def merged_ranges(rows: DataFrame, *keys: str, start: str = "start_line", end: str = "end_line", gap: int = 1) -> DataFrame:
+    """Overlapping or adjacent ranges of a key as one: a running maximum, then islands."""
+    isles = with_islands(rows, *keys, start=start, end=end, gap=gap)
     return isles.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 

@@ -23,20 +23,36 @@ def index_directory(spark: SparkSession, path: str, project_id: int = 0) -> dict
 
 
 def incremental_index(stored: dict[str, DataFrame], current: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables, changes): stored tables brought up to the files of ``current``.
+    """(tables, changes): stored tables brought up to the files of ``current``; changes by project and path.
 
-    Only changed and new files are parsed; imports are resolved against all files and taken from the
-    changed ones, and edges to files that are gone go too. One plan, whatever the number of projects.
+    Only changed and new files are parsed; imports are resolved against all files of their project and taken from the
+    changed ones, and edges to files that are gone go too. One plan, whatever the number of projects. With vectors among the
+    tables, those of changed and deleted files go, and changed and new ones are embedded again.
     """
-    key = "file_path"
-    diff = changes.snapshot_changes(current, stored["files"], key, "content_hash")
-    kept = changes.patch(stored["files"], current.select(*stored["files"].columns), diff, key)
-    fresh = current.join(diff.filter("change IN ('changed', 'new')").select(key), key, "left_semi")
-    lost = stored["files"].join(diff.filter("change IN ('changed', 'deleted')").select(key), key, "left_semi").select(F.col("id").alias("file_id"))
-    blocks = stored["code_blocks"].join(lost, "file_id", "left_anti").unionByName(extract.extract_blocks(fresh))
+    key = ["project_id", "file_path"]
+    known = stored["files"].columns
+    mark = lambda df: df.withColumn("_key", F.struct(F.col("project_id").cast("long").alias("project_id"), "file_path"))
+    now, was = mark(current), mark(stored["files"])
+    diff = changes.snapshot_changes(now, was, "_key", "content_hash")
+    kept = changes.patch(was, now.select(*known, "_key"), diff, "_key").drop("_key")
+    fresh = now.join(diff.filter("change IN ('changed', 'new')").select("_key"), "_key", "left_semi").drop("_key")
+    lost = was.join(diff.filter("change IN ('changed', 'deleted')").select("_key"), "_key", "left_semi").select(F.col("id").alias("file_id"))
+    made = extract.extract_blocks(fresh)
+    blocks = stored["code_blocks"].join(lost, "file_id", "left_anti").unionByName(made)
     old = stored["relationships"].join(lost.withColumnRenamed("file_id", "source_id"), "source_id", "left_anti")
     edges = old.unionByName(extract.import_edges(fresh, kept)).join(kept.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    return {"files": kept, "code_blocks": blocks, "relationships": edges}, diff
+    out = {"files": kept, "code_blocks": blocks, "relationships": edges}
+    if "vectors" in stored:
+        gone = stored["code_blocks"].join(lost, "file_id", "left_semi").select(F.concat(F.lit("block_"), F.col("id").cast("string")).alias("node_id"))
+        nodes = gone.unionAll(lost.select(F.concat(F.lit("file_"), F.col("file_id").cast("string")).alias("node_id")))
+        out["vectors"] = stored["vectors"].join(nodes, "node_id", "left_anti").unionByName(embed_blocks(made, fresh), allowMissingColumns=True)
+    return out, diff.select(*[F.col(f"_key.{c}").alias(c) for c in key], "change")
+
+
+def apply_increment(target: store.ParquetStore, current: DataFrame) -> int:
+    """Bring a store's files, blocks and edges up to ``current`` in one commit; its number."""
+    tables, _ = incremental_index({t: target.read(t) for t in ("files", "code_blocks", "relationships")}, current)
+    return target.commit(tables)
 
 
 def extraction_stats(tables: dict[str, DataFrame]) -> DataFrame:

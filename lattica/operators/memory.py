@@ -86,12 +86,42 @@ def upsert_elements(tree: DataFrame, rows: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(by)).filter("_k = 1").drop("_k", "_new")
 
 
+def insert_paths(tree: DataFrame, paths: DataFrame) -> DataFrame:
+    """The tree (element_id long, parent_id, name, type) with every way of ``paths`` (path_id, path: list of name and type from the root down) in it.
+
+    Level by level the elements of a way are looked up by (parent, name, type): one that is there gives its id to those below it, one
+    that isn't is made, once for all ways, with ids that go on from the largest in the order of parent, name and type. A
+    level is one join; parts with a null name or type end their way.
+    """
+    from lattica.operators.delivery import ranked
+    from lattica.operators.graph import saved
+
+    key = ["parent_id", "name", "type"]
+    at = paths.select("path", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("d"))
+    tree = tree.select("element_id", *key)
+    while True:
+        part = F.get("path", F.col("d"))
+        at = saved(at.withColumn("name", part["name"]).withColumn("type", part["type"]).filter("name IS NOT NULL AND type IS NOT NULL"))
+        if at.isEmpty():
+            return tree
+        same = lambda a, b: a["parent_id"].eqNullSafe(b["parent_id"]) & (a["name"] == b["name"]) & (a["type"] == b["type"])
+        wanted = at.select(*key).distinct()
+        missing = wanted.join(tree, same(wanted, tree), "left_anti")
+        top = tree.agg(F.coalesce(F.max("element_id"), F.lit(0)).alias("_top"))
+        made = ranked(missing, F.asc_nulls_first("parent_id"), "name", "type").join(F.broadcast(top)).select((F.col("_rank") + F.col("_top")).cast("long").alias("element_id"), *key)
+        tree = saved(tree.unionByName(made))
+        ids = tree.groupBy(*key).agg(F.min("element_id").alias("_id"))
+        at = at.join(ids, same(at, ids)).select("path", F.col("_id").alias("parent_id"), (at["d"] + 1).alias("d"))
+
+
 def rendered(elements: DataFrame) -> DataFrame:
-    """Elements in pre-order with indented names."""
+    """Elements in pre-order with indented names; siblings in the order of their ids, numbers by their value."""
     from lattica.operators.graph import block_paths
 
     at = block_paths(elements.select(F.col("element_id").alias("id"), F.col("parent_id").alias("parent_block_id"), "name"))
-    order: Column = F.array_join("ids", "/")
+    digits = lambda x: F.regexp_extract(x.cast("string"), "([0-9]*)$", 1)
+    padded = lambda x: F.concat(F.regexp_replace(x.cast("string"), "[0-9]*$", ""), F.lpad(digits(x), F.lit(20), F.lit("0")))
+    order: Column = F.array_join(F.transform("ids", padded), "/")
     return elements.join(at.withColumnRenamed("id", "element_id"), "element_id").select(order.alias("place"), F.concat(F.repeat(F.lit("    "), F.size("ids") - 1), "name").alias("line"))
 
 

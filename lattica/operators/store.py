@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import PurePath
 
 import pandas as pd
@@ -147,9 +148,11 @@ def checked_vectors(rows: DataFrame, size: int) -> DataFrame:
 
 
 class ParquetStore:
-    """Tables below a folder, each a Parquet directory with a version; a table is never overwritten while it is read.
+    """Tables below a folder, each a Parquet directory with versions; a version is never overwritten.
 
-    ``write`` makes a new version and then points to it, so a failed job leaves the old one.
+    What readers see is a manifest: a small file with the version of every table. ``commit`` writes new versions of some tables
+    first and then puts the next manifest in place by one rename, which fails if another writer was faster. So several tables change
+    as one or not at all, and what a failed job has written is seen by none.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -157,38 +160,77 @@ class ParquetStore:
 
     def create(self) -> None:
         """Make the tables that are missing, empty."""
-        for t in SCHEMAS:
-            if self._version(t) is None:
-                self.write(t, self.spark.createDataFrame([], SCHEMAS[t]))
+        held = self.manifest()["tables"]
+        missing = {t: self.spark.createDataFrame([], SCHEMAS[t]) for t in SCHEMAS if t not in held}
+        if missing:
+            self.commit(missing)
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _version(self, table: str) -> int | None:
-        fs, p = self._fs(f"{self.path}/{table}")
-        if not fs.exists(p):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{n}/_SUCCESS"))]
-        return max(done, default=None)
-
-    def read(self, table: str) -> DataFrame:
-        v = self._version(table)
-        if v is None:
+    def _numbers(self) -> list[int]:
+        fs, p = self._fs(f"{self.path}/_manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def manifest(self, number: int | None = None) -> dict:
+        """{number, tables: {table: version}, batches: {stream: last batch}} of the newest commit, or of an earlier one."""
+        numbers = self._numbers()
+        number = number if number is not None else numbers[-1] if numbers else 0
+        if not number:
+            return {"number": 0, "tables": {}, "batches": {}}
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/_manifests/{number}.json").collect()))
+
+    def read(self, table: str, number: int | None = None) -> DataFrame:
+        """A table as of the newest commit, or of commit ``number``."""
+        version = self.manifest(number)["tables"].get(table)
+        if version is None:
             raise FileNotFoundError(f"{self.path}/{table}")
         reader = self.spark.read.schema(SCHEMAS[table]) if table in SCHEMAS else self.spark.read
-        return reader.parquet(f"{self.path}/{table}/v{v}")
+        return reader.parquet(f"{self.path}/{table}/{version}")
+
+    def commit(self, tables: dict[str, DataFrame], stream: str | None = None, batch: int | None = None) -> int:
+        """Write new versions of ``tables`` and show them all at once; the number of the commit.
+
+        With ``stream`` and ``batch`` a batch that the stream has committed already changes nothing, so a repeated one is harmless.
+        """
+        last = self.manifest()
+        if stream is not None and batch is not None and last["batches"].get(stream, -1) >= batch:
+            return last["number"]
+        version = f"v{last['number'] + 1}-{uuid.uuid4().hex[:12]}"
+        for table, rows in tables.items():
+            rows.write.parquet(f"{self.path}/{table}/{version}")
+        batches = last["batches"] | ({stream: batch} if stream is not None and batch is not None else {})
+        self._publish({"number": last["number"] + 1, "tables": last["tables"] | dict.fromkeys(tables, version), "batches": batches})
+        return last["number"] + 1
+
+    def _publish(self, manifest: dict) -> None:
+        fs, draft = self._fs(f"{self.path}/_manifests/_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.close()
+        _, to = self._fs(f"{self.path}/_manifests/{manifest['number']}.json")
+        if fs.exists(to) or not fs.rename(draft, to):
+            fs.delete(draft, False)
+            raise RuntimeError(f"commit {manifest['number']} was taken by another writer")
 
     def write(self, table: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/{table}/v{(self._version(table) or 0) + 1}")
+        self.commit({table: rows})
 
     def clear(self) -> None:
         """Empty tables, except the checkpoints."""
-        for t in SCHEMAS:
-            if t != "checkpoints":
-                self.write(t, self.spark.createDataFrame([], SCHEMAS[t]))
+        self.commit({t: self.spark.createDataFrame([], SCHEMAS[t]) for t in SCHEMAS if t != "checkpoints"})
+
+    def follow(self, changes: DataFrame, name: str, apply: Callable[[dict[str, DataFrame], DataFrame], dict[str, DataFrame]], tables: list[str], checkpoint: str) -> None:
+        """Take what a stream of changes holds, a commit for each of its batches: ``apply`` makes the new tables from those of the store."""
+
+        def one(batch: DataFrame, number: int) -> None:
+            if self.manifest()["batches"].get(name, -1) < number:
+                self.commit(apply({t: self.read(t) for t in tables}, batch), name, number)
+
+        changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def export_json(rows: DataFrame, path: str) -> None:

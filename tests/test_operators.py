@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattica.functions import paths as P
-from lattica.operators import changes, delivery, diffs, graph, intervals, maintenance, memory, packing, retrieval, store
+from lattica.operators import changes, delivery, diffs, graph, intervals, maintenance, memory, packing, retrieval, snippets, store
 from lattica.sources import extract, files
 from lattica.streaming import changelog
 
@@ -730,3 +730,132 @@ def test_votes_are_quick_on_long_files():
     best = best_window(want, have)
     assert best[1] == 70_000 and best[0] >= 0.8 and time.perf_counter() - began < 3
     assert diffs.relocate("\n".join(want), 1, 1000, "\n".join(have))["start"] == 70_001
+
+
+# --- snippets, commits, traced elements
+
+
+def brute_ingest(memory, rows):
+    held = [[i, p, a, b] for i, p, a, b in memory]
+    out = []
+    for seq, p, a, b in rows:
+        if None in (p, a, b) or a > b:
+            continue
+        hit = next((x for x in held if x[1] == p and not (b < x[2] or a > x[3])), None)
+        if hit is None:
+            held.append([-seq, p, a, b])
+            out.append((seq, "add", -seq))
+        elif hit[2:] == [a, b]:
+            out.append((seq, "skip", hit[0]))
+        else:
+            hit[2], hit[3] = min(hit[2], a), max(hit[3], b)
+            out.append((seq, "expand", hit[0]))
+    ends = {x[0]: (x[2], x[3]) for x in held}
+    return [(*x, *ends[x[2]]) for x in out]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_snippets_are_taken_in_like_a_fold(spark, seed):
+    rnd = random.Random(seed)
+    span = lambda: (a := rnd.randrange(1, 120), a + rnd.choice([-1, 0, 2, 9, 40] if rnd.random() < 0.9 else [300]))
+    path = lambda: rnd.choice(["a.py", "a.py", "a.py", "b.py"])
+    memory = [(i, path(), *s) for i in range(1, 25) if (s := span())[0] <= s[1]]
+    rows = [(i, path(), *span()) for i in range(1, 150)] + [(990, None, 1, 2), (991, "a.py", None, 2), (992, "a.py", 3, None)]
+    m = spark.createDataFrame(memory, "id long, file_path string, start_line long, end_line long")
+    r = spark.createDataFrame(rows, "seq long, file_path string, start_line long, end_line long").repartition(5)
+    got = sorted((x["seq"], x["action"], x["snippet"], x["snippet_start"], x["snippet_end"]) for x in snippets.ingested(m, r).collect())
+    assert got == brute_ingest(memory, rows)
+
+
+def test_ranges_of_a_long_file_take_n_log_n():
+    import time
+
+    rnd = random.Random(3)
+    spans = [(a, a + rnd.randrange(40)) for a in (rnd.randrange(1, 2_000_000) for _ in range(60_000))]
+    began = time.perf_counter()
+    ranges = snippets.Ranges()
+    for a, b in spans:
+        ranges.add(a, b)
+    assert time.perf_counter() - began < 10 and len(ranges.spans) > 10_000
+
+
+def test_memory_takes_in_and_refreshes_snippets(spark):
+    text = "\n".join(f"l{i}" for i in range(1, 31))
+    f = spark.createDataFrame([("a.py", text), ("b.py", "x\ny")], "file_path string, content string")
+    memory = spark.createDataFrame([(4, "a.py", 3, 5, "old", "?")], "id long, file_path string, start_line long, end_line long, description string, code string")
+    rows = spark.createDataFrame([(1, "a.py", 5, 7, "grows"), (2, "b.py", 1, 2, "new"), (3, "a.py", 20, 21, None), (4, "a.py", 12, 12, "more")], "seq long, file_path string, start_line long, end_line long, description string")
+    got = {r["id"]: (r["file_path"], r["start_line"], r["end_line"], r["description"], r["code"]) for r in snippets.ingest(memory, rows, f).collect()}
+    assert {k: v[:4] for k, v in got.items()} == {4: ("a.py", 3, 7, "old"), 5: ("b.py", 1, 2, "new"), 6: ("a.py", 12, 12, "more")}
+    assert got[5][4].split("\n")[0].endswith("| x") and len(got[4][4].split("\n")) == 5
+    after = spark.createDataFrame([("a.py", "new\n" + text)], "file_path string, content string")
+    told = {r["id"]: (r["start_line"], r["end_line"], r["action"]) for r in snippets.refreshed(snippets.ingest(memory, rows, f), after, spark.createDataFrame([("a.py",), ("b.py",)], "file_path string")).collect()}
+    assert told == {4: (4, 8, "move"), 6: (13, 13, "move"), 5: (1, 2, "remove")}
+
+
+def test_tables_change_as_one_or_not_at_all(spark, tmp_path, monkeypatch):
+    s = store.ParquetStore(spark, str(tmp_path / "db"))
+    s.create()
+    a = spark.createDataFrame([(1, "x")], "id long, name string")
+    bad = a.withColumn("name", F.raise_error(F.lit("lost")))
+    s.commit({"p": a, "q": a})
+    with pytest.raises(Exception):
+        s.commit({"p": a.unionAll(a), "q": bad})  # the second write fails
+    assert s.read("p").count() == 1 and s.read("q").count() == 1
+    monkeypatch.setattr(s, "_publish", lambda m: (_ for _ in ()).throw(RuntimeError("lost before the rename")))
+    with pytest.raises(RuntimeError):
+        s.commit({"p": a.unionAll(a), "q": a.unionAll(a)})
+    monkeypatch.undo()
+    assert s.read("p").count() == 1 and s.commit({"p": a.unionAll(a)}) == 3
+    assert s.read("p").count() == 2 and s.read("p", 2).count() == 1
+    with pytest.raises(RuntimeError):
+        s._publish({"number": 3, "tables": {}, "batches": {}})  # another writer was faster
+    assert s.read("p").count() == 2 and s.read("files").count() == 0
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path / "db"))
+    rows = spark.createDataFrame([(1,), (2,)], "id long")
+    assert [s.commit({"t": rows}, "log", 0), s.commit({"t": rows.unionAll(rows)}, "log", 0), s.commit({"t": rows.unionAll(rows)}, "log", 1)] == [1, 1, 2]
+    src = str(tmp_path / "src")
+    rows.write.parquet(src)
+    add = lambda tables, batch: {"t": tables["t"].unionByName(batch)}
+    for checkpoint in ("a", "b"):  # a lost checkpoint repeats batch 0
+        s.follow(spark.readStream.schema("id long").parquet(src), "feed", add, ["t"], str(tmp_path / checkpoint))
+    assert s.read("t").count() == 6 and s.manifest()["batches"] == {"log": 1, "feed": 0}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ways_are_put_into_the_tree(spark, seed):
+    rnd = random.Random(seed)
+    tree = [(1, None, "root", "f"), (2, 1, "a", "f"), (10, 2, "b", "v")]
+    ways = [[(rnd.choice(["root", "top"]), "f")] + [(rnd.choice("abc"), rnd.choice("fv")) for _ in range(rnd.randrange(4))] for _ in range(30)] + [[], [("root", "f"), (None, "f"), ("x", "f")]]
+    got = memory.insert_paths(
+        spark.createDataFrame(tree, "element_id long, parent_id long, name string, type string"),
+        spark.createDataFrame([(i, w) for i, w in enumerate(ways)], "path_id long, path array<struct<name:string,type:string>>"),
+    ).collect()
+    ids = [r["element_id"] for r in got]
+    assert len(set(ids)) == len(ids) and {tuple(r) for r in got} >= set(tree)
+    by = {r["element_id"]: r for r in got}
+    way = lambda i: [] if i is None else [*way(by[i]["parent_id"]), (by[i]["name"], by[i]["type"])]
+    found = sorted(tuple(way(i)) for i in by)
+    want = {tuple(w[: k + 1]) for w in ways for k in range(len(w)) if all(x[0] for x in w[: k + 1])} | {tuple(w) for w in ([("root", "f")], [("root", "f"), ("a", "f")], [("root", "f"), ("a", "f"), ("b", "v")])}
+    assert found == sorted(want)
+
+
+def test_siblings_stand_in_the_order_of_numbers(spark):
+    e = spark.createDataFrame([("1", None, "root"), ("10", "1", "ten"), ("2", "1", "two"), ("s9", "2", "nine"), ("s11", "2", "eleven")], "element_id string, parent_id string, name string")
+    assert [r["line"].strip() for r in memory.rendered(e).orderBy("place").collect()] == ["root", "two", "nine", "eleven", "ten"]
+
+
+def test_increments_of_projects_with_equal_paths(spark, tmp_path):
+    for p in ("one", "two"):
+        (tmp_path / p).mkdir()
+        (tmp_path / p / "m.py").write_text(f"def {p}():\n    return 1\n")
+    index = lambda: [maintenance.index_directory(spark, str(tmp_path / p), i) for i, p in ((1, "one"), (2, "two"))]
+    both = lambda t: {k: t[0][k].unionByName(t[1][k]) for k in t[0]}
+    rel = lambda t: {**t, "files": t["files"].withColumn("file_path", F.lit("m.py")).withColumn("id", F.col("project_id"))}
+    first = rel(both(index()))
+    now = first["files"].withColumn("content", F.when(F.col("project_id") == 2, F.lit("def changed():\n    return 2\n")).otherwise(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
+    tables, diff = maintenance.incremental_index({**first, "code_blocks": first["code_blocks"].limit(0), "relationships": first["relationships"].limit(0)}, now)
+    assert {(r["project_id"], r["change"]) for r in diff.collect()} == {(1, "unchanged"), (2, "changed")}
+    assert tables["files"].count() == 2 and {r["name"] for r in tables["code_blocks"].collect()} == {"changed"}
