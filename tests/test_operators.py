@@ -859,3 +859,12 @@ def test_increments_of_projects_with_equal_paths(spark, tmp_path):
     tables, diff = maintenance.incremental_index({**first, "code_blocks": first["code_blocks"].limit(0), "relationships": first["relationships"].limit(0)}, now)
     assert {(r["project_id"], r["change"]) for r in diff.collect()} == {(1, "unchanged"), (2, "changed")}
     assert tables["files"].count() == 2 and {r["name"] for r in tables["code_blocks"].collect()} == {"changed"}
+
+
+def test_scope_of_a_wanted_path(spark):
+    f = spark.createDataFrame([(1, "/r/a.py"), (2, "/r/b.py"), (3, "/r/c.py")], "id long, file_path string")
+    e = spark.createDataFrame([(1, 2), (2, 3)], "source_id long, target_id long")
+    side = spark.createDataFrame([], "id long, file_id long, technology_name string")
+    maps = spark.createDataFrame([], "id long, sender_id long, receiver_id long, match_confidence double")
+    got = graph.scope_of_paths(spark.createDataFrame([("b.py",), ("none.py",)], "path string"), e, f, side, side, maps, depth=3).collect()
+    assert sorted((r["path"], r["section"], r["file_path"]) for r in got) == [("b.py", "dependency_chain", "/r/c.py"), ("b.py", "impact", "/r/a.py"), ("b.py", "importers", "/r/a.py"), ("b.py", "imports", "/r/c.py")]
