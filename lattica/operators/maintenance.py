@@ -38,9 +38,9 @@ def incremental_index(stored: dict[str, DataFrame], current: DataFrame) -> tuple
     fresh = now.join(diff.filter("change IN ('changed', 'new')").select("_key"), "_key", "left_semi").drop("_key")
     lost = was.join(diff.filter("change IN ('changed', 'deleted')").select("_key"), "_key", "left_semi").select(F.col("id").alias("file_id"))
     made = extract.extract_blocks(fresh)
-    blocks = stored["code_blocks"].join(lost, "file_id", "left_anti").unionByName(made)
+    blocks = stored["code_blocks"].join(lost, "file_id", "left_anti").unionByName(made, allowMissingColumns=True).select(*stored["code_blocks"].columns)
     old = stored["relationships"].join(lost.withColumnRenamed("file_id", "source_id"), "source_id", "left_anti")
-    edges = old.unionByName(extract.import_edges(fresh, kept)).join(kept.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    edges = old.unionByName(extract.import_edges(fresh, kept), allowMissingColumns=True).select(*old.columns).join(kept.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     out = {"files": kept, "code_blocks": blocks, "relationships": edges}
     if "vectors" in stored:
         gone = stored["code_blocks"].join(lost, "file_id", "left_semi").select(F.concat(F.lit("block_"), F.col("id").cast("string")).alias("node_id"))

@@ -868,3 +868,14 @@ def test_scope_of_a_wanted_path(spark):
     maps = spark.createDataFrame([], "id long, sender_id long, receiver_id long, match_confidence double")
     got = graph.scope_of_paths(spark.createDataFrame([("b.py",), ("none.py",)], "path string"), e, f, side, side, maps, depth=3).collect()
     assert sorted((r["path"], r["section"], r["file_path"]) for r in got) == [("b.py", "dependency_chain", "/r/c.py"), ("b.py", "impact", "/r/a.py"), ("b.py", "importers", "/r/a.py"), ("b.py", "imports", "/r/c.py")]
+
+
+def test_an_increment_is_one_commit(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.py").write_text("def one():\n    return 1\n")
+    s = store.ParquetStore(spark, str(tmp_path / "db"))
+    s.commit(maintenance.index_directory(spark, str(tmp_path / "p"), 1))
+    (tmp_path / "p" / "a.py").write_text("def two():\n    return 2\n")
+    assert maintenance.apply_increment(s, maintenance.index_directory(spark, str(tmp_path / "p"), 1)["files"]) == 2
+    assert [r["name"] for r in s.read("code_blocks").collect()] == ["two"] and s.read("files").count() == 1
+    assert [r["name"] for r in s.read("code_blocks", 1).collect()] == ["one"]
