@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions import ignore
 from lattica.functions.paths import ancestors
 from lattica.functions.text import lines, metadata_header
 from lattica.operators import changes, diffs, graph, intervals, packing, retrieval, store
@@ -162,9 +163,14 @@ def grouped_chunks(groups: DataFrame, size: int = 600) -> DataFrame:
     return packing.packed(rows, "part", ["id"], "n_lines", size).drop("part").withColumnRenamed("batch", "chunk")
 
 
-def workspace_tree(paths: DataFrame, path_col: str = "file_path") -> DataFrame:
-    """(folder, depth, files) down to the greatest depth, at most TREE_DEPTH, that shows no more than TREE_FOLDERS folders."""
-    up = paths.select(F.posexplode(ancestors(F.ltrim(F.col(path_col), F.lit("/")))).alias("p", "folder")).filter(F.col("p") < TREE_DEPTH)
+def workspace_tree(paths: DataFrame, path_col: str = "file_path", rules: DataFrame | None = None) -> DataFrame:
+    """(folder, depth, files) down to the greatest depth, at most TREE_DEPTH, that shows no more than TREE_FOLDERS folders.
+
+    With ``rules`` (``ignore.rules_of`` the scanned tree) files that they ignore don't count.
+    """
+    paths = paths.withColumn(path_col, F.ltrim(F.col(path_col), F.lit("/")))
+    paths = paths if rules is None else ignore.without_ignored(paths, rules, path_col)
+    up = paths.select(F.posexplode(ancestors(path_col)).alias("p", "folder")).filter(F.col("p") < TREE_DEPTH)
     folders = up.groupBy("folder").agg((F.first("p") + 1).alias("depth"), F.count("*").alias("files"))
     counts = folders.groupBy("depth").agg(F.count("*").alias("n"))
     fits = counts.alias("a").join(counts.alias("b"), F.col("b.depth") <= F.col("a.depth")).groupBy("a.depth").agg(F.sum("b.n").alias("n")).filter(F.col("n") <= TREE_FOLDERS).agg(F.coalesce(F.max("depth"), F.lit(1)).alias("most"))

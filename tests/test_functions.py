@@ -8,8 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lattica.functions import ignore
 from lattica.functions import paths as P
 from lattica.functions import text as X
+from lattica.operators import maintenance
 
 
 def one(spark, column, **values):
@@ -84,8 +86,6 @@ def test_paths(spark):
     assert one(spark, P.relative_to(F.lit("/a/b/c"), F.lit("/a"))) == "b/c"
     assert [one(spark, P.language(F.lit(p))) for p in ("x/Dockerfile", "A.PY", "b.unknown")] == ["dockerfile", "python", None]
     assert one(spark, P.ignored_file(F.lit("a/b.min.js"))) and one(spark, P.ignored_dir(F.lit("a/node_modules/b.js"))) and not one(spark, P.ignored_dir(F.lit("a/node_modules")))
-    rx = P.gitignore(["*.log", "/top", "deep/", "# no"])
-    assert [one(spark, F.lit(p).rlike(rx)) for p in ("a/x.log", "top/a", "b/top/a", "x/deep/y", "ok.py")] == [True, True, False, True, False]
     assert one(spark, P.is_text(F.lit(bytearray(b"ab\x10\x0fcd")))) and not one(spark, P.is_text(F.lit(bytearray(b"ab\x00"))))
     assert one(spark, P.decode(F.lit(bytearray("é".encode())))) == "é" == one(spark, P.decode(F.lit(bytearray("é".encode("latin-1")))))
     assert one(spark, P.valid_url(F.lit("https://x.org/a"))) and not one(spark, P.valid_url(F.lit("x.org")))
@@ -111,3 +111,31 @@ def test_signature(spark):
 def test_chunks_cover_the_lines(n, size, threshold):
     spans = brute_chunks(n, size, threshold)
     assert [x for a, b in spans for x in range(a, b + 1)] == list(range(1, n + 1))
+
+
+RULES = ["# no", "", "*.log", "!keep.log", "/top", "deep/", "docs/**/x.md", "a/b", "**/gen", "out/**", "!out/kept", "t?.[!a]b", "\\#odd", "sp\\ ", "[x", "tmp/", "!tmp/saved"]
+CASES = {
+    "a/x.log": True, "keep.log": False, "q/keep.log": False, "top": True, "top/a": True, "b/top/a": False, "x/deep/y": True, "x/deep": False, "docs/x.md": True, "docs/a/b/x.md": True,
+    "z/docs/x.md": False, "a/b": True, "z/a/b": False, "gen/c": True, "q/r/gen": True, "out": False, "out/p": True, "out/kept": False, "out/p/kept": True, "t1.cb": True, "t1.ab": False,
+    "t/.cb": False, "#odd": True, "sp ": True, "sp": False, "[x": True, "tmp/saved": True, "ok.py": False, "a\nb.log": True,
+}
+
+
+def test_ignore_rules(spark):
+    """The last rule that matches decides, and nothing below an ignored folder comes back."""
+    df = spark.createDataFrame([(p,) for p in [*CASES, None]], "p string").withColumn("i", ignore.ignored("p", RULES))
+    assert {r["p"]: r["i"] for r in df.collect()} == {**CASES, None: None}
+    assert {r[0] for r in df.select(ignore.ignored("p", [])).collect()} == {False, None}
+
+
+def test_ignore_files_of_a_tree(spark):
+    """An inner file has the last word for what is below it; its rules start at its folder."""
+    rows = [(".gitignore", "*.log\nbuild/\n"), ("a/.gitignore", "!keep.log\r\n/only\n"), ("e/.gitignore", ""), ("n/.gitignore", None)]
+    kept = ["a/keep.log", "a/b/keep.log", "a/b/only", "only", "c.py", "e/f", "n/f", None]
+    gone = ["keep.log", "x/keep.log", "a/only", "a/only/x", "build/c", "a/build/keep.log", "a/z.log"]
+    files = spark.createDataFrame(rows + [(p, "") for p in kept + gone], "file_path string, content string")
+    rules = ignore.rules_of(files)
+    assert {r[0] for r in ignore.without_ignored(files, rules).collect()} == {*kept, *(r[0] for r in rows)}
+    tree = maintenance.workspace_tree(files.filter("file_path IS NOT NULL"), rules=rules)
+    assert {(r["folder"], r["files"]) for r in tree.collect()} == {("a/", 4), ("a/b/", 2), ("e/", 2), ("n/", 2)}
+    assert ignore.without_ignored(files, rules.limit(0)).count() == files.count()
