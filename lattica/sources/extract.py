@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lattica.functions.paths import normalise, path_suffixes
 from lattica.operators.store import with_block_ids
+from lattica.sources.lexer import Code
 
 #: Functions above this many lines get their nested functions as children, and references in their text (fixed value).
 LARGE = 300
@@ -99,23 +100,26 @@ def python_blocks(text: str) -> list[dict]:
     return out
 
 
-def _blanked(text: str) -> str:
-    """Same length, with comments and the insides of strings as blanks, so braces can be counted."""
-    return re.sub(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", lambda m: "".join(c if c == "\n" else m[0][0] if k in (0, len(m[0]) - 1) and m[0][0] in "'\"`" else " " for k, c in enumerate(m[0])), text, flags=re.S)
-
-
 _ID = r"[A-Za-z_$][\w$]*"
+_START = r"(?:^|(?<=[;{}]))[ \t]*"
 _TS = (
-    ("class", re.compile(rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+({_ID})", re.M)),
-    ("interface", re.compile(rf"^[ \t]*(?:export\s+)?(?:declare\s+)?interface\s+({_ID})", re.M)),
-    ("enum", re.compile(rf"^[ \t]*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+({_ID})", re.M)),
-    ("type", re.compile(rf"^[ \t]*(?:export\s+)?(?:declare\s+)?type\s+({_ID})[^=\n]*=", re.M)),
-    ("function", re.compile(rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_ID})", re.M)),
-    ("variable", re.compile(rf"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?!enum\b)({_ID}|\{{[^}}]*\}}|\[[^\]]*\])", re.M)),
-    ("import", re.compile(r"^[ \t]*import\b[^;\n]*(?:\{[^}]*\}[^;\n]*)?", re.M)),
-    ("export", re.compile(r"^[ \t]*export\b[^;\n{]*(?:\{[^}]*\}[^;\n]*)?", re.M)),
+    ("class", re.compile(rf"{_START}(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+({_ID})", re.M)),
+    ("interface", re.compile(rf"{_START}(?:export\s+)?(?:declare\s+)?interface\s+({_ID})", re.M)),
+    ("enum", re.compile(rf"{_START}(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+({_ID})", re.M)),
+    ("type", re.compile(rf"{_START}(?:export\s+)?(?:declare\s+)?type\s+({_ID})[^=\n]*=", re.M)),
+    ("function", re.compile(rf"{_START}(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_ID})", re.M)),
+    ("variable", re.compile(rf"{_START}(?:export\s+)?(?:const|let|var)\s+(?!enum\b)({_ID}|\{{[^}}]*\}}|\[[^\]]*\])", re.M)),
+    ("import", re.compile(_START + r"import\b[^;\n]*(?:\{[^}]*\}[^;\n]*)?", re.M)),
+    ("export", re.compile(_START + r"export\b[^;\n{]*(?:\{[^}]*\}[^;\n]*)?", re.M)),
 )
-_METHOD = re.compile(rf"^[ \t]*(?:(?:public|private|protected|static|readonly|async|override|abstract|get|set)\s+)*\*?({_ID})\s*(?:<[^>]*>)?\s*(\(|[:=?!])", re.M)
+_PARAMS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_DECORATORS = re.compile(rf"(?:@{_ID}(?:\.{_ID})*(?:\s*{_PARAMS})?\s*)*")
+_METHOD = re.compile(rf"(?:(?:public|private|protected|static|readonly|async|override|abstract|accessor|declare|get|set)\s+)*\*?\s*(#?{_ID}|\[[^\]:\n]*\])\s*[?!]?\s*(?:<[^>(]*>)?\s*(\()?")
+_ARROW_VALUE = re.compile(rf"\s*(?:async\b\s*)?(?:<[^=()]*>\s*)?(?:{_PARAMS}\s*(?::[^=;{{}}]*)?|{_ID}\s*)=>\s*")
+_GENERIC = re.compile(r"<[\w\s$.,\[\]|&'\"<>]*>\s*\(")
+#: Brackets, ends and line breaks with the blanks around them (one match for a run of blanks).
+_PIECE = re.compile(r"[\[{(]|[\]})]|=>|[=!<>]=+|[=:,;<>]|(?<!\s)\s*\n\s*")
+_GOES_ON = re.compile(r"[.?:&|+*/,=<>){\]%^-]|(?:as|in|instanceof|satisfies)\b")
 _WORDS = {"if", "for", "while", "switch", "return", "catch", "function", "constructor_", "new", "throw", "else", "do", "try", "await", "typeof", "case"}
 
 
@@ -137,20 +141,116 @@ def _close(blank: str, at: int) -> int:
     return len(blank)
 
 
+def _breaks(blank: str, m: re.Match) -> bool:
+    """A line break ends a statement unless one of its sides wants more."""
+    before = blank[max(m.start() - 2, 0) : m.start()]
+    return before in ("++", "--") or not (before.endswith(tuple("=,(|&+-*/?:<.")) or before == "=>" or _GOES_ON.match(blank, m.end()))
+
+
+def _statement_end(blank: str, at: int) -> int:
+    """End of a declaration: its semicolon, else a line break outside of brackets that ends it."""
+    depth = 0
+    for m in _PIECE.finditer(blank, at):
+        if m[0] in ("[", "{", "("):
+            depth += 1
+        elif m[0] in ("]", "}", ")"):
+            depth -= 1
+            if depth < 0:
+                return m.start()
+        elif depth == 0 and m[0] == ";":
+            return m.end()
+        elif depth == 0 and "\n" in m[0] and _breaks(blank, m):
+            return m.start()
+    return len(blank)
+
+
+def _declarators(blank: str, at: int, end: int) -> list[tuple[int, int, int | None]]:
+    """(start, end, place of the equals sign) of each 'name: type = value' of a declaration, apart at commas outside of brackets and type arguments."""
+    out: list[tuple[int, int, int | None]] = []
+    depth, typed, value, skip = 0, False, None, at
+    for m in _PIECE.finditer(blank, at, end):
+        c = m[0]
+        if m.start() < skip:
+            continue
+        if c in ("[", "{", "(") or c == "<" and typed:
+            depth += 1
+        elif c in ("]", "}", ")") or c == ">" and typed and depth:
+            depth -= 1
+        elif c == "<" and (g := _GENERIC.match(blank, m.start(), end)):
+            skip = g.end() - 1
+        elif depth == 0 and c == ":" and value is None:
+            typed = True
+        elif depth == 0 and c == "=" and value is None:
+            typed, value = False, m.start()
+        elif depth == 0 and c == ",":
+            out.append((at, m.start(), value))
+            at, typed, value = m.end(), False, None
+    out.append((at, end, value))
+    return [(s + len(blank[s:e]) - len(blank[s:e].lstrip()), e, v) for s, e, v in out]
+
+
+def _members(blank: str, at: int, end: int) -> list[tuple[int, int, int | None]]:
+    """(start, end, place of the equals sign) of each member of a class body; decorators belong to what follows them."""
+    out: list[tuple[int, int, int | None]] = []
+    depth, value = 0, None
+
+    def close(b: int) -> None:
+        nonlocal at, value
+        s = at + len(blank[at:b]) - len(blank[at:b].lstrip())
+        if s < b:
+            out.append((s, b, value))
+        at, value = b, None
+
+    for m in _PIECE.finditer(blank, at, end):
+        c = m[0]
+        if c in ("[", "{", "("):
+            depth += 1
+        elif c in ("]", "}", ")"):
+            depth -= 1
+            if depth == 0 and c == "}" and value is None and not re.compile(r"\s*[{|&\[=;]").match(blank, m.end(), end):
+                close(m.end())
+        elif depth == 0 and c == "=" and value is None:
+            value = m.start()
+        elif depth == 0 and c == ";":
+            close(m.end())
+        elif depth == 0 and "\n" in c and _breaks(blank, m) and not _DECORATORS.fullmatch(blank[at : m.start()].lstrip()):
+            close(m.start())
+    close(end)
+    return out
+
+
+def _target_end(blank: str, at: int) -> int:
+    """End of the name or pattern that begins at ``at``."""
+    if blank[at : at + 1] not in ("{", "["):
+        return m.end() if (m := re.compile(_ID).match(blank, at)) else at
+    depth = 0
+    for m in re.compile(r"[\[{(]|[\]})]").finditer(blank, at):
+        depth += 1 if m[0] in "[{(" else -1
+        if depth == 0:
+            return m.end()
+    return len(blank)
+
+
 def pattern_names(pattern: str) -> list[str]:
     """Names that a destructuring pattern binds, in order."""
     if pattern[:1] not in "{[":
         return [pattern]
-    out = []
-    for part in re.split(r",(?![^{\[]*[}\]])", pattern[1:-1]):
-        part = re.sub(r"=.*", "", part, flags=re.S).strip().removeprefix("...")
-        if pattern[0] == "{" and ":" in part:
-            part = part.split(":", 1)[1].strip()
-        out += pattern_names(part) if part else []
+    out, parts, depth, at = [], [], 0, 1
+    for m in re.finditer(r"[\[{(]|[\]})]|,", pattern):
+        depth += (m[0] in "[{(") - (m[0] in "]})")
+        if m[0] == "," and depth == 1 or depth == 0:
+            parts.append(pattern[at : m.start()].strip())
+            at = m.end()
+    for part in parts:
+        if pattern[0] == "{":
+            part = re.sub(r"^[^:={\[]*:\s*", "", part)
+        part = part.removeprefix("...").lstrip()
+        target = part[: _target_end(part, 0)]
+        out += pattern_names(target) if target else []
     return out
 
 
-_PARAMS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+
 _ARROW = re.compile(rf"(?:\b({_ID})\s*(?::[^=;\n]*)?[=:]\s*)?(?:\basync\s*)?(?:{_PARAMS}\s*(?::[^=;{{}}\n]*)?|\b{_ID}\s*)=>\s*")
 _INNER = re.compile(rf"(?:\basync\s+)?\bfunction\b\s*\*?\s*({_ID})?\s*(?:<[^>]*>)?\s*{_PARAMS}[^{{;]*\{{")
 _MEMBER = re.compile(rf"(?:^|[{{}},;])\s*((?:(?:public|private|protected|static|override|async|get|set)\s+)*\*?({_ID})\s*(?:<[^>]*>)?\s*{_PARAMS}\s*(?::[^;{{}}=]*)?\{{)", re.M)
@@ -193,7 +293,8 @@ def typescript_blocks(text: str) -> list[dict]:
     Of a large function or method the functions inside become children, and their bodies references in its text;
     arrows without braces stay in the text.
     """
-    blank = _blanked(text)
+    lexed = Code(text)
+    blank = lexed.blank
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     import bisect
 
@@ -202,7 +303,7 @@ def typescript_blocks(text: str) -> list[dict]:
         return i + 1, j + 1, a - starts[i] + 1, b - starts[j] + 1
 
     out: list[dict] = []
-    inside: list[tuple[int, int]] = []
+    inside = bytearray(len(text))
     is_large = lambda a, b: (p := pos(a, b))[1] - p[0] + 1 > LARGE
 
     def function(name: str, a: int, b: int, after: int, parent: int | None = None) -> None:
@@ -222,19 +323,20 @@ def typescript_blocks(text: str) -> list[dict]:
                 cut, shown = e, (s, e)
         out[at]["content"] = "".join([*parts, text[cut:b]])
 
-    arrow_of = lambda a, b: re.match(r"[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]*)?=>", blank[a:b])
+    def hide(a: int, b: int) -> None:
+        """Functions that begin between two places are told by what holds them."""
+        inside[a + 1 : b] = b"\1" * (b - a - 1)
+
     for m in _TS[5][1].finditer(blank):
         a = m.start() + len(m[0]) - len(m[0].lstrip())
-        b = _close(blank, a)
-        if blank.count("{", 0, a) == blank.count("}", 0, a) and is_large(a, b) and arrow_of(a, b):
-            inside.append((a, b))
+        if lexed.depth(a) == 0 and is_large(a, b := _statement_end(blank, a)) and any(v and _ARROW_VALUE.match(blank, v + 1, e) for _, e, v in _declarators(blank, m.start(1), b)):
+            hide(a, b)
     for kind, rx in _TS:
         for m in rx.finditer(blank):
             a = m.start() + len(m[0]) - len(m[0].lstrip())
-            depth = blank.count("{", 0, a) - blank.count("}", 0, a)
-            if kind in ("variable", "import", "export") and depth > 0:
+            if kind in ("variable", "import", "export") and lexed.depth(a) > 0:
                 continue
-            b = m.end() if kind in ("import", "export") else _close(blank, a)
+            b = m.end() if kind in ("import", "export") else _statement_end(blank, m.start(1)) if kind == "variable" else _close(blank, a)
             if kind == "import":
                 names = re.findall(_ID, re.sub(r"\bfrom\b.*|\bimport\b|\btype\b|\bas\b", " ", text[a:b], flags=re.S)) or [text[a:b].split()[-1].strip("'\";")]
                 out.append(_block("import", ", ".join(names), text[a:b], pos(a, b)))
@@ -242,36 +344,39 @@ def typescript_blocks(text: str) -> list[dict]:
                 names = re.findall(_ID, re.sub(r"\b(?:export|default|const|let|var|function|class|interface|enum|type|async|abstract|declare|from|as)\b|[=(<:].*", " ", blank[a:b], flags=re.S))
                 out.append(_block("export", ", ".join(names) or "default", text[a:b], pos(a, b)))
             elif kind == "variable":
-                arrow = arrow_of(a, b)
-                for name in pattern_names(text[m.start(1) : m.end(1)]):
-                    if arrow:
-                        function(name, a, b, a + arrow.end())
-                    else:
-                        out.append(_block("variable", name, text[a:b], pos(a, b)))
+                for s, e, v in _declarators(blank, m.start(1), b):
+                    arrow = _ARROW_VALUE.match(blank, v + 1, e) if v else None
+                    for name in pattern_names(text[s : _target_end(blank, s)]):
+                        if arrow:
+                            function(name, a, b, arrow.end())
+                        else:
+                            out.append(_block("variable", name, text[a:b], pos(a, b)))
             elif kind == "class":
                 at = len(out)
                 out.append(_block("class", m[1], "", pos(a, b)))
-                inside.append((a, b))
+                hide(a, b)
                 body = blank.find("{", m.end())
-                for f in _METHOD.finditer(blank, body + 1, b - 1):
-                    here = blank.count("{", body, f.start()) - blank.count("}", body, f.start())
-                    if here == 1 and f[1] not in _WORDS:
-                        s = f.start() + len(f[0]) - len(f[0].lstrip())
-                        e = min(_close(blank, s), b - 1)
-                        if f[2] == "(":
-                            function(f[1], s, e, f.end(), at)
-                        else:
-                            out.append(_block("variable", f[1], text[s:e], pos(s, e), at))
-            elif kind == "function" and any(x < a < y for x, y in inside):
+                for s, e, v in _members(blank, body + 1, b - 1):
+                    bare = _DECORATORS.match(blank, s, e).end()
+                    f = _METHOD.match(blank, bare, e)
+                    if f is None or f[1] in _WORDS or f[1] == "static":
+                        continue
+                    if f[2] and (v is None or f.end() <= v):
+                        function(f[1], bare, e, f.end(), at)
+                    elif v and re.compile(r"=>|\bfunction\b").search(blank, v + 1, e):
+                        function(f[1], s, e, v + 1, at)
+                    else:
+                        out.append(_block("variable", text[slice(*f.span(1))], text[s:e], pos(s, e), at))
+            elif kind == "function" and inside[a]:
                 continue
             elif kind == "function":
                 function(m[1], a, b, m.end())
                 if is_large(a, b):
-                    inside.append((a, b))
+                    hide(a, b)
             else:
                 out.append(_block(kind, m[1], text[a:b], pos(a, b)))
     for m in re.finditer(r"\b(?:require|import)\s*\(\s*(['\"])", blank):
-        end = text.find(text[m.start(1)], m.end())
+        end = blank.find(m[1], m.end())
         out.append(_block("import", text[m.end() : end], text[m.start() : end + 2], pos(m.start(), end + 2)))
     return out
 
@@ -339,13 +444,35 @@ def python_imports(text: str) -> list[dict]:
     return out
 
 
+_QUOTED = r"(?P<q>['\"])(?P<module>\s*)(?P=q)"
+_FROM = re.compile(rf"\b(?:import|export)\b(?P<clause>(?:(?!\b(?:import|export|from)\b)[\w$\s,{{}}*])*)\bfrom\s*{_QUOTED}|\bimport\s*{_QUOTED.replace('<q>', '<r>').replace('=q', '=r').replace('<module>', '<side>')}")
+_CALLED = re.compile(rf"\b(?:require|import)\s*\(\s*{_QUOTED}")
+
+
 def typescript_imports(text: str) -> list[dict]:
-    blank = re.sub(r"//[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
+    """Imports, re-exports and require calls of the code, in order; what strings and comments say is none."""
+    blank = Code(text).blank
+    found = []
+    for m in _FROM.finditer(blank):
+        at = m.span("module") if m["q"] else m.span("side")
+        found.append((m.start(), m.end(), m["clause"] or "", text[slice(*at)]))
+    last = 0
+    for m in _CALLED.finditer(blank):
+        left = re.sub(r"\bawait$", "", blank[last : m.start()].rstrip()).rstrip()
+        start, clause = m.start(), ""
+        if left.endswith("="):
+            left = left[:-1].rstrip()
+            k = left.rfind("{") if left.endswith("}") else len(left) - len(re.match(r"[\w$]*", left[::-1])[0])
+            clause = left[k:]
+            start = last + k
+            if d := re.search(r"\b(?:const|let|var)\s+$", blank[max(last, start - 16) : start]):
+                start -= len(d[0])
+        found.append((start, m.end(), clause, text[slice(*m.span("module"))]))
+        last = m.end()
     out = []
-    for m in re.finditer(r"(?:import|export)\s+([^'\";]*?)\s*from\s*['\"]([^'\"]+)['\"]|import\s*['\"]([^'\"]+)['\"]|(?:const|let|var)?\s*([\w${},\s]*?)=?\s*(?:await\s+)?(?:require|import)\s*\(\s*['\"]([^'\"]+)['\"]", blank):
-        clause, module = m[1] or m[4] or "", m[2] or m[3] or m[5]
+    for a, b, clause, module in sorted(found):
         names = [x for x in re.findall(_ID, clause) if x not in ("as", "type", "const", "let", "var", "from")]
-        out.append({"module": module, "symbols": names, "level": 1 if module.startswith(".") else 0, "content": m[0].strip()})
+        out.append({"module": module, "symbols": names, "level": 1 if module.startswith(".") else 0, "content": text[a:b]})
     return out
 
 

@@ -879,3 +879,74 @@ def test_an_increment_is_one_commit(spark, tmp_path):
     assert maintenance.apply_increment(s, maintenance.index_directory(spark, str(tmp_path / "p"), 1)["files"]) == 2
     assert [r["name"] for r in s.read("code_blocks").collect()] == ["two"] and s.read("files").count() == 1
     assert [r["name"] for r in s.read("code_blocks", 1).collect()] == ["one"]
+
+
+TS_HARD = r"""const brace = /[{]/g;
+const nested = `${b ? `{` : '' }` , tail = `a ${ {x: 1}.x } } {`;
+let a = 1, b = 2, c: Map<string, number> = new Map<string, number>(), d = a < b, e = [1, { f: 2 }];
+const { p: { q, r = 1 }, ...s } = make<A, B>(1), last = a / b / 2;
+const half = total / 2; const text = "import x from 'not'"; // import y from './no'
+const say = <div>don't {half} </div>;
+const chain = items
+  .map(x => x + 1)
+  .filter(Boolean)
+const obj = {
+  k: 1,
+}
+@Component({ selector: 'app', f: (x) => { return 1; } })
+export class Box<T> extends Base {
+  @Input() name: string = 'n';
+  @Input({ alias: 'w' })
+  width = 3
+  #secret = 1;
+  private readonly list: { id: number }[] = [];
+  ['computed'] = 2;
+  onClick = (e) => { this.#secret++; };
+  static { init(); }
+  constructor(private http: Http) { super(); }
+  @HostListener('click', ['$event'])
+  handle(e = { a: 1 }): { ok: boolean } { return { ok: /}/.test(e) }; }
+  get size() { return 1 }
+  abstract area(): number;
+  async *walk<U>(x: U): AsyncGenerator<U> { yield x }
+  end
+}
+function after() { return `}`; }
+var regexAfterReturn = function () { return /"/.test(x); }, z = 1;
+"""
+
+
+def test_typescript_lexer():
+    """Braces and quotes in regexes, templates and tags are no code; every declarator and member is told."""
+    out = extract.typescript_blocks(TS_HARD)
+    names = lambda kind, top=True: [b["name"] for b in out if b["type"] == kind and (b["parent_ordinal"] is None) == top]
+    assert names("variable") == ["brace", "nested", "tail", "a", "b", "c", "d", "e", "q", "r", "s", "last", "half", "text", "say", "chain", "obj", "regexAfterReturn", "z"]
+    assert names("variable", False) == ["name", "width", "#secret", "list", "['computed']", "end"]
+    assert names("function", False) == ["onClick", "constructor", "handle", "size", "area", "walk"] and names("function") == ["after"]
+    assert names("class") == ["Box"] and names("import") == []
+    by = {b["name"]: b["content"] for b in out}
+    assert by["chain"].endswith(".filter(Boolean)") and by["obj"].endswith("}") and by["a"] == by["e"] and by["s"].endswith("/ 2;")
+    assert by["handle"].startswith("handle(e") and by["handle"].endswith("}; }") and by["width"] == "@Input({ alias: 'w' })\n  width = 3"
+    assert extract.typescript_imports(TS_HARD) == []
+
+
+def test_typescript_import_forms():
+    text = "import a, { b as c } from './m'\nexport { d }\nimport type { E } from \"e\"\nimport './side';\nconst { f, g } = require('fs');\nh = await import('./dyn')\nexport * from './all';\ns = `${require('t')}`; // import z from 'no'\n"
+    got = [(i["module"], i["symbols"], i["level"]) for i in extract.typescript_imports(text)]
+    assert got == [("./m", ["a", "b", "c"], 1), ("e", ["E"], 0), ("./side", [], 1), ("fs", ["f", "g"], 0), ("./dyn", ["h"], 1), ("./all", [], 1), ("t", [], 0)]
+    assert extract.typescript_imports(text)[3]["content"].startswith("const { f, g } = require('fs'")
+
+
+def test_typescript_time_is_linear():
+    """Twice the text, about twice the time; long comments, unions and runs of blanks included."""
+    import time
+
+    unit = "export class K {\n  a = 1;\n  m(x) { if (x) { return `${x}`; } }\n}\nconst v = [1, 2]\nexport /* " + "c" * 300 + " */ type U =\n  | 'x'\n  | 'y';\n"
+    took = []
+    for n in (500, 2000):
+        at = time.process_time()
+        assert len(extract.typescript_blocks(unit * n)) >= 4 * n
+        extract.typescript_imports(unit * n)
+        took.append(time.process_time() - at)
+    assert took[1] < 10 * max(took[0], 0.05)
+    extract.typescript_imports("export /*" + " " * 300_000 + "*/ = require('x')")
