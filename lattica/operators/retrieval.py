@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.functions.text import chunk_of_lines, col, lines, similarity
+from lattica.operators import neighbours
 
 #: Results fetched and shown on a page (fixed values).
 TOP, PAGE = 30, 15
@@ -31,43 +32,9 @@ def nearest(vectors: DataFrame, query: list[float], k: int = TOP, threshold: flo
     return near.withColumn("similarity", similarity("distance")).filter(F.col("similarity") >= threshold)
 
 
-#: Rows beyond k that are measured exactly for each block of queries and batch of vectors.
-MARGIN = 16
-
-
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = TOP, rows: int = 64) -> DataFrame:
-    """(query_id, vec_id, distance) of the k nearest vectors of each query, queries against blocks of vectors; null vectors are no rows.
-
-    Queries are dealt into blocks of ``rows``, each one row with a matrix; a block of queries meets each
-    Arrow batch of vectors in memory, and only k rows of it leave. Blocks of queries are broadcast to the
-    tasks that scan the vectors if they are few, else the vectors are scanned a group of blocks at a time.
-    """
-    vectors, queries = vectors.filter("embedding IS NOT NULL AND vec_id IS NOT NULL"), queries.filter("embedding IS NOT NULL AND vec_id IS NOT NULL")
-    total = queries.count()
-    out = None
-    for start in range(0, max(total, 1), 16_384):
-        part = queries.orderBy("vec_id").offset(start).limit(16_384).select("vec_id", "embedding").toPandas() if total else pd.DataFrame({"vec_id": [], "embedding": []})
-        ids, matrix = part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
-
-        def scan(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                v, own = np.stack(batch["embedding"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy(np.int64)
-                for a in range(0, len(ids), rows):
-                    q = matrix[a : a + rows]
-                    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0))
-                    # the expanded distance cancels digits: some more than k are taken, measured anew and ranked again
-                    best = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, : k + MARGIN]
-                    exact = np.sqrt(((q[:, None, :] - v[best]) ** 2).sum(2))
-                    order = np.lexsort((own[best], exact), axis=1)[:, :k]
-                    best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
-                    yield pd.DataFrame({"query_id": np.repeat(ids[a : a + rows], best.shape[1]), "vec_id": own[best].ravel(), "distance": exact.ravel()})
-
-        found = vectors.select("vec_id", "embedding").mapInPandas(scan, "query_id long, vec_id long, distance double")
-        out = found if out is None else out.unionAll(found)
-    by = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """(query_id, vec_id, distance, rank) of the k nearest vectors of each query, exactly; null vectors and those of another width are no rows."""
+    return neighbours.Index(vectors).search(queries, k)
 
 
 #: Lines up to which a hit is shown whole (fixed value).

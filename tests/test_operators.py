@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattica.functions import paths as P
-from lattica.operators import changes, delivery, diffs, graph, intervals, maintenance, memory, packing, retrieval, snippets, store
+from lattica.operators import changes, delivery, diffs, graph, intervals, maintenance, memory, neighbours, packing, retrieval, snippets, store
 from lattica.sources import extract, files
 from lattica.streaming import changelog
 
@@ -183,6 +183,33 @@ def test_null_vectors_are_no_rows(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in retrieval.nearest_many(df, df, k=5).collect()) == [(1, 1), (1, 3), (3, 1), (3, 3)]
 
 
+@pytest.mark.parametrize("kind", ["clusters", "ties", "one"])
+def test_nearest_of_many_is_exact(spark, kind, monkeypatch):
+    """Equal to brute force, with rings left out, with blocks split, and when most vectors are copies."""
+    monkeypatch.setattr(neighbours, "ROWS", 64)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 40
+    v = {"clusters": centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6)), "ties": np.where(rng.random((900, 1)) < 0.7, 1e6 + np.ones(6), 1e6 + rng.integers(0, 3, (900, 6))), "one": np.ones((3, 6))}[kind]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, [1.0, 2.0]), (9998, None), (9997, [])], "vec_id long, embedding array<double>")
+    index = neighbours.Index(df)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in index.search(df.filter("vec_id % 7 = 0"), 5).collect()}
+    want = {}
+    for i in range(0, len(v), 7):
+        d = np.sqrt(((v[i] - v) ** 2).sum(1))
+        want.update({(i, r + 1): (int(j), d[j]) for r, j in enumerate(np.lexsort((np.arange(len(v)), d))[:5])})
+    assert got == want
+    if kind == "clusters":
+        q = df.filter("vec_id % 7 = 0").selectExpr("vec_id AS id", "embedding AS v", "double(10) AS top")
+        met = index._wanted(q, 5, True).selectExpr("size(queries) AS n").agg(F.sum("n")).first()[0]
+        assert met < 0.5 * 129 * index.blocks.count()
+
+
+def test_no_neighbours_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    full = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
+    assert retrieval.nearest_many(df, full).count() == 0 == retrieval.nearest_many(full, df).count()
+
+
 def test_web_results(spark):
     web = json.dumps({"web": {"results": [{"title": "t", "url": "u", "description": "d"}]}})
     image = json.dumps({"results": [{"title": "i", "source": "s", "properties": {"url": "v"}}]})
