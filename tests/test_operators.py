@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import paths as P
 from lattica.operators import changes, delivery, diffs, graph, intervals, maintenance, memory, neighbours, packing, retrieval, snippets, store
 from lattica.sources import extract, files
-from lattica.streaming import changelog
+from lattica.streaming import changelog, memory_log
 
 PY = '''import os, sys as system
 from pkg import helper
@@ -977,3 +977,94 @@ def test_typescript_time_is_linear():
         took.append(time.process_time() - at)
     assert took[1] < 10 * max(took[0], 0.05)
     extract.typescript_imports("export /*" + " " * 300_000 + "*/ = require('x')")
+
+
+def brute_memory(events):
+    """The memory of an ordered log, folded with plain dictionaries and nested trees."""
+    tasks, codes, history, n, m = {}, {}, [], 0, 0
+    for e in events:
+        op, status, c = e["op"], (e["status"] or "").lower(), codes.get(e["id"])
+        current = [t for t in tasks if tasks[t]["status"] == "current"]
+        if op == "history" and e["text"]:
+            history = (history + [(e["seq"], e["text"])])[-30:]
+        elif op == "add_task" and e["text"] and (status or "pending") in memory.STATUS:
+            n += 1
+            if not (status == "current" and current):
+                tasks[str(n)] = {"text": e["text"], "status": status or "pending"}
+        elif op == "move_task" and e["id"] in tasks and status in memory.STATUS:
+            if status == "current" and current:
+                tasks[current[0]]["status"] = "pending"
+            tasks[e["id"]]["status"] = status
+        elif op == "remove_task":
+            tasks.pop(e["id"], None)
+        elif op == "add_code" and e["file_path"] and e["text"] and None not in (e["start_line"], e["end_line"]):
+            m += 1
+            codes[str(m)] = {"file_path": e["file_path"], "start_line": e["start_line"], "end_line": e["end_line"], "text": e["text"], "is_traced": bool(e["is_traced"]), "summary": None, "needs": [], "elements": [{"id": x["id"], "name": x["name"], "type": x["type"], "parent": None} for x in e["elements"] or []]}
+        elif op == "remove_code":
+            codes.pop(e["id"], None)
+        elif c and op == "set_traced":
+            c["is_traced"] = bool(e["is_traced"])
+        elif c and op == "set_summary" and e["text"]:
+            c["summary"] = e["text"]
+        elif c and op == "add_needs_tracing" and e["elements"]:
+            c["needs"] = c["needs"] + [{"id": x["id"], "name": x["name"], "type": x["type"]} for x in e["elements"]]
+        elif c and op == "move_to_traced" and e["elements"]:
+            x = e["elements"][0]
+            there = [y["id"] for y in c["elements"]]
+            if x["id"] in there:
+                c["needs"] = [y for y in c["needs"] if not (e["source_id"] and y["id"] == e["source_id"])]
+                continue
+            c["needs"] = [y for y in c["needs"] if not (y["id"] == e["source_id"] if e["source_id"] else (y["name"], y["type"]) == (x["name"], x["type"]))]
+            path = e["path"] or []
+            roots = [y["id"] for y in c["elements"] if y["parent"] is None]
+            if path and path[0] not in roots:
+                continue
+            at = path[0] if path else None
+            for step in path[1:]:
+                kids = [y["id"] for y in c["elements"] if y["parent"] == at]
+                if kids and step in kids:
+                    at = step
+                elif kids:
+                    at = path[0]
+                    break
+            c["elements"] = c["elements"] + [{"id": x["id"], "name": x["name"], "type": x["type"], "parent": at}]
+    return {("task", k): v for k, v in tasks.items()} | {("code", k): v for k, v in codes.items()} | {("history", str(s)): {"text": t} for s, t in history}
+
+
+def test_memory_log_as_a_stream(spark, tmp_path):
+    """The stream's memories equal a plain fold of random logs, over several triggers, with a part of the log sent twice."""
+    rng = random.Random(8)
+    ops = ["history", "add_task", "move_task", "remove_task", "add_code", "add_code", "remove_code", "set_traced", "set_summary", "add_needs_tracing", "move_to_traced", "move_to_traced", "move_to_traced", "nonsense"]
+    pick = lambda *xs: rng.choice(xs)
+    log = []
+    for seq in range(1500):
+        op = rng.choice(ops)
+        elements = [{"id": f"x{rng.randint(0, 9)}", "name": pick("f", "g"), "type": pick("function", "class"), "start_line": 1, "end_line": 2, "up": None}] if rng.random() < 0.9 else None
+        top = 4 if "code" not in op and "task" in op else 6
+        log.append({
+            "memory_id": pick("a", "a", "b"), "seq": seq, "op": op, "id": pick(None, *map(str, range(1, top * 6))), "text": pick("t", "u", "", None, "v"), "status": pick("pending", "CURRENT", "completed", None, "odd"),
+            "file_path": pick("p.py", "q.ts", None, "r"), "start_line": pick(1, 5, None, 2), "end_line": pick(6, 7), "is_traced": pick(True, False, None), "elements": elements,
+            "path": pick(None, [], ["x1"], ["x1", "x2"], ["x3", "x4", "x5"], ["x2"], ["x5", "x6"]), "source_id": pick(None, "x1", "x7"),
+        })
+    df = spark.createDataFrame(log, memory_log.EVENTS).coalesce(1)
+    source, at = str(tmp_path / "log"), str(tmp_path / "out")
+    df.filter("seq < 500").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(memory_log.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    memory_log.run(stream, at)
+    df.filter("seq >= 500 AND seq < 900").write.mode("append").parquet(source)
+    df.filter("seq >= 400 AND seq < 900").write.mode("append").parquet(source)
+    df.filter("seq >= 900").write.mode("append").parquet(source)
+    out = memory_log.run(stream, at)
+    got = {(r["memory_id"], r["kind"], r["id"]): json.loads(r["value"]) for r in memory_log.latest(out).collect()}
+    want = {(m, *k): v for m in "ab" for k, v in brute_memory([e for e in log if e["memory_id"] == m]).items()}
+    assert got == want and sum(len(v.get("elements", [])) for v in want.values()) > 20
+    assert out.filter("kind = 'result'").count() == len(log)
+
+
+def test_elements_get_ids_and_keep_their_trees():
+    e = lambda name, up=None, own=None: {"id": own, "name": name, "type": "f", "start_line": 1, "end_line": 2, "up": up}
+    tree = memory_log.placed([], memory_log.flat([e("a"), e("b", 0), e("c", 1)], "p"), [])
+    assert [x["name"] for x in tree] == ["a", "b", "c"] and [x["parent"] for x in tree] == [None, tree[0]["id"], tree[1]["id"]] and len({x["id"] for x in tree}) == 3
+    new = memory_log.flat([e("d", None, "d"), e("b", 0)], "p")
+    assert [x["parent"] for x in memory_log.placed(tree, new, [tree[0]["id"], "odd"])] == [None, tree[0]["id"], tree[1]["id"], tree[0]["id"]]
+    assert memory_log.placed(tree, new, ["no root"]) == tree
