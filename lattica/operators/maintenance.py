@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import ignore
-from lattica.functions.paths import ancestors
+from lattica.functions.paths import ancestors, suffix
 from lattica.functions.text import lines, metadata_header
 from lattica.operators import changes, diffs, graph, intervals, packing, retrieval, store
 from lattica.sources import extract, files
@@ -46,7 +47,7 @@ def incremental_index(stored: dict[str, DataFrame], current: DataFrame) -> tuple
     if "vectors" in stored:
         gone = stored["code_blocks"].join(lost, "file_id", "left_semi").select(F.concat(F.lit("block_"), F.col("id").cast("string")).alias("node_id"))
         nodes = gone.unionAll(lost.select(F.concat(F.lit("file_"), F.col("file_id").cast("string")).alias("node_id")))
-        out["vectors"] = stored["vectors"].join(nodes, "node_id", "left_anti").unionByName(embed_blocks(made, fresh), allowMissingColumns=True)
+        out["vectors"] = stored["vectors"].join(nodes, "node_id", "left_anti").unionByName(embed_blocks(made, fresh).unionByName(embed_files(fresh)), allowMissingColumns=True)
     return out, diff.select(*[F.col(f"_key.{c}").alias(c) for c in key], "change")
 
 
@@ -152,6 +153,60 @@ def embed_blocks(blocks: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
+def embed_files(files: DataFrame, languages: Iterable[str] | None = None) -> DataFrame:
+    """Vectors of the whole texts of files that no extractor cuts into blocks, in chunks with a header.
+
+    ``languages`` are those with an extractor (by default the registered ones); files of none are embedded whole. Blank files have no row.
+    """
+    known = sorted(extract.EXTRACTORS if languages is None else languages)
+    whole = files.filter(~F.coalesce(F.col("language").isin(known), F.lit(False)) & F.col("content").rlike(r"\S"))
+    head = metadata_header(F.col("file_path"), F.lit("file"), F.element_at(F.split("file_path", "/"), -1), F.col("language"))
+    cut = whole.select("id", "project_id", head.alias("head"), F.posexplode(retrieval.chunks()("content")).alias("chunk_index", "c"))
+    return cut.select(
+        F.concat(F.lit("file_"), F.col("id").cast("string")).alias("node_id"), "project_id", "chunk_index",
+        F.col("c.start_line").alias("chunk_start_line"), F.col("c.end_line").alias("chunk_end_line"), retrieval.embed(F.concat_ws("\n\n", "head", "c.text")).alias("embedding"),
+    )
+
+
+def unmatched_technologies(connections: DataFrame, valid: Iterable[str]) -> DataFrame:
+    """(technology): names of connections that aren't among the valid ones, once each; null counts as Unknown."""
+    return connections.select(F.coalesce("technology_name", F.lit("Unknown")).alias("technology")).filter(~F.col("technology").isin(*valid)).distinct()
+
+
+def with_corrected_technologies(connections: DataFrame, corrections: dict[str, str]) -> DataFrame:
+    """Connections with their technology's name corrected; rows whose names become equal are all kept. A null name is corrected as Unknown is."""
+    names = F.create_map(*[F.lit(x) for pair in corrections.items() for x in pair]) if corrections else F.create_map().cast("map<string,string>")
+    return connections.withColumn("technology_name", F.coalesce(F.try_element_at(names, F.coalesce("technology_name", F.lit("Unknown"))), "technology_name"))
+
+
+def edges_by_extension(relationships: DataFrame, files: DataFrame) -> DataFrame:
+    """(source_extension, target_extension, n): import edges counted by the suffixes of both files, '' for none."""
+    ends = files.select("id", suffix("file_path").alias("extension"))
+    met = relationships.join(ends.withColumnsRenamed({"id": "source_id", "extension": "source_extension"}), "source_id").join(ends.withColumnsRenamed({"id": "target_id", "extension": "target_extension"}), "target_id")
+    return met.groupBy("source_extension", "target_extension").agg(F.count("*").alias("n"))
+
+
+def block_mappings(blocks: DataFrame, outgoing: DataFrame, incoming: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(block_id, direction, mapping_id): mappings one of whose ends shares a line with a block of its file.
+
+    Only connections with a mapping are met with blocks, by bins of lines, so neither a hot file nor an unmapped one is a product.
+    """
+    end = lambda table, own, direction: mappings.select(F.col("id").alias("mapping_id"), F.col(own).alias("c")).join(table.select(F.col("id").alias("c"), "file_id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end")), "c").withColumn("direction", F.lit(direction))
+    ends = end(outgoing, "sender_id", "outgoing").unionByName(end(incoming, "receiver_id", "incoming"))
+    return intervals.overlapping(blocks.select(F.col("id").alias("block_id"), "file_id", "start_line", "end_line"), ends).select("block_id", "direction", "mapping_id")
+
+
+def export_extraction(files: DataFrame, blocks: DataFrame, path: str, version: str = "1") -> None:
+    """Files with their blocks as JSON lines at ``path``/files, and a header of when, how many and by which version at ``path``/metadata.
+
+    The header is written last: a folder with one is complete. Blocks of a file are nested in the order of their ids.
+    """
+    own = blocks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in blocks.columns if c not in ("id", "file_id")]))).alias("blocks"))
+    store.export_json(files.join(own.withColumnRenamed("file_id", "id"), "id", "left"), f"{path}/files")
+    header = files.agg(F.current_timestamp().alias("export_timestamp"), F.count("*").alias("total_files"), F.lit(version).alias("extractor_version"))
+    store.export_json(header.coalesce(1), f"{path}/metadata")
+
+
 def search_text(vectors: DataFrame, text: str, k: int = retrieval.TOP, threshold: float = 0.0) -> DataFrame:
     """Nearest chunks of a text's vector."""
     return retrieval.nearest(vectors, retrieval.embed_texts([text])[0].tolist(), k, threshold)

@@ -513,6 +513,37 @@ def s13_workspace_tree(s: Store) -> DataFrame:
     return maintenance.workspace_tree(s["files"])
 
 
+#: Names that a connection may have, and what others are corrected to: two of them to one name (fixed values of these queries).
+VALID = ("HTTP/HTTPS", "WebSockets", "MessageQueue", "Unknown")
+CORRECTED = {"gRPC": "HTTP/HTTPS", "GraphQL": "HTTP/HTTPS", "Unknown": "MessageQueue"}
+
+
+@query("SELECT DISTINCT coalesce(technology_name, 'Unknown') AS technology FROM {outgoing_connections} WHERE coalesce(technology_name, 'Unknown') NOT IN ('HTTP/HTTPS', 'WebSockets', 'MessageQueue', 'Unknown')")
+def p19_names_to_correct(s: Store) -> DataFrame:
+    return maintenance.unmatched_technologies(s["outgoing_connections"], VALID)
+
+
+@query("SELECT id, CASE coalesce(technology_name, 'Unknown') WHEN 'gRPC' THEN 'HTTP/HTTPS' WHEN 'GraphQL' THEN 'HTTP/HTTPS' WHEN 'Unknown' THEN 'MessageQueue' ELSE technology_name END AS technology_name FROM {outgoing_connections}")
+def f29_corrected_names(s: Store) -> DataFrame:
+    return maintenance.with_corrected_technologies(s["outgoing_connections"], CORRECTED).select("id", "technology_name")
+
+
+@query(
+    """WITH f AS (SELECT id, lower(regexp_extract(file_path, '[^/](\\.[^./]*)$', 1)) AS x FROM {files})
+    SELECT s.x AS source_extension, t.x AS target_extension, count(*) AS n FROM {relationships} r JOIN f s ON r.source_id = s.id JOIN f t ON r.target_id = t.id GROUP BY s.x, t.x"""
+)
+def a20_edges_by_extension(s: Store) -> DataFrame:
+    return maintenance.edges_by_extension(s["relationships"], s["files"])
+
+
+@query(
+    """SELECT b.id AS block_id, 'outgoing' AS direction, m.id AS mapping_id FROM {connection_mappings} m JOIN {outgoing_connections} o ON o.id = m.sender_id JOIN {code_blocks} b ON b.file_id = o.file_id AND b.start_line <= o.end_line AND o.start_line <= b.end_line
+    UNION ALL SELECT b.id, 'incoming', m.id FROM {connection_mappings} m JOIN {incoming_connections} i ON i.id = m.receiver_id JOIN {code_blocks} b ON b.file_id = i.file_id AND b.start_line <= i.end_line AND i.start_line <= b.end_line"""
+)
+def r6_block_mappings(s: Store) -> DataFrame:
+    return maintenance.block_mappings(s["code_blocks"], s["outgoing_connections"], s["incoming_connections"], s["connection_mappings"])
+
+
 @query(
     r"""WITH RECURSIVE l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE contains(lower(text), 'license')),
     m AS (SELECT id, line_no, max(contains(lower(line), 'license')) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS near FROM l),

@@ -1068,3 +1068,26 @@ def test_elements_get_ids_and_keep_their_trees():
     new = memory_log.flat([e("d", None, "d"), e("b", 0)], "p")
     assert [x["parent"] for x in memory_log.placed(tree, new, [tree[0]["id"], "odd"])] == [None, tree[0]["id"], tree[1]["id"], tree[0]["id"]]
     assert memory_log.placed(tree, new, ["no root"]) == tree
+
+
+def test_files_without_an_extractor_are_embedded_whole(spark):
+    rows = [(1, 7, "a/x.md", "markdown", "one\ntwo"), (2, 7, "a/y.py", "python", "x = 1"), (3, 8, "a/z", None, "z"), (4, 8, "a/e", None, " \n"), (5, 8, "a/n.md", "markdown", None)]
+    out = maintenance.embed_files(spark.createDataFrame(rows, "id long, project_id long, file_path string, language string, content string")).collect()
+    assert [(r["node_id"], r["chunk_index"], r["chunk_start_line"], r["chunk_end_line"]) for r in sorted(out, key=lambda r: r["node_id"])] == [("file_1", 0, 1, 2), ("file_3", 0, 1, 1)]
+
+
+def test_names_corrected_to_one_keep_all_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "id long, technology_name string")
+    got = maintenance.with_corrected_technologies(df, {"a": "c", "b": "c", "Unknown": "d"})
+    assert sorted(map(tuple, got.collect())) == [(1, "c"), (2, "c"), (3, "d"), (4, "c")]
+    assert maintenance.with_corrected_technologies(df, {}).exceptAll(df).count() == 0
+    assert sorted(r[0] for r in maintenance.unmatched_technologies(df, ["a", "Unknown"]).collect()) == ["b", "c"]
+
+
+def test_extraction_export_has_a_header(spark, tmp_path):
+    files_ = spark.createDataFrame([(1, "a.py"), (2, "b.py")], "id long, file_path string")
+    blocks = spark.createDataFrame([(11, 1, "g"), (10, 1, "f")], "id long, file_id long, name string")
+    maintenance.export_extraction(files_, blocks, str(tmp_path / "x"), "7")
+    head = spark.read.json(str(tmp_path / "x/metadata")).first()
+    assert (head["total_files"], head["extractor_version"]) == (2, "7") and head["export_timestamp"]
+    assert {r["id"]: [b["name"] for b in r["blocks"] or []] for r in spark.read.json(str(tmp_path / "x/files")).collect()} == {1: ["f", "g"], 2: []}
