@@ -1113,3 +1113,20 @@ def test_content_matches_of_every_cell_are_those_of_brute_force(spark, monkeypat
     # no pair is shuffled or met twice: the cells are the last step that moves rows
     plan = matches._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [sender_id" not in plan
+
+
+def test_external_connections_are_those_of_the_sql_in_cells(spark, monkeypatch):
+    from lattica.plans.named import NAMED
+    from lattica.plans.views import Store
+
+    monkeypatch.setattr(graph, "CELL_ROWS", 7)
+    files = spark.createDataFrame([(k, k % 2, f"/f{k}", "py") for k in range(6)] + [(3, 9, "/again", "ts")], "id long, project_id long, file_path string, language string")
+    side = lambda rows: spark.createDataFrame([(i, f, t, d) for i, (f, t, d) in rows], "id long, file_id long, technology_name string, description string")
+    into = side([(k, (0, "a", f"in{k}")) for k in range(40)] + [(50, (1, None, None)), (51, (3, "b", "x")), (None, (0, None, None)), (None, (4, "n", "n")), (52, (None, "a", "y")), (53, (99, "a", "z"))])
+    out = side([(k, (0, "c" if k % 2 else None, f"out{k}")) for k in range(30)] + [(60, (1, "d", "out")), (61, (2, "e", "alone")), (62, (3, None, None)), (None, (5, "n", "n"))])
+    columns = ["project_id", "file_path", "language", "technology", "description", "direction", "incoming_id", "outgoing_id"]
+    rows = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    got = graph.external_connections(files, into, out)
+    assert rows(got) == rows(Store(spark, "").sql(NAMED["j11_external_connections"], files=files, incoming_connections=into, outgoing_connections=out))
+    # the one hot file is dealt over tasks, instead of being one task's product
+    assert got.filter("file_path = '/f0'").select(F.spark_partition_id()).distinct().count() > 2
