@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,6 +115,8 @@ def chunk_text(text: str | None, max_tokens: int = 240, overlap: int = 30, metad
     if not text or not text.strip():
         return []
     rows, head = text.splitlines(keepends=True), f"{metadata}\n\n" if metadata else ""
+    if len(rows) == 1:
+        return [{"text": head + text, "start": 0, "end": len(text), "start_line": 1, "end_line": 1, "token_count": count_tokens(head + text)}]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).tolist()
     out, at, carried = [], 0, ""
     while at < len(rows):
@@ -142,19 +145,33 @@ def chunks(max_tokens: int = 240, overlap: int = 30):
     return run
 
 
+class Places(dict):
+    """Memo from a word to its place among 2 * size signed ones; it starts anew when it is full."""
+
+    def __init__(self, size: int, most: int = 200_000) -> None:
+        self.size, self.most = size, most
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        place = self[word] = h % self.size + (self.size if h >> 63 else 0)
+        return place
+
+
+_places: dict[int, Places] = {}
+
+
 def embed_texts(texts: list[str | None], size: int = 64) -> np.ndarray:
     """Deterministic stand-in for a model: mean of signed hash vectors of the tokens; blank texts are zero."""
-    import xxhash
-
-    out = np.zeros((len(texts), size), np.float32)
-    for i, text in enumerate(texts):
-        words = (text or "").lower().split()
-        for w in words:
-            h = xxhash.xxh3_64_intdigest(w)
-            out[i, h % size] += 1.0 if h >> 63 else -1.0
-        if words:
-            out[i] /= len(words)
-    return out
+    words = [(text or "").lower().split() for text in texts]
+    n = np.fromiter(map(len, words), np.int64, len(texts))
+    known = _places.setdefault(size, Places(size))
+    at = np.fromiter((known[w] for own in words for w in own), np.int64, int(n.sum()))
+    counts = np.bincount(np.repeat(np.arange(len(texts)) * (2 * size), n) + at, minlength=len(texts) * 2 * size).reshape(len(texts), 2, size)
+    return ((counts[:, 1] - counts[:, 0]).astype(np.float32) / np.maximum(n, 1)[:, None].astype(np.float32)).astype(np.float32)
 
 
 def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -170,9 +187,47 @@ def embed(text: pd.Series) -> pd.Series:
 
 def embed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each chunk: node, place and vector."""
-    cut = docs.select(F.col(id_col).alias("id"), F.explode(F.transform(chunks()(F.col(text_col)), lambda c: c)).alias("c"))
-    placed = cut.select(F.concat(F.lit("file_"), F.col("id").cast("string")).alias("node_id"), "c.*")
-    return placed.select("node_id", "start_line", "end_line", "token_count", embed("text").alias("embedding"))
+    cut = embedded_chunks(docs.select(F.col(id_col).cast("string").alias("id"), F.lit(None).cast("string").alias("head"), F.col(text_col).alias("text")))
+    return cut.select(F.concat(F.lit("file_"), F.col("id")).alias("node_id"), "start_line", "end_line", "token_count", "embedding")
+
+
+#: Chunks whose vectors are made and sent on at once (fixed value).
+CHUNK_ROWS = 1024
+
+_CHUNK = "chunk_index int, start_line int, end_line int, token_count int, embedding array<float>"
+
+
+def embedded_chunks(docs: DataFrame, max_tokens: int = 240, overlap: int = 30) -> DataFrame:
+    """The chunks of ``text`` with their vectors: chunk_index, start_line, end_line, token_count, embedding and every column besides
+    ``head`` and ``text``. A vector is that of head, an empty line and chunk; a null head is left out.
+
+    Chunking and embedding are one pass in one Python worker, which sends chunks on as they are made and holds no text twice.
+    """
+    carried = [c for c in docs.columns if c not in ("head", "text")]
+    schema = T.StructType([docs.schema[c] for c in carried] + T._parse_datatype_string(_CHUNK).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, found: list[tuple], texts: list[str]) -> pa.RecordBatch:
+            row, index, start, end, tokens = (np.fromiter(c, np.int32, len(found)) for c in zip(*found, strict=True))
+            vectors = embed_texts(texts)
+            lists = pa.ListArray.from_arrays(np.arange(0, vectors.size + 1, vectors.shape[1], dtype=np.int32), vectors.ravel())
+            own = [batch.column(c).take(pa.array(row)) for c in carried]
+            return pa.RecordBatch.from_arrays([*own, *map(pa.array, (index, start, end, tokens)), lists], [*carried, "chunk_index", "start_line", "end_line", "token_count", "embedding"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            texts: list[str] = []
+            for row, (head, text) in enumerate(zip(batch.column("head").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                for k, c in enumerate(chunk_text(text, max_tokens, overlap)):
+                    found.append((row, k, c["start_line"], c["end_line"], c["token_count"]))
+                    texts.append(c["text"] if head is None else f"{head}\n\n{c['text']}")
+                    if len(found) == CHUNK_ROWS:
+                        yield made(batch, found, texts)
+                        found, texts = [], []
+            if found:
+                yield made(batch, found, texts)
+
+    return docs.mapInArrow(run, schema)
 
 
 # --- keyword search

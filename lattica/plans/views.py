@@ -62,10 +62,16 @@ def used(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once, whatever the texts' lengths.
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
+
+
 class Store:
     """Tables by name: a view where one is defined, else a raw table. Each is made when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -1130,3 +1130,31 @@ def test_external_connections_are_those_of_the_sql_in_cells(spark, monkeypatch):
     assert rows(got) == rows(Store(spark, "").sql(NAMED["j11_external_connections"], files=files, incoming_connections=into, outgoing_connections=out))
     # the one hot file is dealt over tasks, instead of being one task's product
     assert got.filter("file_path = '/f0'").select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_documents_are_chunked_and_embedded_in_one_pass_in_small_batches(spark, monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 3)
+    texts = ["one line", None, " \n", "\n".join(f"Word{i} line {i % 3}" for i in range(300)), "a\nb\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = []
+    for k, t in enumerate(texts):
+        for c in retrieval.chunk_text(t):
+            v, words = [0.0] * 64, c["text"].lower().split()
+            for h in map(xxhash.xxh3_64_intdigest, words):
+                v[h % 64] += 1.0 if h >> 63 else -1.0
+            want.append((f"file_{k}", c["start_line"], c["end_line"], c["token_count"], [round(x / len(words), 5) for x in v]))
+    out = retrieval.embed_documents(docs, "doc_id", "text")
+    assert sorted((r["node_id"], r["start_line"], r["end_line"], r["token_count"], [round(x, 5) for x in r["embedding"]]) for r in out.collect()) == sorted(want) and len(want) > 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_python_steps_get_batches_of_bounded_size(spark, tmp_path):
+    from lattica.plans.views import Store
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.range(5000).selectExpr("id AS doc_id", "repeat('x', 100) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    assert Store(spark, str(tmp_path))["documents"].select(sizes("doc_id").alias("n")).agg(F.max("n")).first()[0] <= 1024
