@@ -15,6 +15,9 @@ from lattica.functions.text import best_window
 #: Lines within this distance of a replacement count as part of it (fixed value).
 ADJACENT = 3
 
+#: Annotations of a file that meet its texts in one row, about (fixed value).
+PACK = 1_000
+
 _INT = T.IntegerType()
 _RANGE = T.StructType([T.StructField(n, _INT) for n in ("old_start", "old_end", "new_start", "new_end")])
 DIFF = T.StructType().add("mapping", T.MapType(_INT, _INT)).add("added", T.ArrayType(_INT)).add("removed", T.ArrayType(_INT)).add("replaced", T.ArrayType(_RANGE))
@@ -89,28 +92,31 @@ def rebase_annotations(annotations: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, file_id, start_line, end_line, action, new_start, new_end) of annotations (id, file_id, start_line, end_line)
     through the change of their file (file_id, old, new).
 
-    Each file is diffed once; annotations join the diff by file. A shifted range whose text changed is resplit.
+    Annotations of a file are packed into lists of about PACK, and a list meets its file's texts in one row, which is diffed once; so
+    texts are neither sorted nor held once for each annotation. A shifted range whose text changed is resplit.
     """
 
-    @F.pandas_udf("struct<action:string,new_start:int,new_end:int>")
-    def run(start: pd.Series, end: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        memo: dict[tuple[str, str], dict] = {}
-        out = []
-        for s, e, a, b in zip(start, end, old, new, strict=True):
-            if (a, b) not in memo:
-                memo.clear()  # rows of a file come together
-                memo[a, b] = line_diff(a, b)
-            s, e = (None if pd.isna(x) else int(x) for x in (s, e))
-            r = rebase(s, e, memo[a, b])
-            if r["action"] == "shift":
-                was, now = ((t or "").splitlines() for t in (a, b))
-                if "\n".join(was[s - 1 : e]).strip() != "\n".join(now[r["new_start"] - 1 : r["new_end"]]).strip():
-                    r["action"] = "resplit"
-            out.append(r)
-        return pd.DataFrame(out, columns=["action", "new_start", "new_end"])
-
-    met = annotations.join(texts, "file_id").sortWithinPartitions("file_id")
-    return met.select("id", "file_id", "start_line", "end_line", run("start_line", "end_line", "old", "new").alias("r")).select("id", "file_id", "start_line", "end_line", "r.*")
+    @F.pandas_udf("array<struct<action:string,new_start:int,new_end:int>>")
+    def run(starts: pd.Series, ends: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+        def one(s: int | None, e: int | None, d: dict, was: list[str], now: list[str]) -> dict:
+            r = rebase(s, e, d)
+            if r["action"] == "shift" and "\n".join(was[s - 1 : e]).strip() != "\n".join(now[r["new_start"] - 1 : r["new_end"]]).strip():
+                r["action"] = "resplit"
+            return r
+
+        def listed(ss: list, es: list, a: str | None, b: str | None) -> list[dict]:
+            d, was, now = line_diff(a, b), (a or "").splitlines(), (b or "").splitlines()
+            return [one(*(None if pd.isna(x) else int(x) for x in (s, e)), d, was, now) for s, e in zip(ss, es, strict=True)]
+
+        return pd.Series([listed(*row) for row in zip(starts, ends, old, new, strict=True)])
+
+    own = ["id", "start_line", "end_line"]
+    # files of more than one list are fewer than the annotations by PACK times, so their numbers of lists are broadcast
+    many = annotations.groupBy("file_id").agg(F.ceil(F.count("*") / PACK).alias("_n")).filter("_n > 1")
+    packed = annotations.join(F.broadcast(many), "file_id", "left").groupBy("file_id", F.pmod(F.xxhash64(*own), F.coalesce("_n", F.lit(1))).alias("_p")).agg(F.collect_list(F.struct(*own)).alias("_a"))
+    met = packed.join(texts, "file_id").select("file_id", "_a", run("_a.start_line", "_a.end_line", "old", "new").alias("_r"))
+    each = met.select("file_id", F.explode(F.arrays_zip("_a", "_r")).alias("x"))
+    return each.select("x._a.id", "file_id", "x._a.start_line", "x._a.end_line", "x._r.action", "x._r.new_start", "x._r.new_end")
 
 
 def greedy_changes(old: str, new: str) -> list[dict]:
