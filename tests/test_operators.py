@@ -1158,3 +1158,53 @@ def test_python_steps_get_batches_of_bounded_size(spark, tmp_path):
     spark.range(5000).selectExpr("id AS doc_id", "repeat('x', 100) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     sizes = F.pandas_udf(lambda x: x * 0 + len(x), "long")
     assert Store(spark, str(tmp_path))["documents"].select(sizes("doc_id").alias("n")).agg(F.max("n")).first()[0] <= 1024
+
+
+def test_annotations_of_a_file_meet_its_texts_in_lists(spark, monkeypatch):
+    monkeypatch.setattr(diffs, "PACK", 4)
+    old = "\n".join(f"line {i}" for i in range(40))
+    texts = spark.createDataFrame([(1, old, "new\n" + old.replace("line 9\n", "")), (2, None, None), (3, "a\nb", "a\nc")], "file_id long, old string, new string")
+    rows = [(k, 1, k % 30 + 1, k % 30 + 4) for k in range(60)] + [(100, 2, 1, 2), (101, 3, None, 2), (102, 9, 1, 1), (None, 3, 1, 2)]
+    out = diffs.rebase_annotations(spark.createDataFrame(rows, "id long, file_id long, start_line long, end_line long"), texts)
+    got = {r["id"]: (r["action"], r["new_start"], r["new_end"]) for r in out.collect()}
+    d = diffs.line_diff(old, "new\n" + old.replace("line 9\n", ""))
+    for k, _, s, e in rows[:60]:
+        want = diffs.rebase(s, e, d)
+        assert got[k][1:] == (want["new_start"], want["new_end"]) and got[k][0] in (want["action"], "resplit")
+    assert got[100] == ("delete", None, None) and got[101] == ("keep", None, 2) and 102 not in got and None in got and len(got) == 63
+    assert " Sort [file_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_without_a_parent_are_dealt_over_tasks(spark):
+    rows = [(k, None if k < 400 else k % 400, f"b{k}", "function") for k in range(500)] + [(900, 901, "lost", "class"), (902, 902, "self", "class")]
+    blocks = spark.createDataFrame(rows, "id long, parent_block_id long, name string, type string")
+    parents = blocks.select(F.col("id").alias("pid"), F.col("name").alias("parent_name"))
+    for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}.items():
+        spark.conf.set(k, v)
+    try:
+        out = graph.with_parent(blocks, parents)
+        got = {r["id"]: r["parent_name"] for r in out.collect()}
+        largest = max(r["count"] for r in out.filter("parent_block_id IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: (None if up is None or up == 901 else f"b{up}" if up < 900 else "self") for k, up, _, _ in rows}
+    assert largest < 200
+
+
+def test_paths_alike_stay_dealt_over_tasks(spark):
+    paths = spark.range(4000).select(F.concat(F.lit("/r/p"), (F.col("id") % 3).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("path")).coalesce(1)
+    projects = spark.createDataFrame([("/r/p1/", "one"), ("/r", "all")], "path string, name string")
+    out = graph.longest_prefix(paths, projects)
+    assert {tuple(r) for r in out.groupBy("project").count().collect()} == {("one", 1333), ("all", 2667)}
+    assert out.select(F.spark_partition_id()).distinct().count() == 4
+    files = spark.createDataFrame([(1, "/a/b"), (1, "/a/b/c/d"), (1, "/a/b/e"), (2, "x"), (2, "y/z"), (3, "/q/r/s"), (4, None)], "project_id long, file_path string")
+    assert {r["project_id"]: r["directory"] for r in graph.common_path(files, "project_id").collect()} == {1: "/a", 2: "", 3: "/q/r", 4: None}
+
+
+def test_block_paths_carry_columns_and_end_at_cycles(spark):
+    rows = [(1, None, "a"), (2, 1, "b"), (3, 2, None), (4, 3, "d"), (5, 5, "self"), (6, 7, "x"), (7, 6, "y"), (8, 99, "lost")]
+    blocks = spark.createDataFrame([(*r, f"t{r[0]}") for r in rows], "id long, parent_block_id long, name string, type string")
+    got = {r["id"]: (r["ids"], r["path"], r["type"]) for r in graph.block_paths(blocks, "type").collect()}
+    assert got[4] == ([1, 2, 3, 4], "a > b", "t4") and got[3] == ([1, 2, 3], "a > b", "t3") and got[5] == ([5], "", "t5")
+    assert got[6][0] == [7, 6] and got[7][0] == [6, 7] and got[8] == ([8], "", "t8") and got[1] == ([1], "", "t1")
