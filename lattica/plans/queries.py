@@ -591,6 +591,11 @@ def a10_best_chunk_of_node(s: Store) -> DataFrame:
     return retrieval.best_per_node(near).select("node_id", "vec_id", "chunk_index")
 
 
+@query(NAMED["j2_implementation_context"])
+def j2_implementation_context(s: Store) -> DataFrame:
+    return graph.implementation_context(s["code_blocks"], s["files"])
+
+
 @query(NAMED["j11_external_connections"])
 def j11_external_connections(s: Store) -> DataFrame:
     return graph.external_connections(s["files"], s["incoming_connections"], s["outgoing_connections"])
