@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,63 +52,83 @@ def latest_extraction(spark: SparkSession, folder: str, project: str) -> str | N
 
 
 class _Text(HTMLParser):
-    """Visible text, or Markdown with headings, links, lists and emphasis."""
+    """Visible text, and if asked for, in the same pass, Markdown with headings, links, lists and emphasis."""
 
     SKIP, BREAK = {"script", "style", "noscript", "template", "nav", "footer", "head"}, {"p", "div", "br", "li", "tr", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "pre", "blockquote"}
 
     def __init__(self, markdown: bool) -> None:
         super().__init__(convert_charrefs=True)
-        self.out, self.skip, self.markdown, self.links = [], 0, markdown, []
+        self.out, self.marked, self.skip, self.markdown, self.links = [], [], 0, markdown, []
+
+    def put(self, text: str) -> None:
+        self.out.append(text)
+        if self.markdown:
+            self.marked.append(text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIP:
             self.skip += 1
         if tag in self.BREAK:
-            self.out.append("\n")
+            self.put("\n")
         if self.markdown:
             if tag[0] == "h" and tag[1:].isdigit():
-                self.out.append("#" * int(tag[1:]) + " ")
+                self.marked.append("#" * int(tag[1:]) + " ")
             elif tag == "li":
-                self.out.append("- ")
+                self.marked.append("- ")
             elif tag in ("b", "strong"):
-                self.out.append("**")
+                self.marked.append("**")
             elif tag == "a":
                 self.links.append(dict(attrs).get("href") or "")
-                self.out.append("[")
+                self.marked.append("[")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
         if self.markdown and tag in ("b", "strong"):
-            self.out.append("**")
+            self.marked.append("**")
         if self.markdown and tag == "a" and self.links:
-            self.out.append(f"]({self.links.pop()})")
+            self.marked.append(f"]({self.links.pop()})")
         if tag in self.BREAK:
-            self.out.append("\n")
+            self.put("\n")
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.out.append(data)
+            self.put(data)
 
 
-def html_text(html: str | None, markdown: bool = False) -> str | None:
+def html_forms(html: str | None, markdown: bool = True) -> tuple[str | None, str | None]:
+    """Text and Markdown of a page in one pass; without ``markdown`` the second is None."""
     if html is None:
-        return None
+        return None, None
     parser = _Text(markdown)
     parser.feed(html)
     parser.close()
-    rows = (" ".join(x.split()) for x in "".join(parser.out).split("\n"))
-    return "\n".join(x for x in rows if x)
+    tidy = lambda parts: "\n".join(y for x in "".join(parts).split("\n") if (y := " ".join(x.split())))
+    return tidy(parser.out), tidy(parser.marked) if markdown else None
+
+
+def html_text(html: str | None, markdown: bool = False) -> str | None:
+    return html_forms(html, markdown)[markdown]
+
+
+@F.arrow_udf(T.StringType())
+def page_text(html: pa.Array) -> pa.Array:
+    return pa.array((html_text(x.as_py()) for x in html), pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def page_text(html: pd.Series) -> pd.Series:
-    return html.map(html_text)
+@F.arrow_udf(T.StringType())
+def page_markdown(html: pa.Array) -> pa.Array:
+    return pa.array((html_text(x.as_py(), True) for x in html), pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def page_markdown(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: html_text(x, True))
+@F.arrow_udf(T.StructType().add("text", T.StringType()).add("markdown", T.StringType()))
+def page_forms(html: pa.Array) -> pa.Array:
+    """Text and Markdown of pages, each parsed once, one page at a time."""
+    forms = ([], [])
+    for x in html:
+        for out, form in zip(forms, html_forms(x.as_py()), strict=True):
+            out.append(form)
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()) for out in forms], ["text", "markdown"])
 
 
 RESPONSE = (

@@ -1208,3 +1208,22 @@ def test_block_paths_carry_columns_and_end_at_cycles(spark):
     got = {r["id"]: (r["ids"], r["path"], r["type"]) for r in graph.block_paths(blocks, "type").collect()}
     assert got[4] == ([1, 2, 3, 4], "a > b", "t4") and got[3] == ([1, 2, 3], "a > b", "t3") and got[5] == ([5], "", "t5")
     assert got[6][0] == [7, 6] and got[7][0] == [6, 7] and got[8] == ([8], "", "t8") and got[1] == ([1], "", "t1")
+
+
+def test_pages_are_parsed_once_for_text_and_markdown_in_batches_of_bounded_bytes(spark, tmp_path):
+    from lattica.plans.queries import QUERIES
+    from lattica.plans.views import ARROW_BYTES, Store
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    pages = ["<h1>A</h1><p>b <b>c</b> <a href='u'>d</a><script>x</script>", None, "", "<li>one</li>&amp;<a>two</a></a>", "<p>" + "y " * 60_000]
+    spark.createDataFrame([(k, pages[k % len(pages)]) for k in range(1000)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    out = QUERIES["f39_page_text"](spark, str(tmp_path))
+    got = {r["page_id"]: (r["text"], r["markdown_chars"]) for r in out.collect()}
+    marked = lambda h: None if h is None else len(files.html_text(h, True))
+    want = [(files.html_text(h), marked(h)) for h in pages]
+    assert got == {k: want[k % len(pages)] for k in range(1000)} and want[0] == ("A\nb c d", len("# A\nb **c** [d](u)"))
+    # one call of one function; a Python worker holds no more than the bytes of a batch and a page
+    calls = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in x]
+    assert len(calls) == 1 and "page_forms(" in calls[0] and "page_text(" not in calls[0]
+    held = F.pandas_udf(lambda h: h.notna() * int(h.dropna().str.len().sum()), "long")
+    assert 0 < Store(spark, str(tmp_path))["pages"].select(held("html").alias("n")).agg(F.max("n")).first()[0] <= ARROW_BYTES + 120_003
