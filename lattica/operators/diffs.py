@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import difflib
 import re
+from array import array
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +27,16 @@ _RANGE = T.StructType([T.StructField(n, _INT) for n in ("old_start", "old_end",
 DIFF = T.StructType().add("mapping", T.MapType(_INT, _INT)).add("added", T.ArrayType(_INT)).add("removed", T.ArrayType(_INT)).add("replaced", T.ArrayType(_RANGE))
 
 
+def _opcodes(old: str | None, new: str | None) -> list[tuple[str, int, int, int, int]]:
+    """The steps from one text's lines to the other's; they cover both in order."""
+    return difflib.SequenceMatcher(None, (old or "").splitlines(), (new or "").splitlines()).get_opcodes()
+
+
 def line_diff(old: str | None, new: str | None) -> dict:
     """Old line -> new line (None: gone), added and removed lines, replaced ranges; lines count from 1."""
-    a, b = (old or "").splitlines(), (new or "").splitlines()
     mapping: dict[int, int | None] = {}
     added, removed, replaced = [], [], []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
+    for tag, i1, i2, j1, j2 in _opcodes(old, new):
         if tag == "equal":
             mapping |= {i1 + k + 1: j1 + k + 1 for k in range(i2 - i1)}
         elif tag == "insert":
@@ -42,9 +50,30 @@ def line_diff(old: str | None, new: str | None) -> dict:
     return {"mapping": mapping, "added": added, "removed": removed, "replaced": replaced}
 
 
-@F.pandas_udf(DIFF)
-def diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([line_diff(a, b) for a, b in zip(old, new, strict=True)], columns=["mapping", "added", "removed", "replaced"])
+@F.arrow_udf(DIFF)
+def diff(old: pa.Array, new: pa.Array) -> pa.Array:
+    """``line_diff`` of two columns, one row at a time. A batch's results are flat integers, so a line costs a few bytes, however short it is."""
+    mapped, added, removed, replaced = (array("i") for _ in range(4))
+    ends = [(0, 0, 0, 0)]
+    for a, b in zip(old, new, strict=True):
+        for tag, i1, i2, j1, j2 in _opcodes(a.as_py(), b.as_py()):
+            if tag == "equal":
+                mapped.extend(range(j1 + 1, j2 + 1))
+            elif tag == "insert":
+                added.extend(range(j1 + 1, j2 + 1))
+            else:
+                mapped.extend(repeat(0, i2 - i1))
+                removed.extend(range(i1 + 1, i2 + 1))
+                if tag == "replace":
+                    replaced.extend((i1 + 1, i2, j1 + 1, j2))
+        ends.append((len(mapped), len(added), len(removed), len(replaced) // 4))
+    at = np.array(ends, np.int32).T
+    to, sides = np.asarray(mapped), np.asarray(replaced).reshape(-1, 4).T
+    lines = np.arange(1, len(to) + 1, dtype=np.int32) - np.repeat(at[0, :-1], np.diff(at[0]))
+    ranges = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in sides], list(_RANGE.names))
+    mapping = pa.MapArray.from_arrays(at[0], pa.array(lines), pa.array(to, mask=to == 0))
+    lists = (pa.ListArray.from_arrays(n, values) for n, values in zip(at[1:], (pa.array(np.asarray(added)), pa.array(np.asarray(removed)), ranges), strict=True))
+    return pa.StructArray.from_arrays([mapping, *lists], list(DIFF.names))
 
 
 def diff_summary(pairs: DataFrame, old: str, new: str) -> DataFrame:

@@ -1227,3 +1227,22 @@ def test_pages_are_parsed_once_for_text_and_markdown_in_batches_of_bounded_bytes
     assert len(calls) == 1 and "page_forms(" in calls[0] and "page_text(" not in calls[0]
     held = F.pandas_udf(lambda h: h.notna() * int(h.dropna().str.len().sum()), "long")
     assert 0 < Store(spark, str(tmp_path))["pages"].select(held("html").alias("n")).agg(F.max("n")).first()[0] <= ARROW_BYTES + 120_003
+
+
+def test_diffs_of_a_batch_cost_few_bytes_a_line(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["\n".join(f"{k}.{i}" for i in range(1000)) for k in range(60)] + [None, ""]
+    edits = [t and "\n".join(["0"] + [x + "!" if i % 7 == 3 else x for i, x in enumerate(t.split("\n")) if i % 11]) for t in texts]
+    pairs = [pa.array(texts), pa.array(edits)]
+    tracemalloc.start()
+    out = diffs.diff.func(*pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # results of 60,000 lines and the lines of one text; as dicts they were over 100 bytes a line
+    assert peak < 40 * 60_000
+    rows = spark.createDataFrame(list(zip(range(len(texts)), texts, edits, strict=True)), "id int, old string, new string")
+    got = {r["id"]: r["d"].asDict(True) for r in rows.select("id", diffs.diff("old", "new").alias("d")).collect()}
+    assert got == {k: diffs.line_diff(a, b) for k, (a, b) in enumerate(zip(texts, edits, strict=True))} and len(out) == len(texts)
