@@ -1132,6 +1132,28 @@ def test_external_connections_are_those_of_the_sql_in_cells(spark, monkeypatch):
     assert got.filter("file_path = '/f0'").select(F.spark_partition_id()).distinct().count() > 2
 
 
+def test_external_connections_of_a_file_are_written_with_each_text_about_once(spark, tmp_path):
+    import random
+    import string
+
+    from lattica.plans.named import NAMED
+    from lattica.plans.views import Store
+
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=4_000))
+    files = spark.createDataFrame([(k, 0, f"/f{k}", "py") for k in range(2)], "id long, project_id long, file_path string, language string")
+    side = lambda rows: spark.createDataFrame(rows, "id long, file_id long, technology_name string, description string")
+    into = side([(k, 0, "a", text()) for k in range(300)] + [(k, 1, "a", None) for k in range(500, 700)])
+    out = side([(k, 0, "b", "short") for k in range(1_000, 1_200)] + [(k, 1, None, text()) for k in range(1_200, 1_500)])
+    path = str(tmp_path / "made")
+    graph.external_connections(files, into, out).write.parquet(path)
+    made, want = spark.read.parquet(path), Store(spark, "").sql(NAMED["j11_external_connections"], files=files, incoming_connections=into, outgoing_connections=out)
+    of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*want.columns).cast("decimal(38,0)"))).first()
+    assert of(made) == of(want) and of(made)[0] == 120_000
+    # texts are 2.4 MB; rows hold them 200 times
+    assert sum(f.stat().st_size for f in (tmp_path / "made").glob("*.parquet")) < 2 * 2_400_000
+
+
 def test_documents_are_chunked_and_embedded_in_one_pass_in_small_batches(spark, monkeypatch):
     import xxhash
 
